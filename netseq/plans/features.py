@@ -155,7 +155,9 @@ def shapes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _exploded(df: DataFrame, name: str) -> DataFrame:
-    return df.select(ROW, F.posexplode(VECTOR).alias("dim", name)).select(ROW, "dim", r6(name).alias(name))
+    # the outer form: the inner one would add a filter on the vector's size, computing it twice
+    exploded = df.select(ROW, F.posexplode_outer(VECTOR).alias("dim", name))
+    return exploded.select(ROW, "dim", r6(name).alias(name))
 
 
 def concat_vector(spark: SparkSession, folder: str) -> DataFrame:

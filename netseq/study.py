@@ -22,7 +22,7 @@ from netseq.operators.score import Scorer, SequenceModel, Weights, score_windows
 from netseq.operators.split import TRAIN, first_eval_row, split
 from netseq.operators.train import Classifier, train_classifier
 from netseq.operators.windows import ordered_windows, windows_at
-from netseq.session import shared_folder
+from netseq.session import shared_folder, stage
 from netseq.sources.artifacts import Artifact, MemoryCache, artifact_key, load_or_build
 from netseq.sources.readers import read_flows
 from netseq.spec import EvalSampling, FlowSpec, ModelInput, StudyParams
@@ -202,8 +202,9 @@ class FlowStudy:
         pooled_width = self.head.output_width(
             *self.head.model_shape(self.params.window_size, self.width)
         )
+        batches = self.pooled(self.training_windows(batch_size, steps_per_epoch)).select(LABEL, "pooled")
         classifier = train_classifier(
-            self.pooled(self.training_windows(batch_size, steps_per_epoch)),
+            stage(batches, "batches"),
             "pooled",
             pooled_width,
             hidden,
