@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from netseq.functions.hashing import hash60
 from netseq.operators.masks import LABEL
-from netseq.operators.order import ROW, Ranked, class_ranks
+from netseq.operators.order import ROW, Ranked
 from netseq.operators.split import TRAIN
 from netseq.operators.windows import windows_at
 from netseq.session import small_side
+from netseq.spec import quoted
 
 # A pool at least this many times the draw is sampled by hashing; a smaller one is shuffled whole.
 SPARSE_FACTOR = 4
@@ -51,7 +52,7 @@ def draws(spark: SparkSession, tag: str, pool: int, n: int, steps: int, seed: in
 
 def random_batches(candidates: Ranked, batch_size: int, steps: int, seed: int) -> DataFrame:
     """(step, batch_pos, y, row_idx): random balanced batches, no repeats inside a step."""
-    spark = candidates.df.sparkSession
+    spark = candidates.rows.sparkSession
     parts = []
     for label, n in quotas(batch_size).items():
         tag = "malicious" if label else "benign"
@@ -62,7 +63,7 @@ def random_batches(candidates: Ranked, batch_size: int, steps: int, seed: int) -
 
 def sequential_batches(candidates: Ranked, batch_size: int, steps: int) -> DataFrame:
     """Balanced batches that walk through each class: step s starts at s*n mod (L - n)."""
-    spark = candidates.df.sparkSession
+    spark = candidates.rows.sparkSession
     parts = []
     for label, n in quotas(batch_size).items():
         pool = candidates.sizes.get(label, 0)
@@ -91,9 +92,11 @@ def batches(
     return random_batches(candidates, batch_size, steps, seed)
 
 
-def batch_windows(batch_rows: DataFrame, flows: DataFrame, window: int, columns: list[str]) -> DataFrame:
+def batch_windows(
+    batch_rows: DataFrame, flows: DataFrame, window: int, columns: list[str], n_ends: int
+) -> DataFrame:
     """Ordered windows of every batch row: (step, batch_pos, y, row_idx, win)."""
-    return windows_at(batch_rows, flows, window, columns, ["step", "batch_pos", LABEL])
+    return windows_at(batch_rows, flows, window, columns, ["step", "batch_pos", LABEL], n_ends)
 
 
 def random_context(
@@ -104,12 +107,13 @@ def random_context(
     steps: int,
     window: int,
     seed: int,
+    columns: list[str],
 ) -> DataFrame:
-    """(step, batch_pos, y, pos, row_idx): windows whose context rows are random training rows.
+    """(step, batch_pos, y, pos, row_idx, columns…): windows whose context rows are random training rows.
 
     Within a step all batch_size * window context draws differ; the target takes the last place.
     """
-    training = class_ranks(flows.filter(TRAIN).select(ROW, TRAIN), n_rows, TRAIN)
+    training = Ranked(flows.filter(TRAIN).select(ROW, TRAIN), n_rows, TRAIN)
     drawn = draws(
         flows.sparkSession, "context", training.sizes.get(True, 0), batch_size * window, steps, seed
     ).select(
@@ -117,13 +121,15 @@ def random_context(
         F.expr(f"slot div {int(window)}").alias("batch_pos"),
         (F.col("slot") % window).cast("int").alias("pos"),
         "rank",
+        F.lit(True).alias(TRAIN),
     )
     size = batch_size * window * steps
-    context = training.df.join(small_side(drawn.filter(F.col("pos") < window - 1), size), "rank")
-    labels = batch_rows.select("step", "batch_pos", LABEL)
+    context = training.at(drawn.filter(F.col("pos") < window - 1), size)
+    labels = small_side(batch_rows.select("step", "batch_pos", LABEL), batch_size * steps)
     context = context.select("step", "batch_pos", "pos", ROW).join(labels, ["step", "batch_pos"])
     targets = batch_rows.withColumn("pos", F.lit(window - 1))
-    return context.unionByName(targets.select(*context.columns))
+    places = context.unionByName(targets.select(*context.columns))
+    return flows.select(ROW, *[quoted(c) for c in columns]).join(small_side(places, size), ROW)
 
 
 def _up_to(n: int) -> Column:
@@ -135,6 +141,5 @@ def _at_ranks(candidates: Ranked, wanted: DataFrame, batch_size: int, steps: int
     malicious_first: Column = F.when(F.col(LABEL), F.col("slot")).otherwise(
         F.col("slot") + quotas(batch_size)[True]
     )
-    return candidates.df.join(small_side(wanted, batch_size * steps), [LABEL, "rank"]).select(
-        "step", malicious_first.alias("batch_pos"), LABEL, ROW
-    )
+    rows = candidates.at(wanted, batch_size * steps)
+    return rows.select("step", malicious_first.alias("batch_pos"), LABEL, ROW)

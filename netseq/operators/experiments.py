@@ -13,7 +13,7 @@ from netseq.functions.scalars import predicted_positive, sanitise
 from netseq.operators.masks import LABEL
 from netseq.operators.metrics import confusion, evaluate, rates
 from netseq.operators.numeric import fit_minmax, scaled
-from netseq.operators.order import ROW, Indexed, class_ranks
+from netseq.operators.order import ROW, Indexed, Ranked
 from netseq.operators.split import TRAIN, eval_count
 from netseq.operators.windows import trailing, trailing_mean
 
@@ -102,13 +102,13 @@ def drift_mix(indexed: Indexed, is_second: Column, seed: int) -> Indexed:
     so no join is needed. N is the shorter length. The result is indexed by rank.
     """
     tagged = indexed.df.withColumn("from_second", is_second)
-    ranked = class_ranks(tagged, indexed.n_rows, "from_second")
+    ranked = Ranked(tagged, indexed.n_rows, "from_second")
     n = min(ranked.sizes.get(False, 0), ranked.sizes.get(True, 0))
     if n == 0:
         raise ValueError("both sets need rows")
     chance = hash60(seed, F.col("rank")).cast("double") / F.lit(float(HASH_RANGE))
     second_here = chance < F.col("rank").cast("double") / F.lit(float(n))
-    mixed = ranked.df.filter((F.col("rank") < n) & (F.col("from_second") == second_here))
+    mixed = ranked.all().filter((F.col("rank") < n) & (F.col("from_second") == second_here))
     return Indexed(mixed.drop(ROW).withColumnRenamed("rank", ROW), n)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -20,22 +21,105 @@ from netseq.spec import quoted
 
 ROW = "row_idx"
 
-# Chunk totals go through one small window, so their number is bounded whatever the row count.
-MAX_CHUNKS = 32_768
+# Chunk totals are gathered in one place, so their number is bounded whatever the row count.
+MAX_CHUNKS = 131_072
 
 
 class Indexed(NamedTuple):
-    """A frame with a dense ``row_idx`` and its known length."""
+    """A frame with a dense ``row_idx`` and its known length.
+
+    ``source`` and ``bases`` (rows before each file, by hash of its name) are kept when positions
+    come straight from the files, so that a range of rows can skip the files outside it.
+    """
 
     df: DataFrame
     n_rows: int
+    source: DataFrame | None = None
+    bases: dict[int, int] | None = None
+
+    def between(self, start: int = 0, stop: int | None = None) -> DataFrame:
+        """Rows with start <= row_idx < stop; only files that hold such rows are read."""
+        start, stop = max(start, 0), self.n_rows if stop is None else min(stop, self.n_rows)
+        df = self.df
+        if self.source is not None and len(self.bases) > 1:
+            by_base = sorted((base, file) for file, base in self.bases.items())
+            ends = [base for base, _ in by_base[1:]] + [self.n_rows]
+            inside = {file: base for (base, file), end in zip(by_base, ends) if base < stop and end > start}
+            chosen = F.xxhash64("_metadata.file_path").isin(list(inside))
+            df = _from_bases(self.source.filter(chosen), inside or self.bases, self.n_rows).df
+        if start > 0:
+            df = df.filter(F.col(ROW) >= start)
+        return df.filter(F.col(ROW) < stop) if stop < self.n_rows else df
+
+
+class Ranked:
+    """Dense rank of each row among the rows of its class, in position order.
 
+    Counts per (class, chunk) give each chunk its starting rank; only ranks inside a chunk need a
+    sort, so a class that holds most rows is still spread over all chunks.
+    """
 
-class Ranked(NamedTuple):
-    """A frame with a dense ``rank`` inside each class, and the class sizes."""
+    def __init__(self, df: DataFrame, n_rows: int, by: str, position: str = ROW):
+        self.by, self.position = by, position
+        self.size = _chunk_size(n_rows)
+        self.rows = df.withColumn("__chunk", chunk_of(self.size, position))
+        counts = self.rows.groupBy(by, "__chunk").agg(F.count("*").alias("n")).collect()
+        self.sizes: dict = {}
+        self.offsets: list[tuple] = []
+        for r in sorted(counts, key=lambda r: r["__chunk"]):
+            before = self.sizes.get(r[by], 0)
+            self.offsets.append((r[by], r["__chunk"], before))
+            self.sizes[r[by]] = before + r.n
+
+    def all(self) -> DataFrame:
+        """Every row with its ``rank``."""
+        return self._ranked(self.rows)
+
+    def at(self, wanted: DataFrame, n_wanted: int) -> DataFrame:
+        """Rows whose (class, rank) is in ``wanted``, joined with its other columns.
+
+        Chunks without a wanted rank are dropped before the shuffle.
+        """
+        placed = wanted.withColumn("__chunk", self._chunk_of_rank(F.col(self.by), F.col("rank")))
+        hit = placed.select(self.by, "__chunk").distinct()
+        rows = self.rows.join(small_side(hit, min(n_wanted, len(self.offsets))), [self.by, "__chunk"], "left_semi")
+        return self._ranked(rows).join(small_side(wanted, n_wanted), [self.by, "rank"])
+
+    def _ranked(self, rows: DataFrame) -> DataFrame:
+        schema = T.StructType(
+            [
+                T.StructField(self.by, rows.schema[self.by].dataType),
+                T.StructField("__chunk", T.LongType()),
+                T.StructField("__before", T.LongType()),
+            ]
+        )
+        table = rows.sparkSession.createDataFrame(self.offsets, schema)
+        inside = Window.partitionBy(self.by, "__chunk").orderBy(self.position)
+        return (
+            rows.join(small_side(table, len(self.offsets)), [self.by, "__chunk"])
+            .withColumn("rank", F.col("__before") + F.row_number().over(inside) - 1)
+            .drop("__chunk", "__before")
+        )
 
-    df: DataFrame
-    sizes: dict
+    def _chunk_of_rank(self, group: Column, rank: Column) -> Column:
+        """Chunk that holds a rank, by binary search in the starting ranks of its class."""
+        starts = {
+            key: (
+                np.array([b for k, _, b in self.offsets if k == key]),
+                np.array([c for k, c, _ in self.offsets if k == key]),
+            )
+            for key in self.sizes
+        }
+
+        @F.pandas_udf("long")
+        def find(group: pd.Series, rank: pd.Series) -> pd.Series:
+            out = pd.Series(0, index=rank.index, dtype="int64")
+            for key, (before, chunk) in starts.items():
+                mine = group == key
+                out[mine] = chunk[np.searchsorted(before, rank[mine].to_numpy(), side="right") - 1]
+            return out
+
+        return find(group, rank)
 
 
 def index_rows(df: DataFrame, order_by: Sequence[str] = ()) -> Indexed:
@@ -113,7 +197,7 @@ def head(indexed: Indexed, n_rows: int) -> Indexed:
     """First ``n_rows`` rows in order, if 0 < n_rows < N; else all rows."""
     if not 0 < n_rows < indexed.n_rows:
         return indexed
-    return Indexed(indexed.df.filter(F.col(ROW) < n_rows), n_rows)
+    return Indexed(indexed.between(0, n_rows), n_rows)
 
 
 def chunk_of(rows_per_chunk: int, position: str = ROW) -> Column:
@@ -121,39 +205,6 @@ def chunk_of(rows_per_chunk: int, position: str = ROW) -> Column:
     return F.expr(f"{quoted(position)} div {int(rows_per_chunk)}")
 
 
-def class_ranks(df: DataFrame, n_rows: int, by: str, position: str = ROW) -> Ranked:
-    """Dense rank of each row among the rows of its class, in position order.
-
-    Counts per (class, chunk) are summed into offsets; only ranks inside a chunk need a sort, so a
-    class that holds most rows is still spread over all chunks.
-    """
-    size = max(1, math.ceil(n_rows / MAX_CHUNKS), min(4096, n_rows))
-    tagged = df.withColumn("__chunk", chunk_of(size, position))
-    counts = tagged.groupBy(by, "__chunk").agg(F.count("*").alias("n")).collect()
-    counts.sort(key=lambda r: r["__chunk"])
-    sizes: dict = {}
-    offsets = []
-    for r in counts:
-        before = sizes.get(r[by], 0)
-        offsets.append((r[by], r["__chunk"], before))
-        sizes[r[by]] = before + r.n
-    schema = T.StructType(
-        [
-            T.StructField(by, df.schema[by].dataType),
-            T.StructField("__chunk", T.LongType()),
-            T.StructField("__before", T.LongType()),
-        ]
-    )
-    table = df.sparkSession.createDataFrame(offsets, schema)
-    inside = Window.partitionBy(by, "__chunk").orderBy(position)
-    ranked = (
-        tagged.join(small_side(table, len(offsets)), [by, "__chunk"])
-        .withColumn("rank", F.col("__before") + F.row_number().over(inside) - 1)
-        .drop("__chunk", "__before")
-    )
-    return Ranked(ranked, sizes)
-
-
 def running(
     df: DataFrame,
     n_rows: int,
@@ -166,7 +217,7 @@ def running(
     Chunk totals (at most MAX_CHUNKS rows) are accumulated first; each chunk then continues from
     the total before it.
     """
-    size = max(1, math.ceil(n_rows / MAX_CHUNKS), min(4096, n_rows))
+    size = _chunk_size(n_rows)
     tagged = df.select(
         "*",
         chunk_of(size, position).alias("__chunk"),
@@ -203,6 +254,11 @@ def running(
     return joined.select(*[quoted(c) for c in df.columns], *out)
 
 
+def _chunk_size(n_rows: int) -> int:
+    """Rows per chunk such that there are at most MAX_CHUNKS of them."""
+    return max(1, math.ceil(n_rows / MAX_CHUNKS), min(1024, n_rows))
+
+
 def _natural(value):
     """Sort key that puts part-10 after part-9."""
     if not isinstance(value, str):
@@ -222,13 +278,15 @@ def _from_bases(df: DataFrame, bases: dict[int, int], n_rows: int) -> Indexed:
     pos = F.col("_metadata.row_index")
     if len(set(bases.values())) <= 1:
         base = next(iter(bases.values()), 0)
-        return Indexed(df.select("*", (pos + F.lit(base)).alias(ROW)), n_rows)
+        return Indexed(df.select("*", (pos + F.lit(base)).alias(ROW)), n_rows, df, bases)
     offsets = df.sparkSession.createDataFrame(list(bases.items()), "__file bigint, __base bigint")
     tagged = df.select("*", pos.alias("__pos"), F.xxhash64("_metadata.file_path").alias("__file"))
     joined = tagged.join(small_side(offsets, len(bases)), "__file")
     return Indexed(
         joined.withColumn(ROW, F.col("__pos") + F.col("__base")).drop("__file", "__pos", "__base"),
         n_rows,
+        df,
+        bases,
     )
 
 

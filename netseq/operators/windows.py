@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from netseq.operators.order import ROW, chunk_of
+from netseq.session import small_side
 from netseq.spec import CategoricalFormat, ModelInput, quoted
 
 CHUNK_ROWS = 65_536
@@ -22,6 +23,18 @@ def chunk_length(df: DataFrame, n_rows: int, window: int) -> int:
     return max(window - 1, 1, min(CHUNK_ROWS, max(MIN_CHUNK_ROWS, share)))
 
 
+def with_halo(df: DataFrame, window: int, size: int) -> DataFrame:
+    """Add ``__chunk``; the last window-1 rows of each chunk also appear in the next one."""
+    if size < window - 1:
+        raise ValueError("a chunk must hold at least window - 1 rows")
+    own = chunk_of(size)
+    if window == 1:
+        return df.withColumn("__chunk", own)
+    shared = F.col(ROW) % size >= size - (window - 1)
+    places = F.when(shared, F.array(own, own + 1)).otherwise(F.array(own))
+    return df.withColumn("__chunk", F.explode(places))
+
+
 def trailing(
     df: DataFrame,
     window: int,
@@ -36,15 +49,7 @@ def trailing(
     (window-1)/chunk) are dropped afterwards.
     """
     size = chunk_rows or chunk_length(df, n_rows, window)
-    if size < window - 1:
-        raise ValueError("a chunk must hold at least window - 1 rows")
-    own = chunk_of(size)
-    if window > 1:
-        shared = F.col(ROW) % size >= size - (window - 1)
-        places = F.when(shared, F.array(own, own + 1)).otherwise(F.array(own))
-        spread = df.withColumn("__chunk", F.explode(places))
-    else:
-        spread = df.withColumn("__chunk", own)
+    spread, own = with_halo(df, window, size), chunk_of(size)
     frame = Window.partitionBy("__chunk").orderBy(ROW).rowsBetween(-(window - 1), Window.currentRow)
     added = [c.alias(name) for name, c in columns(frame).items()]
     return spread.select("*", *added).filter(F.col("__chunk") == own).drop("__chunk")
@@ -123,12 +128,17 @@ def featurewise(windows: DataFrame, model_input: ModelInput, keep: Sequence[str]
 
 
 def windows_at(
-    ends: DataFrame, flows: DataFrame, window: int, columns: Sequence[str], keep: Sequence[str]
+    ends: DataFrame,
+    flows: DataFrame,
+    window: int,
+    columns: Sequence[str],
+    keep: Sequence[str],
+    n_ends: int,
 ) -> DataFrame:
-    """Windows for a chosen set of end rows: each end asks for its ``window`` positions by equi-join.
+    """Windows for ``n_ends`` chosen end rows: each asks for its ``window`` positions by equi-join.
 
-    Cheaper than windowing the whole table when the ends are few. ``keep`` identifies an end row
-    together with ``row_idx``.
+    Cheaper than windowing the whole table when the ends are few: up to the broadcast limit the flows
+    are not shuffled. ``keep`` identifies an end row together with ``row_idx``.
     """
     key = [ROW, *keep]
     wanted = ends.filter(F.col(ROW) >= window - 1).select(
@@ -139,7 +149,7 @@ def windows_at(
     rows = flows.select(F.col(ROW).alias("__at"), *[quoted(c) for c in columns])
     item = F.struct("__at", *[quoted(c) for c in columns])
     gathered = (
-        rows.join(wanted, "__at")
+        rows.join(small_side(wanted, n_ends * window), "__at")
         .withColumnRenamed("__end", ROW)
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(item)).alias("win"))

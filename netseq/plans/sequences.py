@@ -12,7 +12,7 @@ from netseq.operators import batching
 from netseq.operators.encode import VECTOR, ConcatEncoding
 from netseq.operators.masks import LABEL, add_label, training_candidates
 from netseq.operators.metrics import evaluate
-from netseq.operators.order import ROW, class_ranks
+from netseq.operators.order import ROW, Ranked
 from netseq.operators.pool import AverageHead, ClsHead, FeaturewiseHead, FlattenHead, Head, LastHead
 from netseq.operators.preprocessing import StandardPreprocessing
 from netseq.operators.score import BasicTransformer, Scorer, patterned_weights, score_windows
@@ -75,7 +75,7 @@ def featurewise_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, folder: str):
     df, n = labelled_events(spark, folder)
-    return df, n, class_ranks(training_candidates(df, n, WINDOW), n, LABEL)
+    return df, n, Ranked(training_candidates(df, n, WINDOW), n, LABEL)
 
 
 def batch_random(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,15 +89,15 @@ def batch_sequential(spark: SparkSession, folder: str) -> DataFrame:
 def batch_windows(spark: SparkSession, folder: str) -> DataFrame:
     df, n, ranked = _candidates(spark, folder)
     chosen = batching.sequential_batches(ranked, BATCH, STEPS)
-    windows = batching.batch_windows(chosen, df, WINDOW, ["value"])
+    windows = batching.batch_windows(chosen, df, WINDOW, ["value"], BATCH * STEPS)
     return long_form(windows, ["value"], ["step", "batch_pos", LABEL])
 
 
 def windows_random_ctx(spark: SparkSession, folder: str) -> DataFrame:
     df, n, ranked = _candidates(spark, folder)
     chosen = batching.random_batches(ranked, BATCH, CONTEXT_STEPS, SEED)
-    places = batching.random_context(chosen, df, n, BATCH, CONTEXT_STEPS, WINDOW, SEED)
-    return df.select(ROW, "value").join(places, ROW).select("step", "batch_pos", "pos", LABEL, ROW, "value")
+    windows = batching.random_context(chosen, df, n, BATCH, CONTEXT_STEPS, WINDOW, SEED, ["value"])
+    return windows.select("step", "batch_pos", "pos", LABEL, ROW, "value")
 
 
 def _vectors(spark: SparkSession, folder: str):
@@ -264,14 +264,18 @@ _RANKED = (
 
 
 def _draw_sql(name: str, tag: str, pool: str, n: int, steps: int) -> str:
-    """The first ``n`` different hashed ranks of every step."""
+    """``n`` different ranks per step: the first hashed ones, or a shuffle of all of a small pool."""
     hashed = batching.SPARSE_FACTOR * n + batching.SPARE_DRAWS
     text = f"'{SEED}:{tag}:' || step || ':' || j"
     return (
-        f"{name}0 AS (SELECT step, {h60(text)} % ({pool}) AS rank, min(j) AS key "
-        f"FROM range({steps}) a(step) CROSS JOIN range({hashed}) b(j) GROUP BY 1, 2), "
-        f"{name} AS (SELECT step, rank, row_number() OVER (PARTITION BY step ORDER BY key) - 1 AS slot FROM {name}0 "
-        f"QUALIFY row_number() OVER (PARTITION BY step ORDER BY key) <= {n})"
+        f"{name}p AS (SELECT ({pool}) AS pool), "
+        f"{name}0 AS (SELECT step, {h60(text)} % pool AS rank, min(j) AS key "
+        f"FROM range({steps}) a(step) CROSS JOIN range({hashed}) b(j) CROSS JOIN {name}p "
+        f"WHERE pool >= {batching.SPARSE_FACTOR * n} GROUP BY 1, 2 UNION ALL "
+        f"SELECT step, j, {h60(text)} FROM range({steps}) a(step) CROSS JOIN range({batching.SPARSE_FACTOR * n}) b(j) "
+        f"CROSS JOIN {name}p WHERE pool < {batching.SPARSE_FACTOR * n} AND j < pool), "
+        f"{name} AS (SELECT step, rank, row_number() OVER (PARTITION BY step ORDER BY key, rank) - 1 AS slot "
+        f"FROM {name}0 QUALIFY row_number() OVER (PARTITION BY step ORDER BY key, rank) <= {n})"
     )
 
 

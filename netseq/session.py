@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A table is hinted for broadcast only when its row count is known and at most this.
-BROADCAST_ROWS = 200_000
+# A table of a few narrow columns is hinted for broadcast only when its row count is known and at
+# most this (some tens of megabytes).
+BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cpus: int | None = None, app: str = "netseq") -> SparkSession:

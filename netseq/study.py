@@ -15,7 +15,7 @@ from netseq.operators.encode import VECTOR, InputEncoding
 from netseq.operators.masks import LABEL, add_label, training_candidates
 from netseq.operators.metrics import evaluate
 from netseq.operators.numeric import NUMERIC_LIMIT
-from netseq.operators.order import ROW, class_ranks
+from netseq.operators.order import ROW, Ranked
 from netseq.operators.pool import Head
 from netseq.operators.preprocessing import Preprocessing
 from netseq.operators.score import Scorer, SequenceModel, Weights, score_windows, time_scoring
@@ -152,7 +152,7 @@ class FlowStudy:
         """(step, batch_pos, y, row_idx) in the study's draw mode."""
         window = self.params.window_size
         ends = training_candidates(self.table.select(ROW, TRAIN, LABEL), self.n_rows, window)
-        ranked = class_ranks(ends, self.n_rows, LABEL)
+        ranked = Ranked(ends, self.n_rows, LABEL)
         return batching.batches(
             ranked, batch_size, steps, self.params.seed, self.params.sequential_draw
         )
@@ -162,20 +162,14 @@ class FlowStudy:
         window, flows = self.params.window_size, self.encoded()
         chosen = self.batch_rows(batch_size, steps)
         if self.params.ordered_within_window:
-            out = batching.batch_windows(chosen, flows, window, [VECTOR])
+            out = batching.batch_windows(chosen, flows, window, [VECTOR], batch_size * steps)
         else:
             places = batching.random_context(
-                chosen, self.table, self.n_rows, batch_size, steps, window, self.params.seed
+                chosen, flows, self.n_rows, batch_size, steps, window, self.params.seed, [VECTOR]
             )
-            item = F.struct("pos", VECTOR)
-            out = (
-                flows.select(ROW, VECTOR)
-                .join(places, ROW)
-                .groupBy("step", "batch_pos", LABEL)
-                .agg(
-                    F.max_by(ROW, "pos").alias(ROW),
-                    F.sort_array(F.collect_list(item)).alias("win"),
-                )
+            out = places.groupBy("step", "batch_pos", LABEL).agg(
+                F.max_by(ROW, "pos").alias(ROW),
+                F.sort_array(F.collect_list(F.struct("pos", VECTOR))).alias("win"),
             )
         return out.withColumn("win", F.col("win")[VECTOR])
 
@@ -234,7 +228,7 @@ class FlowStudy:
             windows, scorer.probabilities, self.params.window_size, self.width, n_repeats
         )
 
-    def windows_of(self, ends: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Windows for chosen end rows (``row_idx`` and ``keep``)."""
-        out = windows_at(ends, self.encoded(), self.params.window_size, [VECTOR], list(keep))
+    def windows_of(self, ends: DataFrame, n_ends: int, keep: Sequence[str] = ()) -> DataFrame:
+        """Windows for ``n_ends`` chosen end rows (``row_idx`` and ``keep``)."""
+        out = windows_at(ends, self.encoded(), self.params.window_size, [VECTOR], list(keep), n_ends)
         return out.withColumn("win", F.col("win")[VECTOR])
