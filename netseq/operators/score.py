@@ -10,17 +10,24 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netseq.operators.order import ROW, chunk_of
 from netseq.operators.pool import Head
+from netseq.operators.windows import chunk_length, with_halo
 from netseq.spec import quoted
 
 NORM_EPSILON = 1e-6
 
-# Numbers of the largest intermediate array a task holds at once; longer batches are cut.
-BLOCK_NUMBERS = 1 << 24
+# Windows are scored in blocks whose largest intermediate array has about this many numbers, so that
+# it stays in a core's cache; wide models still get a few windows at a time.
+BLOCK_NUMBERS = 1 << 18
+MIN_BLOCK = 32
+
+# Windows gathered from a chunk of flows at a time.
+SLIDE_BLOCK = 4096
 
 # Most numbers a weights table may hold before it is refused as a broadcast.
 WEIGHT_LIMIT = 1 << 28
@@ -149,7 +156,8 @@ class Scorer:
         if not len(windows):
             return np.zeros(0)
         _, steps, width = windows.shape
-        block = max(1, BLOCK_NUMBERS // self.model.window_numbers(*self.head.model_shape(steps, width)))
+        per_window = self.model.window_numbers(*self.head.model_shape(steps, width))
+        block = max(MIN_BLOCK, BLOCK_NUMBERS // per_window)
         return np.concatenate(
             [self._block(windows[i : i + block]) for i in range(0, len(windows), block)]
         )
@@ -217,6 +225,57 @@ def score_windows(
     return kept.mapInArrow(run, schema)
 
 
+def score_flows(
+    df: DataFrame,
+    probabilities: Callable[[np.ndarray], np.ndarray],
+    window: int,
+    n_rows: int,
+    width: int,
+    keep: Sequence[str] = (),
+    vector: str = "x",
+    ends: Column | None = None,
+    first_end: int = 0,
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """(row_idx, keep…, p) for the full window ending at every row, or at the rows ``ends`` selects.
+
+    Equal to scoring the rows of ``ordered_windows``, but each flow reaches Python once: a task gets
+    a chunk of flows with its halo and slides over it, instead of one copy of every window.
+    """
+    start = max(first_end - (window - 1), 0)
+    rows = df.filter(F.col(ROW) >= start) if start else df
+    size = chunk_rows or chunk_length(df, n_rows - start, window)
+    wanted = F.lit(True) if ends is None else F.coalesce(ends, F.lit(False))
+    kept = rows.select(
+        ROW, *[quoted(c) for c in keep], wanted.alias("__end"), F.col(vector).alias("__vector")
+    )
+    spread = with_halo(kept, window, size)
+    spread = spread.withColumn(
+        "__end", F.col("__end") & (F.col("__chunk") == chunk_of(size)) & (F.col(ROW) >= max(first_end, window - 1))
+    )
+    schema = T.StructType([*[kept.schema[c] for c in [ROW, *keep]], T.StructField("p", T.DoubleType())])
+    names = schema.names
+
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by(ROW).combine_chunks()
+        vectors = chunk["__vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        vectors = vectors.reshape(chunk.num_rows, width).astype("float64", copy=False)
+        at = np.flatnonzero(chunk["__end"].to_numpy())
+        p = np.zeros(len(at))
+        for i in range(0, len(at), SLIDE_BLOCK):
+            block = at[i : i + SLIDE_BLOCK]
+            places = block[:, None] + np.arange(1 - window, 1)
+            p[i : i + SLIDE_BLOCK] = probabilities(vectors[places])
+        out = chunk.select(names[:-1]).take(pa.array(at))
+        return out.append_column("p", pa.array(p))
+
+    # a given number of partitions, as scoring is dear and merging small partitions would serialise it
+    spark = df.sparkSession
+    cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(cores, math.ceil((n_rows - start) / size)))
+    return spread.repartition(tasks, "__chunk").groupBy("__chunk").applyInArrow(run, schema)
+
+
 def time_scoring(
     batch_rows: DataFrame,
     probabilities: Callable[[np.ndarray], np.ndarray],

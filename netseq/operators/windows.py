@@ -76,7 +76,7 @@ def ordered_windows(
     rows = rows.select(*[quoted(c) for c in fields], *([ends.alias("__end")] if ends is not None else []))
     item = F.struct(*[quoted(c) for c in columns])
     out = trailing(
-        rows, window, n_rows, lambda frame: {"win": F.collect_list(item).over(frame)}, chunk_rows
+        rows, window, n_rows - start, lambda frame: {"win": F.collect_list(item).over(frame)}, chunk_rows
     )
     out = out.filter(F.col(ROW) >= max(first_end, window - 1))
     if ends is not None:
@@ -98,7 +98,7 @@ def trailing_mean(
     out = trailing(
         rows,
         window,
-        n_rows,
+        n_rows - start,
         lambda frame: {name: F.avg(quoted(c)).over(frame) for name, c in columns.items()},
         chunk_rows,
     )

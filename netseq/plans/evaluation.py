@@ -37,7 +37,6 @@ from netseq.plans.common import (
     minmax,
     rd,
     rounded,
-    scaled_events,
     trailing_avg,
 )
 
@@ -50,10 +49,19 @@ REPEATS = 4
 
 
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:
-    """(y, p) of the evaluation windows; the score is the mean scaled value of the window."""
-    df, n, first = scaled_events(spark, folder)
-    means = trailing_mean(df, WINDOW, n, {"p": "scaled"}, first_end=first)
-    return means.filter(~F.col(TRAIN)).select(LABEL, "p")
+    """(y, p) of the evaluation windows; the score is the mean scaled value of the window.
+
+    The fit reads only the files with training rows, the scores only those with evaluation rows and
+    the few rows before them.
+    """
+    indexed = events(spark, folder)
+    n, first = indexed.n_rows, first_eval_row(indexed.n_rows, FRACTION)
+    training = sanitise(indexed.between(0, first).select("value"), ["value"]).withColumn(TRAIN, F.lit(True))
+    fit = fit_minmax(training, ["value"])["value"]
+    rows = add_label(indexed.between(first - (WINDOW - 1)), EVENTS.class_column, EVENTS.benign_label)
+    rows = sanitise(rows.select(ROW, LABEL, "value"), ["value"])
+    scores = rows.select(ROW, LABEL, scaled("value", fit).alias("scaled"))
+    return trailing_mean(scores, WINDOW, n, {"p": "scaled"}, first_end=first).select(LABEL, "p")
 
 
 def eval_counts(spark: SparkSession, folder: str) -> DataFrame:

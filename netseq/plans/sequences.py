@@ -15,7 +15,7 @@ from netseq.operators.metrics import evaluate
 from netseq.operators.order import ROW, Ranked
 from netseq.operators.pool import AverageHead, ClsHead, FeaturewiseHead, FlattenHead, Head, LastHead
 from netseq.operators.preprocessing import StandardPreprocessing
-from netseq.operators.score import BasicTransformer, Scorer, patterned_weights, score_windows
+from netseq.operators.score import BasicTransformer, Scorer, patterned_weights, score_flows
 from netseq.operators.split import TRAIN, first_eval_row
 from netseq.operators.windows import featurewise, long_form, ordered_windows, trailing_mean
 from netseq.plans.common import (
@@ -41,8 +41,9 @@ from netseq.plans.common import (
     window_join,
 )
 from netseq.plans.features import PRIORITIES, weight, weight_sql
-from netseq.spec import CategoricalFormat, StudyParams
+from netseq.session import staging_path
 from netseq.sources.readers import read_table
+from netseq.spec import CategoricalFormat, StudyParams
 from netseq.study import FlowStudy
 
 BATCH = 32
@@ -100,23 +101,22 @@ def windows_random_ctx(spark: SparkSession, folder: str) -> DataFrame:
     return windows.select("step", "batch_pos", "pos", LABEL, ROW, "value")
 
 
-def _vectors(spark: SparkSession, folder: str):
-    """Evaluation windows of (scaled value, code scaled to at most 1)."""
+def _encoded(spark: SparkSession, folder: str):
+    """Flows with the vector (scaled value, code scaled to at most 1), and their number."""
     indexed = events(spark, folder)
     done = preprocessed(indexed, EVENTS)
     df = ConcatEncoding().apply(done.df, done.model_input)
     df = add_label(df, "y_raw", EVENTS.benign_label).withColumn(
         VECTOR, F.transform(VECTOR, lambda v, i: F.when(i == 1, v / F.lit(32.0)).otherwise(v))
     )
-    n = indexed.n_rows
+    return df.select(ROW, TRAIN, LABEL, VECTOR), indexed.n_rows
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation windows of those vectors."""
+    df, n = _encoded(spark, folder)
     windows = ordered_windows(
-        df.select(ROW, TRAIN, LABEL, VECTOR),
-        WINDOW,
-        n,
-        [VECTOR],
-        keep=[LABEL],
-        ends=~F.col(TRAIN),
-        first_end=first_eval_row(n, FRACTION),
+        df, WINDOW, n, [VECTOR], keep=[LABEL], ends=~F.col(TRAIN), first_end=first_eval_row(n, FRACTION)
     )
     return windows.withColumn("win", F.col("win")[VECTOR])
 
@@ -173,15 +173,29 @@ def score_linear(spark: SparkSession, folder: str) -> DataFrame:
     return windows.select(F.col(ROW).alias("end_idx"), LABEL, r6(p).alias("p"))
 
 
-def _scorer(model: BasicTransformer, head: Head, hidden: tuple[int, ...]) -> Scorer:
-    scorer = Scorer(model, head, hidden)
-    return scorer.with_weights(patterned_weights(scorer.weight_shapes(WINDOW, WIDTH)))
+def _scored(df: DataFrame, n: int, width: int, scorer: Scorer) -> DataFrame:
+    out = score_flows(
+        df,
+        scorer.probabilities,
+        WINDOW,
+        n,
+        width,
+        [LABEL],
+        ends=~F.col(TRAIN),
+        first_end=first_eval_row(n, FRACTION),
+    )
+    return rounded(out.withColumnRenamed(ROW, "end_idx"), "p")
 
 
-def _scored(spark: SparkSession, folder: str, scorer: Scorer) -> DataFrame:
-    windows = _vectors(spark, folder)
-    out = score_windows(windows, scorer.probabilities, WINDOW, WIDTH, [ROW, LABEL])
-    return rounded(out.withColumnRenamed(ROW, "end_idx"), "p")
+def _attention(spark: SparkSession, folder: str, model: BasicTransformer, head: Head) -> DataFrame:
+    """Orders as one-hot vectors under an attention model with patterned weights."""
+    indexed = orders(spark, folder)
+    done = preprocessed(indexed, ORDERS, CategoricalFormat.ONE_HOT)
+    df = add_label(ConcatEncoding().apply(done.df, done.model_input), "y_raw", ORDERS.benign_label)
+    width = done.model_input.width
+    scorer = Scorer(model, head, (128,))
+    weights = patterned_weights(scorer.weight_shapes(WINDOW, width), scale=0.5)
+    return _scored(df, indexed.n_rows, width, scorer.with_weights(weights))
 
 
 def score_mlp(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,15 +207,16 @@ def score_mlp(spark: SparkSession, folder: str) -> DataFrame:
         "mlp_1_w": [[weight(j, 2)] for j in range(2)],
         "mlp_1_b": [0.3],
     }
-    return _scored(spark, folder, scorer.with_weights({k: np.array(v) for k, v in weights.items()}))
+    df, n = _encoded(spark, folder)
+    return _scored(df, n, WIDTH, scorer.with_weights({k: np.array(v) for k, v in weights.items()}))
 
 
 def score_encoder(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder, _scorer(BasicTransformer(2, 128, 2), LastHead(), (128,)))
+    return _attention(spark, folder, BasicTransformer(2, 128, 2), LastHead())
 
 
 def score_decoder(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder, _scorer(BasicTransformer(2, 128, 2, is_decoder=True), ClsHead(), (128,)))
+    return _attention(spark, folder, BasicTransformer(2, 128, 2, is_decoder=True), ClsHead())
 
 
 def _study(spark: SparkSession, folder: str, head: Head) -> FlowStudy:
@@ -213,8 +228,8 @@ def _study(spark: SparkSession, folder: str, head: Head) -> FlowStudy:
         head,
         StudyParams(window_size=WINDOW, mlp_layer_sizes=(128,), seed=SEED),
     )
-    spec = ORDERS
-    study.load_dataset(f"orders_{folder}".replace("/", "_"), read_table(spark, folder, "orders"), spec)
+    kept = staging_path(spark, "study")
+    study.load_dataset("orders", read_table(spark, folder, "orders"), ORDERS, cache_path=kept)
     return study
 
 

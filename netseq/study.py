@@ -18,7 +18,7 @@ from netseq.operators.numeric import NUMERIC_LIMIT
 from netseq.operators.order import ROW, Ranked
 from netseq.operators.pool import Head
 from netseq.operators.preprocessing import Preprocessing
-from netseq.operators.score import Scorer, SequenceModel, Weights, score_windows, time_scoring
+from netseq.operators.score import Scorer, SequenceModel, Weights, score_flows, score_windows, time_scoring
 from netseq.operators.split import TRAIN, first_eval_row, split
 from netseq.operators.train import Classifier, train_classifier
 from netseq.operators.windows import ordered_windows, windows_at
@@ -178,7 +178,16 @@ class FlowStudy:
 
     def evaluate(self, scorer: Scorer, epoch: int = 0) -> DataFrame:
         """One result row for a scorer on the evaluation windows."""
-        scored = self.score(self.evaluation_windows(), scorer, [LABEL])
+        scored = score_flows(
+            self.encoded(),
+            scorer.probabilities,
+            self.params.window_size,
+            self.n_rows,
+            self.width,
+            [LABEL],
+            ends=~F.col(TRAIN),
+            first_end=self.first_eval,
+        )
         return evaluate(scored).select(F.lit(epoch).alias("epoch"), "*")
 
     def fit(
