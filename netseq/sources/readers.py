@@ -56,15 +56,14 @@ def read_flows(
     if not isinstance(dataset, str):
         raise ValueError("a dataset is a DataFrame or a path to a CSV, feather or parquet file")
     suffix = dataset.lower().rstrip("/")
-    place = [F.col(feather.FILE), F.col(feather.BATCH)]
     if suffix.endswith(".csv"):
         scan = read_csv(spark, dataset, types or spec.read_schema(), positions=not spec.order_by)
         if not spec.order_by:
-            return head(index_by_place(stage(scan, "csv"), place, feather.PLACE), n_rows)
+            return head(_by_position(stage(scan, "csv")), n_rows)
     elif suffix.endswith(".feather"):
         scan = feather.read_feather(spark, dataset, spec.columns(), positions=not spec.order_by)
         if not spec.order_by:
-            return head(index_by_place(scan, place, feather.PLACE), n_rows)
+            return head(_by_position(scan), n_rows)
     elif suffix.endswith(".parquet"):
         scan = spark.read.parquet(dataset)
         scan = spec.project(scan, _has_test(spec, scan))
@@ -73,5 +72,12 @@ def read_flows(
     return head(index_rows(scan, spec.order_by), n_rows)
 
 
+def _by_position(df: DataFrame) -> Indexed:
+    """Index by the position columns of a scan and drop them."""
+    segment = [F.col(feather.FILE), F.col(feather.BATCH)]
+    indexed = index_by_place(df, segment, feather.PLACE)
+    return Indexed(indexed.df.drop(feather.FILE, feather.BATCH), indexed.n_rows)
+
+
 def _has_test(spec: FlowSpec, df: DataFrame) -> bool:
     return spec.test_column is not None and spec.test_column in df.columns
