@@ -95,10 +95,12 @@ class Ranked:
         )
         table = rows.sparkSession.createDataFrame(self.offsets, schema)
         inside = Window.partitionBy(self.by, "__chunk").orderBy(self.position)
+        # the offsets are joined after the shuffle, which then moves less
         return (
-            rows.join(small_side(table, len(self.offsets)), [self.by, "__chunk"])
-            .withColumn("rank", F.col("__before") + F.row_number().over(inside) - 1)
-            .drop("__chunk", "__before")
+            rows.withColumn("__at", F.row_number().over(inside))
+            .join(small_side(table, len(self.offsets)), [self.by, "__chunk"])
+            .withColumn("rank", F.col("__before") + F.col("__at") - 1)
+            .drop("__chunk", "__before", "__at")
         )
 
     def _chunk_of_rank(self, group: Column, rank: Column) -> Column:
@@ -119,7 +121,8 @@ class Ranked:
                 out[mine] = chunk[np.searchsorted(before, rank[mine].to_numpy(), side="right") - 1]
             return out
 
-        return find(group, rank)
+        # so marked, the call is not repeated in filters the optimiser derives from it
+        return find.asNondeterministic()(group, rank)
 
 
 def index_rows(df: DataFrame, order_by: Sequence[str] = ()) -> Indexed:
@@ -337,7 +340,6 @@ def _file_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, pos = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         keys = batch.columns[2:]
         if names is None:
-            kinds = [c.type for c in keys]
             names = ["file", "pos", "rows", "rising"]
             names += [f"{end}_k{i}" for end in ("first", "last") for i in range(len(keys))]
         rising = _rises([k.slice(0, len(k) - 1) for k in keys], [k.slice(1) for k in keys])
@@ -346,14 +348,18 @@ def _file_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last = [k.slice(lo, 1) for k in keys], [k.slice(hi - 1, 1) for k in keys]
             ok = bool(rising[lo : hi - 1].all())
             if run and run[0] == file[lo] and run[1] + run[2] == pos[lo]:
-                run[3] = run[3] and ok and bool(_rises(run[5], first)[0])
+                run[3] = ok and bool(_rises(run[5], first)[0])
                 run[2], run[5] = run[2] + hi - lo, last
             else:
                 if run:
-                    yield _line(run, names, kinds)
+                    yield _line(run, names)
                 run = [file[lo], pos[lo], hi - lo, ok, first, last]
+            if not run[3]:
+                # one descent settles the question for the whole table
+                yield _line(run, names)
+                return
     if run:
-        yield _line(run, names, kinds)
+        yield _line(run, names)
 
 
 def _rises(before: list[pa.Array], after: list[pa.Array]) -> np.ndarray:
@@ -366,7 +372,7 @@ def _rises(before: list[pa.Array], after: list[pa.Array]) -> np.ndarray:
     return less
 
 
-def _line(run: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+def _line(run: list, names: list[str]) -> pa.RecordBatch:
     file, pos, rows, rising, first, last = run
     columns = [pa.array([file], pa.int64()), pa.array([pos], pa.int64()), pa.array([rows], pa.int64())]
     columns += [pa.array([bool(rising)]), *first, *last]

@@ -239,6 +239,12 @@ def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return outcome.eval_results
 
 
+def train_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """Epoch-wise training of the output layers with early stopping: the evaluation rows."""
+    _, outcome = _study(spark, folder, FlattenHead()).train(batch_size=128, steps_per_epoch=16, epochs=3)
+    return outcome.eval_results
+
+
 def study_score(spark: SparkSession, folder: str) -> DataFrame:
     """The attention model with untrained weights on the evaluation windows of orders."""
     study = _study(spark, folder, LastHead())
@@ -265,6 +271,7 @@ QUERIES = {
     "score_encoder": score_encoder,
     "score_decoder": score_decoder,
     "train_classifier": train_classifier,
+    "train_epochs": train_epochs,
     "study_score": study_score,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from netseq.operators.pool import Head
 from netseq.operators.preprocessing import Preprocessing
 from netseq.operators.score import Scorer, SequenceModel, Weights, score_flows, score_windows, time_scoring
 from netseq.operators.split import TRAIN, first_eval_row, split
-from netseq.operators.train import Classifier, train_classifier
+from netseq.operators.train import Classifier, starting_weights, train_classifier, train_epochs
 from netseq.operators.windows import ordered_windows, windows_at
 from netseq.session import shared_folder, stage
 from netseq.sources.artifacts import Artifact, MemoryCache, artifact_key, load_or_build
@@ -221,6 +221,43 @@ class FlowStudy:
         results = evaluate(scored).select(F.lit(final).cast("int").alias("epoch"), "*")
         return classifier, Outcome(log, results, final)
 
+    def train(
+        self,
+        batch_size: int = 128,
+        steps_per_epoch: int = 128,
+        epochs: int = 100,
+        early_stopping_patience: int = 5,
+        rate: float = 0.1,
+        shards: int | None = None,
+    ) -> tuple[Scorer, Outcome]:
+        """Train the output layers epoch by epoch with early stopping, evaluating on schedule.
+
+        The head pools the encoded windows, without a sequence model. The batches of all epochs are
+        drawn and stored in one go.
+        """
+        steps, width = self.params.window_size, self.width
+        drawn = self.pooled(self.training_windows(batch_size, steps_per_epoch * epochs))
+        stored = stage(drawn.select("step", LABEL, "pooled"), "batches")
+        scorer = Scorer(SequenceModel(), self.head, tuple(self.params.mlp_layer_sizes))
+        sizes = [self.head.output_width(*self.head.model_shape(steps, width)), *scorer.mlp, 1]
+
+        def judge(weights: Weights, epoch: int) -> Row:
+            return self.evaluate(scorer.with_weights(weights), epoch).first()
+
+        run = train_epochs(
+            stored,
+            starting_weights(sizes, self.params.seed),
+            steps_per_epoch,
+            epochs,
+            early_stopping_patience,
+            rate,
+            shards or min(steps_per_epoch, self.spark.sparkContext.defaultParallelism),
+            judge,
+        )
+        log = self.spark.createDataFrame(run.log, "epoch int, step int, loss double")
+        results = self.spark.createDataFrame(run.evaluations)
+        return scorer.with_weights(run.weights), Outcome(log, results, run.final_epoch)
+
     def pooled(self, windows: DataFrame) -> DataFrame:
         """Add the head's vector, without a sequence model in between."""
         steps, width = self.params.window_size, self.width

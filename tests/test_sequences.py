@@ -388,3 +388,55 @@ def test_timing(spark):
 def test_vector_functions(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "x array<double>")
     assert df.select(vectors.dot(F.col("x"), [3.0, 4.0], 0.5)).first()[0] == 11.5
+
+
+def test_gradients_against_differences():
+    from netseq.operators.train import _update, starting_weights
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(20, 4)), (rng.random(20) < 0.5).astype(float)
+    weights = starting_weights([4, 5, 1], 1)
+    weights["mlp_0_b"] += 0.1
+    before = {n: w.copy() for n, w in weights.items()}
+    loss = _update(weights, 2, x, y, 1.0)
+    for name in weights:
+        gradient = before[name] - weights[name]
+        for at in np.ndindex(gradient.shape):
+            nudged = {n: w.copy() for n, w in before.items()}
+            nudged[name][at] += 1e-6
+            slope = (_update(nudged, 2, x, y, 0.0) - loss) / 1e-6
+            assert slope == pytest.approx(gradient[at], abs=1e-4)
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_epoch_training(spark, shards):
+    from netseq.operators.train import starting_weights, train_epochs
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2))
+    rows = [(i // 20, bool(a + b > 0), [float(a), float(b)]) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, f"step long, {LABEL} boolean, pooled array<double>").repartition(3)
+    start = starting_weights([2, 4, 1])
+    run = train_epochs(df, start, 5, 4, 5, 0.5, shards, evaluate=lambda w, e: (e, w["mlp_0_w"].shape))
+    assert [(e, s) for e, s, _ in run.log] == [(e, s) for e in range(4) for s in range(5)]
+    assert run.evaluations == [(3, (2, 4))] and run.final_epoch == 3
+    assert np.mean([v for e, _, v in run.log if e == 3]) < np.mean([v for e, _, v in run.log if e == 0])
+    if shards == 1:
+        from netseq.operators.train import _update
+
+        mine, losses = {n: w.copy() for n, w in start.items()}, []
+        for s in range(20):
+            part = [(v, r) for st, v, r in rows if st == s]
+            losses.append(
+                _update(mine, 2, np.array([r for _, r in part]), np.array([v for v, _ in part], float), 0.5)
+            )
+        assert [v for _, _, v in run.log] == pytest.approx(losses)
+
+
+def test_epoch_training_stops_early(spark):
+    from netseq.operators.train import starting_weights, train_epochs
+
+    rows = [(i // 2, bool(i % 2), [1.0, 1.0]) for i in range(80)]
+    df = spark.createDataFrame(rows, f"step long, {LABEL} boolean, pooled array<double>")
+    run = train_epochs(df, starting_weights([2, 1]), 4, 10, 2, 0.0, evaluate=lambda w, e: e)
+    assert run.final_epoch == 3 and run.evaluations == [3]

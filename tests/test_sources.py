@@ -244,6 +244,9 @@ def test_study(spark, sampling):
     assert log[0]["epoch"] == 0 and len(log) == len(classifier.losses)
     final = outcome.eval_results.first()
     assert final["P"] + final["N"] == n_eval and final["epoch"] == outcome.final_epoch
+    trained, outcome = one.train(batch_size=16, steps_per_epoch=3, epochs=2)
+    assert outcome.eval_results.first()["epoch"] == 1 and outcome.train_results.count() == 6
+    assert one.evaluate(trained, 1).first() == outcome.eval_results.first()
     timings = one.time(scorer, 8, n_steps=2, n_repeats=3)
     assert timings.count() == 6
 
