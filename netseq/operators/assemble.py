@@ -32,18 +32,24 @@ def preprocess(
     categorical_format: CategoricalFormat = CategoricalFormat.INTEGERS,
     numerical_filter: float = NUMERIC_LIMIT,
     as_type: str = "double",
+    training: DataFrame | None = None,
 ) -> Preprocessed:
-    """Clean, fit on training rows and transform a split frame in one projection."""
+    """Clean, fit on training rows and transform a split frame in one projection.
+
+    ``training`` may name the same training rows by a cheaper scan, such as one that skips files.
+    """
     spec.check(df)
     numerics, categoricals = spec.numeric_fields, list(spec.categorical_fields)
-    rows = df.select(
-        ROW,
-        TRAIN,
-        F.col(quoted(spec.class_column)).cast("string").alias(RAW_LABEL),
-        *[quoted(c) for c in [*numerics, *categoricals]],
+    features = [quoted(c) for c in [*numerics, *categoricals]]
+    label = F.col(quoted(spec.class_column)).cast("string").alias(RAW_LABEL)
+    clean = sanitise(df.select(ROW, TRAIN, label, *features), numerics, numerical_filter, as_type)
+    source = df if training is None else training
+    fitted = fit(
+        sanitise(source.select(TRAIN, *features), numerics, numerical_filter, as_type),
+        preprocessing,
+        numerics,
+        categoricals,
     )
-    clean = sanitise(rows, numerics, numerical_filter, as_type)
-    fitted = fit(clean, preprocessing, numerics, categoricals)
     out = fitted.transform(clean)
     widths = fitted.code_counts()
     if categorical_format is CategoricalFormat.ONE_HOT:
@@ -61,12 +67,13 @@ def detach(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def shape_report(source: DataFrame, result: DataFrame) -> DataFrame:
-    """Rows and columns before and after preprocessing, as one row."""
+    """Rows and columns before and after preprocessing, as one row; ``row_idx`` is not counted."""
 
     def size(df: DataFrame, side: str) -> DataFrame:
+        columns = len([c for c in df.columns if c != ROW])
         return df.agg(
-            F.count("*").alias(f"{side}_rows"),
-            F.lit(len([c for c in df.columns if c != ROW])).cast("bigint").alias(f"{side}_columns"),
-        ).withColumn("k", F.lit(1))
+            F.count("*").alias(f"{side}_rows"), F.lit(columns).cast("bigint").alias(f"{side}_columns")
+        )
 
-    return size(source, "in").join(size(result, "out"), "k").drop("k")
+    both = size(source, "in").unionByName(size(result, "out"), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

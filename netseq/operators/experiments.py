@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netseq.functions.hashing import HASH_RANGE, hash60
@@ -85,14 +85,9 @@ def transfer_matrix(
     ]
     scored = means.select(LABEL, "eval_on", F.inline(F.array(*studies)))
     results = evaluate(scored, "p", LABEL, threshold, by=["fit_on", "eval_on"])
-    home = results.filter(F.col("fit_on").eqNullSafe(F.col("eval_on"))).select(
-        F.col("fit_on").alias("home"), F.col("f1").alias("home_f1")
-    )
-    return (
-        results.join(home, F.col("fit_on").eqNullSafe(F.col("home")))
-        .withColumn("f1_change", F.col("f1") - F.col("home_f1"))
-        .drop("home", "home_f1")
-    )
+    at_home = F.when(F.col("fit_on").eqNullSafe(F.col("eval_on")), F.col("f1"))
+    home = F.max(at_home).over(Window.partitionBy("fit_on"))
+    return results.withColumn("f1_change", F.col("f1") - home)
 
 
 def drift_mix(indexed: Indexed, is_second: Column, seed: int) -> Indexed:
@@ -121,9 +116,8 @@ def drift_report(
     )
     means = trailing_mean(rows, window, mixed.n_rows, {"p": "scaled"})
     tenths = means.withColumn("tenth", F.expr(f"{ROW} * 10 div {mixed.n_rows}"))
-    predicted = predicted_positive(F.col("p"), threshold)
-    shares = tenths.groupBy("tenth").agg(F.count_if("from_second").alias("second_rows"))
-    counts = confusion(tenths, predicted, LABEL, by=["tenth"]).join(shares, "tenth")
+    second = {"second_rows": F.count_if("from_second")}
+    counts = confusion(tenths, predicted_positive(F.col("p"), threshold), LABEL, ["tenth"], second)
     return rates(counts).select(
         "tenth", "second_rows", "P", "N", "TP", "FP", "TN", "FN", "bal_acc", "f1"
     )

@@ -18,9 +18,13 @@ def class_counts(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def confusion(
-    df: DataFrame, predicted: Column, label: str = "y", by: Sequence[str] = ()
+    df: DataFrame,
+    predicted: Column,
+    label: str = "y",
+    by: Sequence[str] = (),
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """P, N, pred_P, pred_N, TP, FP, TN, FN in one aggregation, for each group of ``by``."""
+    """P, N, pred_P, pred_N, TP, FP, TN, FN and ``extra`` aggregates in one pass, per group of ``by``."""
     y = F.col(label)
     cells = {
         "P": y,
@@ -32,7 +36,8 @@ def confusion(
         "TN": ~predicted & ~y,
         "FN": ~predicted & y,
     }
-    return df.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in cells.items()])
+    wanted = {**{n: F.count_if(c) for n, c in cells.items()}, **(extra or {})}
+    return df.groupBy(*by).agg(*[c.alias(n) for n, c in wanted.items()])
 
 
 def rates(counts: DataFrame) -> DataFrame:

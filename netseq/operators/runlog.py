@@ -16,7 +16,7 @@ def epoch_verdicts(log: DataFrame, n_epochs: int, patience: int) -> DataFrame:
     """(epoch, min_loss, improved, counter, stop) for each epoch of a log (epoch, step, loss).
 
     An epoch improves if any of its steps goes below the lowest loss before it. ``counter`` is the
-    number of epochs since the last improvement. Running values are computed in two levels, so a
+    number of epochs since the last improvement. The running minimum is computed in two levels, so a
     log of any length is not gathered in one task.
     """
     # a missing or NaN loss improves on nothing, so it is left out of the minimum
@@ -24,19 +24,15 @@ def epoch_verdicts(log: DataFrame, n_epochs: int, patience: int) -> DataFrame:
     epochs = log.groupBy(F.col("epoch").cast("bigint").alias("epoch")).agg(
         F.coalesce(F.min(usable), F.lit(float("inf"))).alias("min_loss")
     )
-    before = running(
-        epochs, n_epochs, {"best": ("min", F.col("min_loss"))}, position="epoch", inclusive=False
-    )
-    best = F.least(F.lit(START_LOSS), F.col("best"))
-    flagged = before.withColumn("improved", F.col("min_loss") < best).drop("best")
-    marked = running(
-        flagged, n_epochs, {"last_gain": ("max", F.when(F.col("improved"), F.col("epoch")))}, position="epoch"
-    )
-    counter = F.col("epoch") - F.coalesce("last_gain", F.lit(-1))
+    # the smallest (loss, epoch) pair so far is the last improvement: equal losses keep the earlier epoch
+    pair = F.struct("min_loss", "epoch")
+    marked = running(epochs, n_epochs, {"lowest": ("min", pair)}, position="epoch")
+    gain = F.when(F.col("lowest.min_loss") < F.lit(START_LOSS), F.col("lowest.epoch")).otherwise(F.lit(-1))
+    counter = F.col("epoch") - gain
     return marked.select(
         "epoch",
         "min_loss",
-        "improved",
+        (gain == F.col("epoch")).alias("improved"),
         counter.alias("counter"),
         (F.lit(patience > 0) & (counter > patience)).alias("stop"),
     )

@@ -35,6 +35,11 @@ def split_last(indexed: Indexed, fraction: float) -> DataFrame:
     return indexed.df.withColumn(TRAIN, F.col(ROW) < first_eval_row(indexed.n_rows, fraction))
 
 
+def training_rows(indexed: Indexed, fraction: float) -> DataFrame:
+    """The training rows of ``split_last`` alone, read from only the files that hold them."""
+    return indexed.between(0, first_eval_row(indexed.n_rows, fraction)).withColumn(TRAIN, F.lit(True))
+
+
 def split_random(indexed: Indexed, fraction: float, window: int, seed: int) -> DataFrame:
     """An exact number of random rows evaluates, none of them among the first ``window`` rows."""
     n = eval_count(indexed.n_rows, fraction)

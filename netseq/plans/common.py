@@ -10,7 +10,7 @@ from netseq.operators.masks import LABEL, add_label
 from netseq.operators.numeric import fit_minmax, sanitise, scaled
 from netseq.operators.order import ROW, Indexed, index_rows
 from netseq.operators.preprocessing import StandardPreprocessing
-from netseq.operators.split import TRAIN, first_eval_row, split_last
+from netseq.operators.split import TRAIN, first_eval_row, split_last, training_rows
 from netseq.sources.readers import read_table
 from netseq.spec import CategoricalFormat, FlowSpec
 
@@ -79,7 +79,13 @@ def scaled_events(spark: SparkSession, folder: str) -> tuple[DataFrame, int, int
 def preprocessed(
     indexed: Indexed, spec: FlowSpec, kind: CategoricalFormat = CategoricalFormat.INTEGERS
 ) -> Preprocessed:
-    return preprocess(split_last(indexed, FRACTION), spec, StandardPreprocessing(LEVELS), kind)
+    return preprocess(
+        split_last(indexed, FRACTION),
+        spec,
+        StandardPreprocessing(LEVELS),
+        kind,
+        training=training_rows(indexed, FRACTION),
+    )
 
 
 # SQL pieces. Each is one or more common table expressions; later ones read earlier ones.

@@ -12,7 +12,7 @@ from netseq.operators.masks import LABEL, add_label
 from netseq.operators.metrics import RESULT_COLUMNS, class_counts, confusion, evaluate, rates
 from netseq.operators.numeric import fit_minmax, sanitise, scaled
 from netseq.operators.order import ROW, Indexed
-from netseq.operators.split import TRAIN, first_eval_row
+from netseq.operators.split import TRAIN, first_eval_row, training_rows
 from netseq.operators.windows import trailing_mean
 from netseq.plans.common import (
     BAL_ACC,
@@ -56,7 +56,7 @@ def scored_events(spark: SparkSession, folder: str) -> DataFrame:
     """
     indexed = events(spark, folder)
     n, first = indexed.n_rows, first_eval_row(indexed.n_rows, FRACTION)
-    training = sanitise(indexed.between(0, first).select("value"), ["value"]).withColumn(TRAIN, F.lit(True))
+    training = sanitise(training_rows(indexed, FRACTION).select(TRAIN, "value"), ["value"])
     fit = fit_minmax(training, ["value"])["value"]
     rows = add_label(indexed.between(first - (WINDOW - 1)), EVENTS.class_column, EVENTS.benign_label)
     rows = sanitise(rows.select(ROW, LABEL, "value"), ["value"])

@@ -19,7 +19,7 @@ from netseq.operators.order import ROW, Ranked
 from netseq.operators.pool import Head
 from netseq.operators.preprocessing import Preprocessing
 from netseq.operators.score import Scorer, SequenceModel, Weights, score_flows, score_windows, time_scoring
-from netseq.operators.split import TRAIN, first_eval_row, split
+from netseq.operators.split import TRAIN, first_eval_row, split, training_rows
 from netseq.operators.train import Classifier, starting_weights, train_classifier, train_epochs
 from netseq.operators.windows import ordered_windows, windows_at
 from netseq.session import shared_folder, stage
@@ -98,8 +98,14 @@ class FlowStudy:
             rows = split(
                 indexed, sampling, evaluation_percent, params.window_size, params.seed, spec.test_column
             )
+            last = sampling is EvalSampling.LAST_ROWS
             done = preprocess(
-                rows, spec, self.preprocessing, encoding.required_format, numerical_filter
+                rows,
+                spec,
+                self.preprocessing,
+                encoding.required_format,
+                numerical_filter,
+                training=training_rows(indexed, evaluation_percent) if last else None,
             )
             return Artifact(done.df, done.model_input)
 
