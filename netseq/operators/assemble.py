@@ -51,6 +51,8 @@ def preprocess(
         categoricals,
     )
     out = fitted.transform(clean)
+    if as_type != "double":
+        out = out.withColumns({c: F.col(quoted(c)).cast(as_type) for c in numerics})
     widths = fitted.code_counts()
     if categorical_format is CategoricalFormat.ONE_HOT:
         out = categorical.one_hot(out, widths)

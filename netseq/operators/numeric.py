@@ -31,6 +31,13 @@ def nonfinite_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _unpivot(counts, columns, {"nonfinite": "n"})
 
 
+def require_finite(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raise if any of the columns holds a value that is not a finite number."""
+    bad = {r["feature"]: r["nonfinite"] for r in nonfinite_counts(df, columns).collect() if r["nonfinite"]}
+    if bad:
+        raise ValueError(f"values that are not finite numbers: {bad}")
+
+
 def fit_minmax_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, min, range) over training rows, all columns in one aggregation."""
     ends = df.filter(TRAIN).agg(

@@ -142,6 +142,8 @@ def index_rows(df: DataFrame, order_by: Sequence[str] = ()) -> Indexed:
 
 def index_by_file(df: DataFrame) -> Indexed:
     """Index a whole parquet scan by file name, then by row position in the file; no shuffle of rows."""
+    if not _has_file_positions(df):
+        raise ValueError("only a parquet scan has an order of its own; give order keys")
     files = (
         df.select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("pos")

@@ -92,5 +92,10 @@ def latency_summary(timings: DataFrame) -> DataFrame:
     )
 
 
+def save_log(log: DataFrame, run: str, path: str) -> None:
+    """Append a run's log to a table of logs, one partition per run."""
+    log.withColumn("run", F.lit(run)).write.partitionBy("run").mode("append").parquet(path)
+
+
 def _is_evaluated(last_epoch: int) -> Column:
     return F.col("epoch").isin(FIXED_EVAL_EPOCH, last_epoch) | F.col("stop")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,7 @@ def split(
     """Add ``is_train`` by the chosen sampling."""
     if sampling is EvalSampling.LAST_ROWS:
         return split_last(indexed, fraction)
+    warnings.warn("evaluation rows may be context of training windows; leak_audit counts them", stacklevel=2)
     if sampling is EvalSampling.RANDOM_ROWS:
         return split_random(indexed, fraction, window, seed)
     if test_column is None:

@@ -252,6 +252,13 @@ def study_score(spark: SparkSession, folder: str) -> DataFrame:
     return study.evaluate(scorer)
 
 
+def scoring_latency(spark: SparkSession, folder: str) -> DataFrame:
+    """Seconds taken to score each training batch, four times over."""
+    study = _study(spark, folder, LastHead())
+    scorer = study.build_model(patterned_weights(study.weight_shapes()))
+    return study.time(scorer, 128, n_steps=8, n_repeats=4)
+
+
 QUERIES = {
     "windows_ordered": windows_ordered,
     "windows_random_ctx": windows_random_ctx,
@@ -273,6 +280,7 @@ QUERIES = {
     "train_classifier": train_classifier,
     "train_epochs": train_epochs,
     "study_score": study_score,
+    "scoring_latency": scoring_latency,
 }
 
 MALICIOUS = BATCH // 2

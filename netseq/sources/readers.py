@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netseq.operators.order import Indexed, head, index_by_place, index_rows
+from netseq.operators.order import ROW, Indexed, head, index_by_place, index_rows
 from netseq.session import stage
 from netseq.sources import feather
 from netseq.spec import FlowSpec, quoted
@@ -42,19 +43,24 @@ def read_csv(spark: SparkSession, path: str, types: T.StructType, positions: boo
 
 def read_flows(
     spark: SparkSession,
-    dataset: DataFrame | str,
+    dataset: DataFrame | pd.DataFrame | str,
     spec: FlowSpec,
     types: T.StructType | None = None,
     n_rows: int = 0,
 ) -> Indexed:
     """Columns with a role, indexed, limited to the first ``n_rows`` rows if that is positive.
 
-    The order is ``spec.order_by`` if given, else the order of the rows in the files.
+    The order is ``spec.order_by`` if given, else the order of the rows in the files. A pandas frame,
+    already in memory, keeps its own order.
     """
+    if isinstance(dataset, pd.DataFrame):
+        rows = dataset[[c for c in spec.columns() if c in dataset.columns]]
+        placed = spark.createDataFrame(rows.assign(**{ROW: range(len(rows))}))
+        return head(Indexed(placed, len(rows)), n_rows)
     if isinstance(dataset, DataFrame):
         return head(index_rows(spec.project(dataset, _has_test(spec, dataset)), spec.order_by), n_rows)
     if not isinstance(dataset, str):
-        raise ValueError("a dataset is a DataFrame or a path to a CSV, feather or parquet file")
+        raise ValueError("a dataset is a frame or a path to a CSV, feather or parquet file")
     suffix = dataset.lower().rstrip("/")
     if suffix.endswith(".csv"):
         scan = read_csv(spark, dataset, types or spec.read_schema(), positions=not spec.order_by)

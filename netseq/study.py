@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,7 @@ class FlowStudy:
     def load_dataset(
         self,
         name: str,
-        dataset: DataFrame | str,
+        dataset: DataFrame | pd.DataFrame | str,
         spec: FlowSpec,
         cache_path: str | None = None,
         n_rows: int = 0,

@@ -198,3 +198,12 @@ def test_grid(spark):
     assert len(runs) == 6 and [r["head"].name for r in runs[:3]] == ["Last Token"] * 3
     plan = experiments.grid_table(spark.range(1), components)
     assert plan.columns == ["run", "head", "other"] and plan.count() == 6
+
+
+def test_saved_logs(spark):
+    from netseq.session import staging_path
+
+    path = staging_path(spark, "logs")
+    runlog.save_log(log_frame(spark, [[1, 2]]), "a", path)
+    runlog.save_log(log_frame(spark, [[3]]), "b", path)
+    assert {(r["run"], r["loss"]) for r in spark.read.parquet(path).collect()} == {("a", 1), ("a", 2), ("b", 3)}

@@ -215,5 +215,32 @@ def test_fitted_transform_runs_on_a_stream(spark, tmp_path):
 
 
 def test_float_precision_option(spark):
-    done = preprocess(split.split_last(flows(spark), 0.2), SPEC, StandardPreprocessing(3), as_type="float")
-    assert done.df.schema["a"].dataType.simpleString() in ("double", "float")
+    df = split.split_last(flows(spark), 0.2)
+    wide = preprocess(df, SPEC, StandardPreprocessing(3)).df.orderBy(ROW).collect()
+    done = preprocess(df, SPEC, StandardPreprocessing(3), as_type="float")
+    assert done.df.schema["a"].dataType.simpleString() == "float"
+    narrow = done.df.orderBy(ROW).collect()
+    assert [r["a"] for r in narrow] == pytest.approx([r["a"] for r in wide], abs=1e-6, nan_ok=True)
+
+
+def test_finite_guard(spark):
+    numeric.require_finite(column_frame(spark, [1.0, 2.0]), ["c"])
+    with pytest.raises(ValueError, match="'c': 2"):
+        numeric.require_finite(column_frame(spark, [1.0, math.nan, math.inf]), ["c"])
+
+
+def test_scattered_evaluation_rows_are_warned_about(spark):
+    with pytest.warns(UserWarning, match="context"):
+        split.split(numbered(spark, 50), EvalSampling.RANDOM_ROWS, 0.1)
+
+
+def test_training_rows(spark):
+    from netseq.operators import order
+    from netseq.session import staging_path
+
+    path = staging_path(spark, "training")
+    spark.range(0, 1000).repartitionByRange(10, "id").sortWithinPartitions("id").write.parquet(path)
+    indexed = order.index_rows(spark.read.parquet(path), ["id"])
+    rows = split.training_rows(indexed, 0.35)
+    assert sorted(r["id"] for r in rows.collect()) == list(range(650))
+    assert rows.select(F.input_file_name()).distinct().count() < 10

@@ -143,6 +143,10 @@ def test_parquet_and_frames(spark, tmp_path):
     check_rows(read_flows(spark, path, by_key), frame)
     shuffled = spark.createDataFrame(frame.reset_index(names="i")).repartition(5)
     check_rows(read_flows(spark, shuffled, by_key, n_rows=60), frame[:60])
+    check_rows(read_flows(spark, frame, SPEC), frame)
+    check_rows(read_flows(spark, frame, SPEC, n_rows=20), frame[:20])
+    with pytest.raises(ValueError, match="order keys"):
+        read_flows(spark, shuffled, SPEC)
     with pytest.raises(ValueError):
         read_flows(spark, str(tmp_path / "flows.txt"), SPEC)
     with pytest.raises(ValueError):
