@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from netseq.operators.order import ROW, chunk_of
-from netseq.session import small_side
+from netseq.session import BROADCAST_ROWS, NARROW_BROADCAST_ROWS, small_side
 from netseq.spec import CategoricalFormat, ModelInput, quoted
 
 CHUNK_ROWS = 65_536
+BLOCK_ROWS = 4_096
 MIN_CHUNK_ROWS = 1_024
 
 
@@ -138,7 +139,8 @@ def windows_at(
     """Windows for ``n_ends`` chosen end rows: each asks for its ``window`` positions by equi-join.
 
     Cheaper than windowing the whole table when the ends are few: up to the broadcast limit the flows
-    are not shuffled. ``keep`` identifies an end row together with ``row_idx``.
+    are not shuffled, and beyond it only the blocks of flows that some window touches are. ``keep``
+    identifies an end row together with ``row_idx``.
     """
     key = [ROW, *keep]
     wanted = ends.filter(F.col(ROW) >= window - 1).select(
@@ -147,6 +149,12 @@ def windows_at(
         F.explode(F.sequence(F.col(ROW) - (window - 1), F.col(ROW))).alias("__at"),
     )
     rows = flows.select(F.col(ROW).alias("__at"), *[quoted(c) for c in columns])
+    if n_ends * window > BROADCAST_ROWS:
+        block = chunk_of(BLOCK_ROWS, "__at")
+        touched = wanted.select(block.alias("__block")).distinct()
+        n_blocks = n_ends * (2 + window // BLOCK_ROWS)
+        touched = small_side(touched, n_blocks, NARROW_BROADCAST_ROWS)
+        rows = rows.withColumn("__block", block).join(touched, "__block", "left_semi").drop("__block")
     item = F.struct("__at", *[quoted(c) for c in columns])
     gathered = (
         rows.join(small_side(wanted, n_ends * window), "__at")

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 # most this (some tens of megabytes).
 BROADCAST_ROWS = 1_000_000
 
+# The same for a single BIGINT column.
+NARROW_BROADCAST_ROWS = 4_000_000
+
 
 def local_session(cpus: int | None = None, app: str = "netseq") -> SparkSession:
     """Session for tests and the bench; a cluster supplies its own."""

@@ -74,6 +74,25 @@ def test_file_order_and_filtered_scan(spark):
         order.index_by_file(scan.filter("id % 2 = 0"))
 
 
+def test_one_file_read_in_many_splits(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "one.parquet")
+    pq.write_table(pa.table({"id": range(40_000)}), path, row_group_size=1000, compression="none", use_dictionary=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() > 5
+        indexed = order.index_rows(scan, ["id"])
+        assert indexed.bases is not None and indexed.n_rows == 40_000
+        assert indexed.df.filter(f"id <> {ROW}").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_between_reads_only_the_files_it_needs(spark):
     path = staging_path(spark, "between")
     spark.range(0, 4000).repartitionByRange(10, "id").sortWithinPartitions("id").write.parquet(path)

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from check_oracle import connect, difference
+from check_oracle import connect, difference, type_difference
 
 
 @pytest.fixture(scope="module")
@@ -13,11 +13,13 @@ def con(small):
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, small, con, name):
-    got = entry.queries()[name](spark, small).toPandas()
+    df = entry.queries()[name](spark, small)
+    got = df.toPandas()
     sql = entry.oracle_sql().get(name)
     if sql is None:
         assert len(got)
     else:
+        assert type_difference(df, con.sql(sql)) == ""
         assert difference(got, con.sql(sql).df()) == ""
 
 

@@ -74,6 +74,20 @@ def test_chosen_ends(spark):
     assert all([f["v"] for f in r["win"]] == v[r[ROW] - 7 : r[ROW] + 1].tolist() for r in at)
 
 
+def test_many_chosen_ends_read_only_their_blocks(spark, monkeypatch):
+    import netseq.operators.windows as windows
+
+    monkeypatch.setattr(windows, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(windows, "BLOCK_ROWS", 16)
+    df, v = series(spark)
+    ends = spark.createDataFrame([(i, i % 7) for i in range(0, 300, 9)], f"{ROW} long, tag long")
+    out = windows_at(ends, df, 8, ["v"], ["tag"], 34)
+    assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert sorted(r[ROW] for r in rows) == list(range(9, 300, 9))
+    assert all([f["v"] for f in r["win"]] == v[r[ROW] - 7 : r[ROW] + 1].tolist() for r in rows)
+
+
 def test_no_single_partition_in_windows(spark):
     df, _ = series(spark)
     plan = trailing_mean(df, 8, 300, {"m": "v"})._jdf.queryExecution().executedPlan().toString()
