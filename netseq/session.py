@@ -16,6 +16,18 @@ BROADCAST_ROWS = 1_000_000
 NARROW_BROADCAST_ROWS = 4_000_000
 
 
+# The JVM does not compile methods of more than 8000 bytes; wide tables make longer ones, which then
+# run an order of magnitude slower than the smaller methods Spark generates without stage fusion.
+METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def tune(spark: SparkSession) -> None:
+    """Keep generated code of wide tables compilable; a limit below the JVM's is left alone."""
+    key, limit = METHOD_LIMIT
+    if int(spark.conf.get(key, "65535")) > int(limit):
+        spark.conf.set(key, limit)
+
+
 def local_session(cpus: int | None = None, app: str = "netseq") -> SparkSession:
     """Session for tests and the bench; a cluster supplies its own."""
     cpus = cpus or os.cpu_count() or 8
@@ -28,6 +40,7 @@ def local_session(cpus: int | None = None, app: str = "netseq") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(*METHOD_LIMIT)
         .getOrCreate()
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from typing import NamedTuple
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from netseq.operators import batching, runlog
 from netseq.operators.assemble import RAW_LABEL, preprocess
+from netseq.operators.categorical import one_hot
 from netseq.operators.encode import VECTOR, InputEncoding
 from netseq.operators.masks import LABEL, add_label, training_candidates
 from netseq.operators.metrics import evaluate
@@ -23,10 +25,10 @@ from netseq.operators.score import Scorer, SequenceModel, Weights, score_flows,
 from netseq.operators.split import TRAIN, first_eval_row, split, training_rows
 from netseq.operators.train import Classifier, starting_weights, train_classifier, train_epochs
 from netseq.operators.windows import ordered_windows, windows_at
-from netseq.session import shared_folder, stage
+from netseq.session import shared_folder, stage, tune
 from netseq.sources.artifacts import Artifact, MemoryCache, artifact_key, load_or_build
 from netseq.sources.readers import read_flows
-from netseq.spec import EvalSampling, FlowSpec, ModelInput, StudyParams
+from netseq.spec import CategoricalFormat, EvalSampling, FlowSpec, ModelInput, StudyParams, quoted
 
 
 class Outcome(NamedTuple):
@@ -52,6 +54,7 @@ class FlowStudy:
         head: Head,
         params: StudyParams | None = None,
     ):
+        tune(spark)
         self.spark = spark
         self.preprocessing = preprocessing
         self.encoding = encoding
@@ -76,7 +79,11 @@ class FlowStudy:
         numerical_filter: float = NUMERIC_LIMIT,
         types: T.StructType | None = None,
     ) -> DataFrame:
-        """Preprocess, or reuse the result kept under the same key; returns the feature columns."""
+        """Preprocess, or reuse the result kept under the same key; returns the feature columns.
+
+        The kept table holds integer codes; one-hot columns are made when it is read, which is cheaper
+        than storing one column per level.
+        """
         params, encoding = self.params, self.encoding
         key = artifact_key(
             name,
@@ -104,8 +111,7 @@ class FlowStudy:
                 rows,
                 spec,
                 self.preprocessing,
-                encoding.required_format,
-                numerical_filter,
+                numerical_filter=numerical_filter,
                 training=training_rows(indexed, evaluation_percent) if last else None,
             )
             return Artifact(done.df, done.model_input)
@@ -117,11 +123,15 @@ class FlowStudy:
 
         artifact = FlowStudy.memory.get(key, kept) if FlowStudy.retain_in_memory else kept()
         self.spec, self.model_input = spec, artifact.model_input
-        self.table = add_label(artifact.df, RAW_LABEL, spec.benign_label)
+        table = artifact.df
+        if encoding.required_format is CategoricalFormat.ONE_HOT:
+            table = one_hot(table, dict(zip(self.model_input.categorical_features, self.model_input.levels)))
+            self.model_input = replace(self.model_input, categorical_format=CategoricalFormat.ONE_HOT)
+        self.table = add_label(table, RAW_LABEL, spec.benign_label)
         self.n_rows = artifact.df.count()
         last = sampling is EvalSampling.LAST_ROWS
         self.first_eval = first_eval_row(self.n_rows, evaluation_percent) if last else 0
-        return artifact.df.drop(TRAIN, RAW_LABEL)
+        return table.select(ROW, *[quoted(c) for c in self.model_input.columns])
 
     def encoded(self) -> DataFrame:
         """Flows with their vector."""
