@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def literal(value: bool | int | float | str) -> str:
+    """SQL text of a BIGINT, DOUBLE or STRING constant.
+
+    Wide tables need thousands of constants; one parsed text per column is far quicker to build than a
+    Column object for every constant and operator.
+    """
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        if math.isfinite(value):
+            return f"{value!r}D"
+        return f"double('{value}')"
+    return f"{int(value)}L"
+
+
 def sanitise(value: Column, limit: float = 1e9, as_type: str = "double") -> Column:
     """Value if its magnitude is at most ``limit``, else 0.
 

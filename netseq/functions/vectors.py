@@ -7,10 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from netseq.functions.scalars import literal
+from netseq.spec import quoted
+
 
 def doubles(values: Sequence[float]) -> Column:
     """Constant vector."""
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.expr(doubles_text(values))
+
+
+def doubles_text(values: Sequence[float]) -> str:
+    """SQL text of a constant vector."""
+    return f"array({', '.join(literal(float(v)) for v in values)})"
 
 
 def dot(vector: Column, weights: Sequence[float], bias: float = 0.0) -> Column:
@@ -19,12 +27,12 @@ def dot(vector: Column, weights: Sequence[float], bias: float = 0.0) -> Column:
     return F.aggregate(products, F.lit(float(bias)), lambda acc, v: acc + v)
 
 
-def dot_columns(columns: Sequence[Column], weights: Sequence[float], bias: float = 0.0) -> Column:
-    """Inner product of plain columns with constant weights; stays inside generated code."""
-    total = F.lit(float(bias))
-    for column, weight in zip(columns, weights, strict=True):
-        total = total + column * F.lit(float(weight))
-    return total
+def dot_text(columns: Sequence[str], weights: Sequence[float], bias: float = 0.0) -> str:
+    """SQL text of the inner product of plain columns with constant weights; stays in generated code."""
+    terms = [
+        f"CAST({quoted(c)} AS DOUBLE) * {literal(float(w))}" for c, w in zip(columns, weights, strict=True)
+    ]
+    return " + ".join([literal(float(bias)), *terms])
 
 
 def mean_over_time(window: Column, width: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netseq.functions.scalars import literal
 from netseq.operators.split import TRAIN
 from netseq.session import small_side
 from netseq.spec import quoted
@@ -66,12 +67,12 @@ def fit_levels(df: DataFrame, columns: Sequence[str], k: int) -> dict[str, list]
 
 def code_of(column: str, kind: T.DataType, levels: Sequence, unseen_code: int = 1) -> Column:
     """1-based rank of the value among the levels, ``unseen_code`` for any other value."""
-    value = F.col(quoted(column)).cast(_SLOTS[_slot(kind)])
     if not levels:
         return F.lit(unseen_code)
-    constants = F.array(*[F.lit(v).cast(_SLOTS[_slot(kind)]) for v in levels])
-    place = F.array_position(constants, value).cast("int")
-    return F.when(place > 0, place).otherwise(F.lit(unseen_code))
+    constants = ", ".join(literal(v) for v in levels)
+    value = f"CAST({quoted(column)} AS {_SLOTS[_slot(kind)]})"
+    place = f"CAST(array_position(array({constants}), {value}) AS INT)"
+    return F.expr(f"coalesce(nullif({place}, 0), {int(unseen_code)})")
 
 
 def encode(
@@ -90,7 +91,9 @@ def encode(
 def one_hot(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     """Replace code columns by 0/1 columns ``feature_code`` for codes 1..width."""
     added = [
-        (F.col(quoted(c)) == j).cast("int").alias(f"{c}_{j}") for c, n in widths.items() for j in range(1, n + 1)
+        F.expr(f"CAST({quoted(c)} = {j} AS INT)").alias(f"{c}_{j}")
+        for c, n in widths.items()
+        for j in range(1, n + 1)
     ]
     kept = [quoted(c) for c in df.columns if c not in widths]
     return df.select(*kept, *added)

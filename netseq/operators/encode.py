@@ -9,15 +9,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netseq.functions.vectors import dot_columns, doubles
+from netseq.functions.vectors import dot_text, doubles, doubles_text
 from netseq.operators.categorical import LITERAL_LEVELS
 from netseq.session import small_side
 from netseq.spec import CategoricalFormat, ModelInput, quoted
 
 VECTOR = "x"
+
+# Column x dimension products that are written out as one expression; larger maps use matrices.
+EXPRESSION_TERMS = 256
 Matrix = Sequence[Sequence[float]]
 
 
@@ -80,20 +85,50 @@ class RecordEmbed(InputEncoding):
 
     def apply(self, df: DataFrame, model_input: ModelInput) -> DataFrame:
         numerics = model_input.numeric_features
-        columns = _numbers(numerics)
         bias = [0.0] * self.dimension if self.project or not self.bias else list(self.bias)
+        categories = list(model_input.feature_columns().items())[len(numerics) :]
         one_hot = model_input.categorical_format is CategoricalFormat.ONE_HOT
+        if self.dimension * len(model_input.columns) > EXPRESSION_TERMS:
+            return df.withColumn(VECTOR, self._by_matrix(numerics, categories, bias, one_hot))
         dims = []
         for d in range(self.dimension):
-            total = dot_columns(columns, [self.weights[f][0][d] for f in numerics], bias[d])
-            for feature, names in list(model_input.feature_columns().items())[len(numerics) :]:
+            terms = [dot_text(numerics, [self.weights[f][0][d] for f in numerics], bias[d])]
+            for feature, names in categories:
                 rows = [row[d] for row in self.weights[feature]]
-                if one_hot:
-                    total = total + dot_columns(_numbers(names), rows[: len(names)])
-                else:
-                    total = total + _pick(F.col(quoted(feature)), rows)
-            dims.append(total)
-        return df.withColumn(VECTOR, F.array(*dims))
+                terms.append(dot_text(names, rows[: len(names)]) if one_hot else _pick_text(feature, rows))
+            dims.append(" + ".join(terms))
+        return df.withColumn(VECTOR, F.expr(f"array({', '.join(dims)})"))
+
+    def _by_matrix(
+        self, numerics: Sequence[str], categories: list, bias: Sequence[float], one_hot: bool
+    ) -> Column:
+        """The same map for wide tables, as one matrix product per Arrow batch.
+
+        Long sums of columns make generated methods the JVM does not compile.
+        """
+        dense = [self.weights[f][0] for f in numerics]
+        columns = list(numerics)
+        if one_hot:
+            for feature, names in categories:
+                columns += names
+                dense += self.weights[feature][: len(names)]
+        matrix = np.array(dense, dtype="float64").reshape(len(columns), self.dimension)
+        tables = [] if one_hot else [np.vstack([np.zeros(self.dimension), self.weights[f]]) for f, _ in categories]
+        codes = [] if one_hot else [f for f, _ in categories]
+        offset, size = np.array(bias), self.dimension
+
+        @F.arrow_udf("array<double>")
+        def embed(*arrays: pa.Array) -> pa.Array:
+            numbers = [a.to_numpy(zero_copy_only=False) for a in arrays]
+            out = np.tile(offset, (len(numbers[0]), 1))
+            if columns:
+                out += np.column_stack(numbers[: len(columns)]) @ matrix
+            for table, code in zip(tables, numbers[len(columns) :]):
+                out += table[code]
+            ends = pa.array(np.arange(len(out) + 1) * size, pa.int32())
+            return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+
+        return embed(*_numbers(columns), *[F.col(quoted(c)).cast("int") for c in codes])
 
 
 @dataclass(frozen=True)
@@ -187,6 +222,7 @@ def _numbers(columns: Sequence[str]) -> list[Column]:
     return [F.col(quoted(c)).cast("double") for c in columns]
 
 
-def _pick(code: Column, rows: Sequence[float]) -> Column:
+def _pick_text(feature: str, rows: Sequence[float]) -> str:
     """Weight of a 1-based code; 0 for code 0, as for an all-zero one-hot vector."""
-    return F.when(code > 0, F.element_at(doubles(rows), code.cast("int"))).otherwise(F.lit(0.0))
+    code = quoted(feature)
+    return f"CASE WHEN {code} > 0 THEN element_at({doubles_text(rows)}, CAST({code} AS INT)) ELSE 0D END"

@@ -18,9 +18,9 @@ def sanitise(
     df: DataFrame, columns: Sequence[str], limit: float = NUMERIC_LIMIT, as_type: str = "double"
 ) -> DataFrame:
     """Replace missing, non-finite and out-of-range numbers by 0."""
-    return df.withColumns(
-        {c: scalars.sanitise(F.col(quoted(c)), limit, as_type) for c in columns}
-    )
+    bound = scalars.literal(float(limit))
+    rule = "CAST(CASE WHEN abs(CAST({c} AS DOUBLE)) <= {b} THEN CAST({c} AS DOUBLE) ELSE 0D END AS {t})"
+    return df.withColumns({c: F.expr(rule.format(c=quoted(c), b=bound, t=as_type)) for c in columns})
 
 
 def nonfinite_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,7 +57,14 @@ def scaled(column: str, fit: tuple[float, float], clip: bool = False) -> Column:
     """Log min-max expression with the fitted constants."""
     if fit[0] is None:
         raise ValueError(f"no training row to fit {column!r} on")
-    value = scalars.log_minmax(F.col(quoted(column)), F.lit(fit[0]), F.lit(fit[1]))
+    low, spread = float(fit[0]), float(fit[1])
+    if spread == 0:
+        return F.lit(0.0)
+    shifted = f"({quoted(column)} - {scalars.literal(low)} + 1D)"
+    value = F.expr(
+        f"CASE WHEN {shifted} > 0D THEN ln({shifted}) / ln({scalars.literal(spread)} + 1D) "
+        f"WHEN {shifted} = 0D THEN double('-Infinity') ELSE double('NaN') END"
+    )
     return scalars.clip_unit(value) if clip else value
 
 

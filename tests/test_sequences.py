@@ -239,6 +239,30 @@ def test_encodings(spark):
         dense.apply(wide, one_hot)
 
 
+def test_wide_embeddings_by_matrix(spark, monkeypatch):
+    import netseq.operators.encode as encode
+
+    df, codes = flow_vectors(spark)
+    one_hot = ModelInput(["a"], ["k", "m"], [2, 2], CategoricalFormat.ONE_HOT)
+    wide = df.select(
+        ROW, "a", *[(F.col(c) == j).cast("int").alias(f"{c}_{j}") for c in ("k", "m") for j in (1, 2)]
+    )
+    weights = {"a": [[1.0, 2.0]], "k": [[10.0, 0.0], [20.0, 1.0]], "m": [[100.0, 5.0], [200.0, 6.0]]}
+    record = RecordEmbed(2, weights, bias=[0.25, 0.5])
+    want = vector_of(record.apply(df, codes))
+    monkeypatch.setattr(encode, "EXPRESSION_TERMS", 1)
+    assert vector_of(record.apply(df, codes)) == want
+    assert vector_of(record.apply(wide, one_hot)) == want
+
+
+def test_literals_round_trip(spark):
+    from netseq.functions.scalars import literal
+
+    values = ["it's", "back\\slash", "\\'", "a\nb", "ü%_", "", 0.1, -1e-300, 1e22, float("inf"), 5, -(2**63) + 1, True]
+    row = spark.range(1).select(*[F.expr(literal(v)) for v in values]).first()
+    assert list(row) == values
+
+
 def test_long_embedding_tables_are_joined(spark, monkeypatch):
     import netseq.operators.encode as encode
 
