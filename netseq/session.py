@@ -45,19 +45,25 @@ def local_session(cpus: int | None = None, app: str = "netseq") -> SparkSession:
     )
 
 
+# Folders made for local sessions that name none, by application id.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
-    Without that setting a temporary folder is made, but only for a local master.
+    Without that setting a temporary folder is made, but only for a local master; it is the same for all
+    calls of one application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="netseq-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    key = spark.sparkContext.applicationId
+    if key not in _local_folders:
+        _local_folders[key] = tempfile.mkdtemp(prefix="netseq-")
+    return _local_folders[key]
 
 
 def staging_path(spark: SparkSession, label: str) -> str:

@@ -2,7 +2,6 @@
 
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -17,8 +16,6 @@ TESTDATA = "/root/testdata"
 def spark():
     session = local_session(8, "netseq-tests")
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="netseq-tests-"))
     return session
 
 
