@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netseq.llm import quality
+from netseq.llm import licenses, mixing, quality
 from netseq.sources.readers import read_table
 
 QUALITY_POLICY = "v2"
@@ -54,5 +54,98 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
   failed_bits & 3 != 0 AS base_failed, failed_bits & 63 = 0 AS kept, failed_bits FROM b
 """
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
-ORACLE = {"op5_quality_rules": OP5_SQL}
+def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "n_words", *licenses.RESULT)
+
+
+def _op4_sql() -> str:
+    rules = ", ".join(
+        f"('{r.label}', {r.priority}, '{r.keyword}', '{r.over_gaps}', {r.base})" for r in licenses.signatures()
+    )
+    gate = " OR ".join(f"contains(low, '{g}')" for g in licenses.GATE)
+    levels = licenses.CONFIDENCE
+    before = "ORDER BY first, last DESC, priority, label, base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    inside = " OR ".join(
+        f"(priority >= {p} AND coalesce(max(CASE WHEN priority = {p} THEN last END) "
+        f"OVER (PARTITION BY r {before}), -1) >= last)"
+        for p in levels
+    )
+    score = "CASE least(best, best_base) " + " ".join(f"WHEN {p} THEN {c}" for p, c in levels.items()) + " ELSE 0 END"
+    return rf"""
+WITH rules(label, priority, keyword, pattern, base) AS (VALUES {rules}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents),
+n AS (
+  SELECT r, ' ' || trim(regexp_replace(low, '{licenses.GAP}', '  ', 'g'), ' ') || ' ' AS n FROM d WHERE {gate}
+), h AS (
+  SELECT r, label, priority, base, regexp_extract_all(n, pattern, 1) AS ms,
+    string_split(trim(regexp_replace(n, pattern, ' ' || chr(1) || ' ', 'g'), ' '), '  ') AS toks
+  FROM n JOIN rules ON contains(n, ' ' || keyword || ' ')
+), i AS (
+  SELECT r, label, priority, base, unnest(list_filter(range(len(toks)), lambda i: starts_with(toks[i + 1], chr(1)))) AS first,
+    unnest(ms) AS m FROM h
+), j AS (
+  SELECT r, label, priority, base, first, first + len(string_split(m, '  ')) - 1 AS last FROM i
+), k AS (SELECT *, {inside} AS inside FROM j),
+g AS (
+  SELECT r, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word,
+    max(first) FILTER (WHERE base) AS last_word, list(label) FILTER (WHERE base) AS bl,
+    list(label) FILTER (WHERE base OR NOT inside) AS al, min(priority) FILTER (WHERE NOT inside) AS best,
+    CASE WHEN count(*) FILTER (WHERE base) > 0 THEN {max(levels)} END AS best_base
+  FROM k GROUP BY r
+)
+SELECT doc_id, CAST(len(regexp_extract_all(t, '{licenses.WORD_ANY_CASE}')) AS BIGINT) AS n_words,
+  coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(bl)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(al)), ','), '') AS labels,
+  CAST({score} AS DOUBLE) AS score
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM d GROUP BY source
+), p AS (
+  SELECT *, source_size * 3 AS cap, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,
+    coalesce(sum(source_size * 3) OVER o, 0) AS capped, coalesce(sum(w) OVER o, 0) AS capped_w
+  FROM s WHERE source_size > 0
+  WINDOW o AS (ORDER BY source_size * 3 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT *, CAST(total - capped AS DOUBLE) / CAST(all_w - capped_w AS DOUBLE) AS lv FROM p
+), t AS (
+  SELECT source, source_size, coalesce(least(max(CASE WHEN lv * w <= cap THEN lv END) OVER () * w, cap), cap) AS target FROM l
+), u AS (
+  SELECT *, floor(target / source_size) AS epochs, CAST(floor(target) - floor(target / source_size) * source_size AS BIGINT) AS budget
+  FROM t
+), k AS (
+  SELECT d.doc_id, d.size, u.* EXCLUDE (source), d.source,
+    CASE WHEN size > 0 THEN greatest(1 - CAST(len(regexp_extract_all(t, '[\x21-\x40\x5B-\x60\x7B-\x7E]')) AS DOUBLE)
+      / greatest(length(t), 1), 0.1) ELSE 0.1 END AS weight,
+    (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 1, 15) AS BIGINT) + 0.5::DOUBLE)
+      / 1152921504606846976::DOUBLE AS unit
+  FROM d LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pow(unit, 1 / weight) DESC, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM k
+), x AS (
+  SELECT *, coalesce(epochs * size, 0) + CASE WHEN budget > 0 AND size > 0 THEN greatest(least(budget - (upto - size), size), 0) ELSE 0 END AS taken
+  FROM c
+)
+SELECT doc_id, size, coalesce(source_size, 0) AS source_size, coalesce(target, 0) AS target, CAST(taken AS BIGINT) AS taken,
+  CAST(CASE WHEN size > 0 THEN ceil(taken / size) ELSE 0 END AS INTEGER) AS copies
+FROM x
+"""
+
+
+QUERIES = {"op1_source_mixing": op1_source_mixing, "op4_license_scans": op4_license_scans, "op5_quality_rules": op5_quality_rules}
+ORACLE = {"op1_source_mixing": OP1_SQL, "op4_license_scans": _op4_sql(), "op5_quality_rules": OP5_SQL}
