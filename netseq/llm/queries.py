@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netseq.llm import licenses, mixing, quality
+from netseq.llm import licenses, mixing, quality, sharding, topk
 from netseq.sources.readers import read_table
 
 QUALITY_POLICY = "v2"
@@ -147,5 +147,53 @@ FROM x
 """
 
 
-QUERIES = {"op1_source_mixing": op1_source_mixing, "op4_license_scans": op4_license_scans, "op5_quality_rules": op5_quality_rules}
-ORACLE = {"op1_source_mixing": OP1_SQL, "op4_license_scans": _op4_sql(), "op5_quality_rules": OP5_SQL}
+def op9_hash_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign(read_table(spark, folder, "documents"), limit=sharding.SHARD_BYTES)
+    return placed.withColumnRenamed("key", "doc_id")
+
+
+# Every prefix of every row is a candidate; the shortest one within the limit is the bucket.
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    list_aggregate(list_transform(string_split(substr(md5(doc_id::VARCHAR), 1, 6), ''),
+      lambda h: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101',
+        '1110', '1111'][CAST('0x' || h AS INTEGER) + 1]), 'string_agg', '') AS bits
+  FROM documents
+), p AS (SELECT doc_id, n_bytes, unnest(range({sharding.KEY_BITS} + 1)) AS n, bits FROM d),
+s AS (SELECT substr(bits, 1, n) AS shard, sum(n_bytes) AS b, count(*) AS c FROM p GROUP BY 1),
+m AS (
+  SELECT doc_id, p.n_bytes, min(n) AS shard_depth, arg_min(shard, n) AS shard, arg_min(b, n) AS shard_bytes, arg_min(c, n) AS shard_rows
+  FROM p JOIN s ON s.shard = substr(bits, 1, n) WHERE b <= {sharding.SHARD_BYTES} GROUP BY doc_id, p.n_bytes
+)
+SELECT doc_id, n_bytes, shard, CAST(shard_depth AS INTEGER) AS shard_depth, CAST(shard_bytes AS BIGINT) AS shard_bytes,
+  CAST(shard_rows AS BIGINT) AS shard_rows, false AS oversized FROM m
+"""
+
+
+def op8_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP8_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+QUERIES = {"op1_source_mixing": op1_source_mixing, "op4_license_scans": op4_license_scans, "op5_quality_rules": op5_quality_rules,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_hash_sharding": op9_hash_sharding,
+}
+ORACLE = {"op1_source_mixing": OP1_SQL, "op4_license_scans": _op4_sql(), "op5_quality_rules": OP5_SQL,
+    "op8_exact_topk": OP8_SQL,
+    "op9_hash_sharding": OP9_SQL,
+}
