@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netseq.llm import licenses, mixing, quality, sharding, topk
+from netseq.llm import licenses, mixing, packing, quality, sharding, tokens, topk
 from netseq.sources.readers import read_table
 
 QUALITY_POLICY = "v2"
@@ -189,11 +189,33 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
-QUERIES = {"op1_source_mixing": op1_source_mixing, "op4_license_scans": op4_license_scans, "op5_quality_rules": op5_quality_rules,
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(read_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op7_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_token_counts": op2_token_counts,
+    "op4_license_scans": op4_license_scans,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_sequence_packing": op7_sequence_packing,
     "op8_exact_topk": op8_exact_topk,
     "op9_hash_sharding": op9_hash_sharding,
 }
-ORACLE = {"op1_source_mixing": OP1_SQL, "op4_license_scans": _op4_sql(), "op5_quality_rules": OP5_SQL,
+ORACLE = {
+    "op1_source_mixing": OP1_SQL,
+    "op4_license_scans": _op4_sql(),
+    "op5_quality_rules": OP5_SQL,
     "op8_exact_topk": OP8_SQL,
     "op9_hash_sharding": OP9_SQL,
 }
