@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netseq.llm import licenses, mixing, packing, quality, sharding, tokens, topk
+from netseq.llm import licenses, mixing, packing, quality, secrets, sharding, tokens, topk, warc
 from netseq.sources.readers import read_table
 
 QUALITY_POLICY = "v2"
@@ -203,17 +203,43 @@ def op7_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.round_trip(read_table(spark, folder, "pages"), least=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+  SELECT page_id, payload_bytes, hex, list_aggregate(list_transform(range(32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(
+      (((CAST('0x' || substr(hex, 1 + CAST(5 * i // 4 AS BIGINT), 2) AS INTEGER)) << CAST(5 * i % 4 AS INTEGER)) >> 3) & 31 AS INTEGER)]),
+    'string_agg', '') AS payload_digest FROM p
+), f AS (SELECT hex, min(page_id) AS first FROM b GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM b JOIN f USING (hex)
+"""
+
+
+def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(read_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_license_scans": op4_license_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
     "op7_sequence_packing": op7_sequence_packing,
     "op8_exact_topk": op8_exact_topk,
     "op9_hash_sharding": op9_hash_sharding,
 }
 ORACLE = {
     "op1_source_mixing": OP1_SQL,
+    "op3_arc_to_warc": OP3_SQL,
     "op4_license_scans": _op4_sql(),
     "op5_quality_rules": OP5_SQL,
     "op8_exact_topk": OP8_SQL,
