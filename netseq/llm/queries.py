@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netseq.llm import licenses, mixing, packing, quality, secrets, sharding, tokens, topk, warc
+from netseq.llm import licenses, mixing, ngram_join, packing, quality, secrets, sharding, tokens, topk, warc
 from netseq.sources.readers import read_table
 
 QUALITY_POLICY = "v2"
@@ -226,6 +226,12 @@ def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(read_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    found = ngram_join.jaccard_components(docs, ngram_join.Measure(words=3, percent=90))
+    return found.drop("digest")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
@@ -236,6 +242,7 @@ QUERIES = {
     "op7_sequence_packing": op7_sequence_packing,
     "op8_exact_topk": op8_exact_topk,
     "op9_hash_sharding": op9_hash_sharding,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLE = {
     "op1_source_mixing": OP1_SQL,
