@@ -88,7 +88,7 @@ def mix(
 
     ``taken`` counts the words the mix takes of a document, repeats included. The last document of the
     fractional epoch is cut where the budget ends; with ``whole`` it is taken or left, whichever comes
-    nearer, and ``copies`` is how often a document is taken. ``weights`` has (source, weight) and gives
+    nearer, as are all rows equal to it in key and size. ``copies`` is how often a document is taken. ``weights`` has (source, weight) and gives
     sources it does not list weight 0; by default weights 1, 2, 3 are dealt in turn.
 
     Null sources form one source, null or empty texts have size 0 and are never taken. Keys, sizes and the
@@ -148,16 +148,21 @@ def mix(
         edges = stage(ends.selectExpr("source AS edge_source", "part AS edge", "upto - n AS held"), "mix-edges")
     placed = with_edge(keyed, edges, "left")
     placed = placed.withColumn("on_edge", F.coalesce((F.col("cell") == F.col("edge")) & (F.col("size") > 0), F.lit(False)))
-    inside = Window.partitionBy("source", "cell").orderBy(F.desc("es_key"), "key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    on_edge = placed.filter("on_edge").withColumn("upto", F.col("held") + F.sum("size").over(inside))
+    inside = Window.partitionBy("source", "cell").orderBy(F.desc("es_key"), "key", "size")
     off_edge = placed.filter("NOT on_edge").withColumn("upto", F.lit(None).cast("bigint"))
-    start, left = F.col("upto") - F.col("size"), F.col("budget")
-    if whole:
-        last = F.when(2 * left >= F.col("upto") + start, F.col("size")).otherwise(F.lit(0))
+    if whole:  # rows equal in key and size end at the same place
+        on_edge = placed.filter("on_edge").withColumn("upto", F.col("held") + F.sum("size").over(inside))
+        equals = F.count(F.lit(1)).over(Window.partitionBy("source", "cell", "es_key", "key", "size"))
+        on_edge = on_edge.withColumn("start", F.col("upto") - F.col("size") * equals)
+        last = F.when(2 * F.col("budget") >= F.col("upto") + F.col("start"), F.col("size")).otherwise(F.lit(0))
+        on_edge = on_edge.withColumn("last", last).drop("start")
     else:
-        last = F.greatest(F.least(left - start, F.col("size")), F.lit(0))
+        upto = F.col("held") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        last = F.greatest(F.least(F.col("budget") - F.col("upto") + F.col("size"), F.col("size")), F.lit(0))
+        on_edge = placed.filter("on_edge").withColumn("upto", upto).withColumn("last", last)
+    off_edge = off_edge.withColumn("last", F.lit(0).cast("bigint"))
     fraction = (
-        F.when(F.col("upto").isNotNull(), last)
+        F.when(F.col("upto").isNotNull(), F.col("last"))
         .when(F.coalesce(F.col("cell") < F.col("edge"), F.lit(False)), F.col("size"))
         .otherwise(F.lit(0))
     )
@@ -171,3 +176,21 @@ def mix(
         taken.cast("bigint").alias("taken"),
         F.when(F.col("size") > 0, F.ceil(taken / F.col("size"))).otherwise(F.lit(0)).cast("int").alias("copies"),
     )
+
+
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = 3) -> DataFrame:
+    """The rows of the mix itself: each row of ``docs`` as often as whole documents of it are taken."""
+    mixed = mix(docs, key, text, source, max_epochs=max_epochs, whole=True).filter("copies > 0")
+    taken = mixed.groupBy(F.col(key).alias("__key"), F.col(source).alias("__source"), F.col("size").alias("__size")).agg(
+        F.max("copies").alias("__copies")
+    )
+    taken = stage(taken, "mix-copies")
+    n, name_length = taken.agg(F.count(F.lit(1)), F.max(F.length("__source"))).first()
+    side = checked_side(taken, n, 32 + 4 * (name_length or 0))
+    same = (
+        F.col(key).eqNullSafe(F.col("__key"))
+        & F.col(source).cast("string").eqNullSafe(F.col("__source"))
+        & (word_count(whole_text(text)) == F.col("__size"))
+    )
+    copies = docs.join(side, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return copies.select(*docs.columns)

@@ -289,15 +289,16 @@ class Join:
         return components(links.unionByName(across))
 
     def result(self) -> DataFrame:
-        """(key, n, digest, component) of every row."""
+        """(key, n, digest, component, root) of every row; the root is null without shingles."""
         roots = self.roots()
         placed = self.nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = stage(placed.select("digest", "key", "root"), "ngram-roots")
         smallest = stage(placed.groupBy("root").agg(F.min("key").alias("component")), "ngram-smallest")
-        named = placed.join(smallest, "root").select("digest", "component")
+        named = placed.join(smallest, "root").select("digest", "component", "root")
         named = stage(named, "ngram-named")
         rows = self.rows.join(named, "digest", "left")
-        return rows.select("key", "n", "digest", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
+        component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))
+        return rows.select("key", "n", "digest", component.alias("component"), "root")
 
 
 def jaccard_components(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,3 +311,42 @@ def jaccard_components(docs: DataFrame, measure: Measure, key: str = "doc_id", t
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     found = Join(slim, measure).result()
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "digest")
+
+
+def keep_one(docs: DataFrame, measure: Measure, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest key, null last.
+
+    Rows without shingles stay. Rows are told apart by key; where keys repeat or are null, by key and set, so
+    of repeated rows one stays. Only the keys of dropped rows meet the texts, so these are not shuffled while
+    such keys are few.
+    """
+    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    found = stage(Join(slim, measure).result(), "keep-rows")
+    repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR key IS NULL")
+    repeated = stage(repeated.select(F.col("key").alias("__of")), "keep-repeated")
+    dropped = found.filter(F.col("n") > 0).filter(~F.col("key").eqNullSafe(F.col("component")))
+    dropped = stage(dropped.filter("key IS NOT NULL").select(F.col("key").alias("__of")).distinct(), "keep-dropped")
+    n_repeated = repeated.count()
+    away = dropped.unionByName(repeated) if n_repeated else dropped
+    side = checked_side(away, dropped.count() + n_repeated, 16)
+    kept = docs.filter(F.col(key).isNotNull()).join(side, F.col(key) == F.col("__of"), "left_anti")
+    if not n_repeated:
+        return kept
+
+    again = docs.join(checked_side(repeated, n_repeated, 16), F.col(key).eqNullSafe(F.col("__of")), "left_semi")
+    names, words = docs.columns, measure.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_py(), words) for x in batch.column(text).cast(pa.string())]
+            digests = pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*names, "__digest"])
+
+    told = again.mapInArrow(run, T.StructType([*docs.schema, T.StructField("__digest", T.BinaryType())]))
+    first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "digest")).alias("first")
+    keepers = found.filter("n > 0").groupBy("root").agg(first).select(
+        F.col("first.key").alias("__key"), F.col("first.digest").alias("__kept")
+    )
+    stay = told.join(keepers, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__kept")), "left_semi")
+    stay = stay.dropDuplicates([key, "__digest"]).unionByName(told.filter("__digest IS NULL"))
+    return kept.unionByName(stay.drop("__digest"))
