@@ -13,9 +13,10 @@ from netseq.operators.windows import windows_at
 from netseq.session import small_side
 from netseq.spec import quoted
 
-# A pool at least this many times the draw is sampled by hashing; a smaller one is shuffled whole.
-SPARSE_FACTOR = 4
-SPARE_DRAWS = 32
+# Places tried per wanted rank, and some more for short draws. At least a quarter of the places of a
+# permutation lie below the pool, so four times the draws would do on average.
+TRIES, SPARE_TRIES = 16, 128
+ROUNDS = 4
 
 
 def quotas(batch_size: int) -> dict[bool, int]:
@@ -24,29 +25,37 @@ def quotas(batch_size: int) -> dict[bool, int]:
     return {True: malicious, False: batch_size - malicious}
 
 
+def half_bits(pool: int) -> int:
+    """Bits of each half of a place, so that all places number at least ``pool`` and below four times that."""
+    return max(1, ((pool - 1).bit_length() + 1) // 2)
+
+
+def n_tries(pool: int, n: int) -> int:
+    return min(1 << 2 * half_bits(pool), TRIES * n + SPARE_TRIES)
+
+
 def draws(spark: SparkSession, tag: str, pool: int, n: int, steps: int, seed: int) -> DataFrame:
     """(step, slot, rank): for each step ``n`` different ranks below ``pool``, steps independent.
 
-    Work is proportional to the draws, not to the pool: ranks come from a hash of the draw number
-    and repeats are skipped. Ranks 0..n-1 follow the hashed ones as a last resort, so a step always
-    gets ``n`` of them.
+    The ranks are the first ``n`` values below ``pool`` of a permutation of the places 0, 1, 2, ... that
+    a hash keys by seed, tag and step (a Feistel network). Nothing is drawn twice, and the work follows the
+    draws, not the pool; the rule is the same for all pools.
     """
     if pool < n:
         raise ValueError(f"cannot draw {n} different rows out of {pool} ({tag})")
     step = spark.range(steps).select(F.col("id").alias("step"))
     if n == 0:
         return step.select("step", F.lit(0).cast("bigint").alias("slot"), F.col("step").alias("rank")).limit(0)
-    if pool >= SPARSE_FACTOR * n:
-        hashed = SPARSE_FACTOR * n + SPARE_DRAWS
-        tries = step.select("step", F.explode(_up_to(hashed + n)).alias("j"))
-        drawn = hash60(seed, tag, F.col("step"), F.col("j")) % F.lit(pool)
-        rank = F.when(F.col("j") < hashed, drawn).otherwise(F.col("j") - hashed)
-        picks = tries.select("step", rank.alias("rank"), "j").groupBy("step", "rank").agg(F.min("j").alias("key"))
-    else:
-        every = step.select("step", F.explode(_up_to(pool)).alias("rank"))
-        picks = every.withColumn("key", hash60(seed, tag, F.col("step"), F.col("rank")))
-    turn = F.row_number().over(Window.partitionBy("step").orderBy("key", "rank"))
-    slots = picks.withColumn("turn", turn).filter(F.col("turn") <= n)
+    half = half_bits(pool)
+    places = step.select("step", F.explode(_up_to(n_tries(pool, n))).alias("j"))
+    left, right = F.shiftright("j", half), F.col("j").bitwiseAND(F.lit((1 << half) - 1))
+    places = places.select("step", "j", left.alias("l"), right.alias("r"))
+    for turn in range(ROUNDS):
+        mixed = F.col("l").bitwiseXOR(hash60(seed, tag, F.col("step"), turn, F.col("r")) % F.lit(1 << half))
+        places = places.select("step", "j", F.col("r").alias("l"), mixed.alias("r"))
+    ranks = places.select("step", "j", F.shiftleft("l", half).bitwiseOR(F.col("r")).alias("rank")).filter(F.col("rank") < pool)
+    turn = F.row_number().over(Window.partitionBy("step").orderBy("j"))
+    slots = ranks.withColumn("turn", turn).filter(F.col("turn") <= n)
     return slots.select("step", (F.col("turn") - 1).cast("bigint").alias("slot"), "rank")
 
 

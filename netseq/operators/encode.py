@@ -162,6 +162,10 @@ class CategoryEmbed(InputEncoding):
     def apply(self, df: DataFrame, model_input: ModelInput) -> DataFrame:
         if model_input.categorical_format is not CategoricalFormat.INTEGERS:
             raise ValueError("category embeddings read integer codes")
+        for feature, levels in zip(model_input.categorical_features, model_input.levels):
+            n_vectors = len(self._rows(feature)) - 1
+            if n_vectors < levels:
+                raise ValueError(f"{feature!r} has {levels} codes but vectors for {n_vectors}")
         out, parts, helpers = df, [F.array(*_numbers(model_input.numeric_features))], []
         for i, feature in enumerate(model_input.categorical_features):
             rows = self._rows(feature)

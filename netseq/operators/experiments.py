@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netseq.functions.hashing import HASH_RANGE, hash60
-from netseq.functions.scalars import predicted_positive, sanitise
+from netseq.functions.scalars import log_minmax, predicted_positive, sanitise
 from netseq.operators.masks import LABEL
 from netseq.operators.metrics import confusion, evaluate, rates
 from netseq.operators.numeric import fit_minmax, scaled
@@ -17,10 +17,6 @@ from netseq.operators.order import ROW, Indexed, Ranked
 from netseq.operators.split import TRAIN, eval_count
 from netseq.operators.windows import trailing, trailing_mean
 
-# Most classes a transfer matrix is fitted for; every row is scored under each fit.
-MAX_TRANSFER_CLASSES = 64
-
-
 def temporal_bias(
     indexed: Indexed, value: str, fractions: Sequence[float], window: int, threshold: float = 0.5
 ) -> DataFrame:
@@ -58,32 +54,23 @@ def transfer_matrix(
 ) -> DataFrame:
     """Fit on the rows of one class, evaluate on the windows ending in every class; F1 against home.
 
-    ``indexed`` carries ``y``. One fit per class (their number is checked), one windowing for all.
+    ``indexed`` carries ``y``. One fit per class, kept as a table; every window is then scored under every
+    fit, so the work is rows times classes, as the matrix asks.
     """
     n = indexed.n_rows
     df = indexed.df.select(
         ROW, LABEL, F.col(class_column).alias("eval_on"), sanitise(F.col(value)).alias("v")
     )
-    ends = (
-        df.groupBy("eval_on")
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .orderBy("eval_on")
-        .limit(MAX_TRANSFER_CLASSES + 1)
-        .collect()
-    )
-    if len(ends) > MAX_TRANSFER_CLASSES:
-        raise ValueError(f"{class_column} has more than {MAX_TRANSFER_CLASSES} classes")
-    rows = df.select(
-        ROW,
-        LABEL,
-        "eval_on",
-        *[scaled("v", (r["lo"], r["hi"] - r["lo"])).alias(f"s{i}") for i, r in enumerate(ends)],
-    )
-    means = trailing_mean(rows, window, n, {f"p{i}": f"s{i}" for i in range(len(ends))})
-    studies = [
-        F.struct(F.lit(r["eval_on"]).alias("fit_on"), F.col(f"p{i}").alias("p")) for i, r in enumerate(ends)
-    ]
-    scored = means.select(LABEL, "eval_on", F.inline(F.array(*studies)))
+    fits = df.groupBy("eval_on").agg(F.min("v").alias("lo"), (F.max("v") - F.min("v")).alias("spread"))
+    every_fit = fits.agg(F.collect_list(F.struct(F.col("eval_on").alias("fit_on"), "lo", "spread"))).scalar()
+    windows = trailing(df, window, n, lambda frame: {"vs": F.collect_list("v").over(frame)})
+    windows = windows.filter(F.col(ROW) >= window - 1).withColumn("fits", every_fit)
+
+    def mean_under(fit: Column) -> Column:
+        total = F.aggregate("vs", F.lit(0.0), lambda s, v: s + log_minmax(v, fit["lo"], fit["spread"]))
+        return F.struct(fit["fit_on"].alias("fit_on"), (total / F.size("vs")).alias("p"))
+
+    scored = windows.select(LABEL, "eval_on", F.inline(F.transform("fits", mean_under)))
     results = evaluate(scored, "p", LABEL, threshold, by=["fit_on", "eval_on"])
     at_home = F.when(F.col("fit_on").eqNullSafe(F.col("eval_on")), F.col("f1"))
     home = F.max(at_home).over(Window.partitionBy("fit_on"))

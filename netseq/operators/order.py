@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from netseq.session import small_side, stage
 from netseq.spec import quoted
 
+# Files that a scan is narrowed to by name. Ranges over more files are filtered by row alone: a longer list
+# would cost the planner more than the scan gains.
+FILE_LITERALS = 1_000
+
 ROW = "row_idx"
 
 # Chunk totals are gathered in one place, so their number is bounded whatever the row count.
@@ -45,8 +49,9 @@ class Indexed(NamedTuple):
             by_base = sorted((base, file) for file, base in self.bases.items())
             ends = [base for base, _ in by_base[1:]] + [self.n_rows]
             inside = {file: base for (base, file), end in zip(by_base, ends) if base < stop and end > start}
-            chosen = F.xxhash64("_metadata.file_path").isin(list(inside))
-            df = _from_bases(self.source.filter(chosen), inside or self.bases, self.n_rows).df
+            if len(inside) <= FILE_LITERALS:
+                chosen = F.xxhash64("_metadata.file_path").isin(list(inside))
+                df = _from_bases(self.source.filter(chosen), inside or self.bases, self.n_rows).df
         if start > 0:
             df = df.filter(F.col(ROW) >= start)
         return df.filter(F.col(ROW) < stop) if stop < self.n_rows else df
@@ -152,7 +157,7 @@ def index_by_file(df: DataFrame) -> Indexed:
         .agg(F.count("*").alias("rows"), F.max("pos").alias("top"), F.xxhash64("path").alias("file"))
         .collect()
     )
-    files.sort(key=lambda f: _natural(f.path))
+    files.sort(key=lambda f: natural_key(f.path))
     bases, total = {}, 0
     for f in files:
         if f.top + 1 != f.rows:
@@ -183,7 +188,7 @@ def index_by_place(df: DataFrame, segment: Sequence[Column], place: str) -> Inde
     names = [f"__s{i}" for i in range(len(segment))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(segment, names)])
     rows = tagged.groupBy(*names).agg(F.count("*").alias("n"), F.min(place).alias("low")).collect()
-    rows.sort(key=lambda r: tuple(_natural(r[n]) for n in names))
+    rows.sort(key=lambda r: tuple(natural_key(r[n]) for n in names))
     bases, total = [], 0
     for r in rows:
         bases.append((*[r[n] for n in names], total - r.low))
@@ -264,7 +269,7 @@ def _chunk_size(n_rows: int) -> int:
     return max(1, math.ceil(n_rows / MAX_CHUNKS), min(1024, n_rows))
 
 
-def _natural(value):
+def natural_key(value):
     """Sort key that puts part-10 after part-9."""
     if not isinstance(value, str):
         return value

@@ -5,10 +5,9 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,8 @@ MIN_BLOCK = 32
 # Windows gathered from a chunk of flows at a time.
 SLIDE_BLOCK = 4096
 
-# Most numbers a weights table may hold before it is refused as a broadcast.
+# Numbers of a weights table that an executor's Python worker is taken to hold (2 GiB of doubles, and as much
+# again on the driver). A larger model does not fit into a task and is refused.
 WEIGHT_LIMIT = 1 << 28
 
 Weights = dict[str, np.ndarray]
@@ -76,19 +76,12 @@ class BasicTransformer(SequenceModel):
 
     @property
     def name(self) -> str:
-        kind = "Basic Conv Transformer" if self.use_conv else "Basic Dense Transformer"
-        return self.title or kind + (" Decoder" if self.is_decoder else "")
+        style = "decoder" if self.is_decoder else "encoder"
+        return self.title or f"{self.n_layers}-layer {'convolution' if self.use_conv else 'dense'} {style}"
 
     @property
     def parameters(self) -> dict:
-        return {
-            "n_layers": self.n_layers,
-            "internal_size": self.internal_size,
-            "use_conv": self.use_conv,
-            "n_heads": self.n_heads,
-            "dropout_rate": self.dropout_rate,
-            "is_decoder": self.is_decoder,
-        }
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "title"}
 
     def _key_size(self, width: int) -> int:
         return width if self.is_decoder else self.internal_size
@@ -162,9 +155,12 @@ class Scorer:
             [self._block(windows[i : i + block]) for i in range(0, len(windows), block)]
         )
 
+    def pooled(self, windows: np.ndarray) -> np.ndarray:
+        """The head's vector of each window over the sequence model."""
+        return self.head.array(self.model.transform(self.head.before_array(windows), self.weights))
+
     def _block(self, windows: np.ndarray) -> np.ndarray:
-        x = self.head.before_array(windows)
-        x = self.head.array(self.model.transform(x, self.weights))
+        x = self.pooled(windows)
         for i in range(len(self.mlp)):
             x = np.maximum(x @ self.weights[f"mlp_{i}_w"] + self.weights[f"mlp_{i}_b"], 0.0)
         i = len(self.mlp)
@@ -225,6 +221,30 @@ def score_windows(
     return kept.mapInArrow(run, schema)
 
 
+def pool_windows(
+    df: DataFrame,
+    pool: Callable[[np.ndarray], np.ndarray],
+    steps: int,
+    width: int,
+    keep: Sequence[str],
+    window: str = "win",
+) -> DataFrame:
+    """(keep…, pooled) for windows held as ARRAY<ARRAY<DOUBLE>>, in blocks of a few windows."""
+    kept = df.select(*[quoted(c) for c in keep], window)
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("pooled", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, MIN_BLOCK):
+                part = batch.slice(start, MIN_BLOCK)
+                found = np.asarray(pool(_dense(part.columns[-1], part.num_rows, steps, width)), dtype="float64")
+                ends = pa.array(np.arange(part.num_rows + 1) * found.shape[1], pa.int32())
+                vectors = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], vectors], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
 def score_flows(
     df: DataFrame,
     probabilities: Callable[[np.ndarray], np.ndarray],
@@ -269,10 +289,8 @@ def score_flows(
         out = chunk.select(names[:-1]).take(pa.array(at))
         return out.append_column("p", pa.array(p))
 
-    # a given number of partitions, as scoring is dear and merging small partitions would serialise it
-    spark = df.sparkSession
-    cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    tasks = max(1, min(cores, math.ceil((n_rows - start) / size)))
+    # one task per chunk, as scoring is dear and merging small partitions would serialise it
+    tasks = max(1, math.ceil((n_rows - start) / size))
     return spread.repartition(tasks, "__chunk").groupBy("__chunk").applyInArrow(run, schema)
 
 
@@ -288,18 +306,20 @@ def time_scoring(
     ``batch_rows`` holds one window per row with its step; a group is one batch.
     """
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        windows = np.array([np.stack(w) for w in batch["win"]], dtype="float64").reshape(-1, steps, width)
+    def run(batch: pa.Table) -> pa.Table:
+        batch = batch.combine_chunks()
+        windows = _dense(batch["win"].combine_chunks(), batch.num_rows, steps, width)
         taken = []
         for _ in range(n_repeats):
             begin = time.perf_counter()
             probabilities(windows)
             taken.append(time.perf_counter() - begin)
-        return pd.DataFrame(
-            {"step": batch["step"].iloc[0], "repeat": range(n_repeats), "seconds": taken}
+        step = [batch["step"][0].as_py()] * n_repeats
+        return pa.table(
+            {"step": pa.array(step, pa.int64()), "repeat": pa.array(range(n_repeats), pa.int32()), "seconds": taken}
         )
 
-    return batch_rows.select("step", "win").groupBy("step").applyInPandas(
+    return batch_rows.select("step", "win").groupBy("step").applyInArrow(
         run, "step long, repeat int, seconds double"
     )
 

@@ -1,27 +1,27 @@
-"""Training a window classifier on balanced batches: with Spark ML, or epoch by epoch."""
+"""Training a window classifier on balanced batches with Spark ML, epoch by epoch."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netseq.operators.masks import LABEL
 from netseq.operators.runlog import FIXED_EVAL_EPOCH, START_LOSS
-from netseq.operators.score import Weights
+
+# Columns of a run log: one row per optimiser step; elapsed counts seconds from the start of the run.
+LOG = "epoch int, step int, loss double, accuracy double, elapsed double"
 
 
 class Classifier(NamedTuple):
-    """A fitted Spark ML model and the loss after each iteration."""
+    """A fitted Spark ML model."""
 
     model: object
-    losses: list[float]
 
     def score(self, df: DataFrame, keep: Sequence[str], vector: str = "x") -> DataFrame:
         """(keep…, p): probability of the malicious class."""
@@ -29,145 +29,54 @@ class Classifier(NamedTuple):
         scored = self.model.transform(rows)
         return scored.select(*keep, vector_to_array("probability").getItem(1).alias("p"))
 
-    def run_log(self, df: DataFrame) -> DataFrame:
-        """(epoch, step, loss): one row per iteration."""
-        rows = [(i, 0, float(v)) for i, v in enumerate(self.losses)]
-        return df.sparkSession.createDataFrame(rows, "epoch int, step int, loss double")
-
-
-def train_classifier(
-    rows: DataFrame,
-    vector: str = "x",
-    width: int = 0,
-    hidden: Sequence[int] = (),
-    epochs: int = 20,
-    seed: int = 42,
-) -> Classifier:
-    """Fit on (x ARRAY<DOUBLE>, y BOOLEAN); hidden layers switch to a perceptron.
-
-    The rows are the drawn batches, far fewer than the table; gradients are summed on executors.
-    """
-    data = rows.select(
-        array_to_vector(vector).alias("features"), F.col(LABEL).cast("double").alias("label")
-    )
-    if hidden:
-        layers = [width, *hidden, 2]
-        learner = MultilayerPerceptronClassifier(layers=layers, maxIter=epochs, seed=seed)
-    else:
-        learner = LogisticRegression(maxIter=epochs, regParam=1e-4)
-    model = learner.fit(data)
-    return Classifier(model, list(model.summary().objectiveHistory if hidden else model.summary.objectiveHistory))
-
 
 class EpochRun(NamedTuple):
-    """Final weights, the log (epoch, step, loss), what ``evaluate`` returned, and the last epoch."""
+    """The trained classifier, the log, what ``evaluate`` returned, and the last epoch."""
 
-    weights: Weights
-    log: list[tuple[int, int, float]]
+    classifier: Classifier
+    log: list[tuple[int, int, float, float, float]]
     evaluations: list
     final_epoch: int
 
 
 def train_epochs(
-    batches: DataFrame,
-    weights: Weights,
-    steps_per_epoch: int,
+    draw: Callable[[int], DataFrame],
+    sizes: Sequence[int],
     epochs: int,
+    steps: int,
     patience: int = 5,
-    rate: float = 0.1,
-    shards: int = 1,
-    evaluate: Callable[[Weights, int], object] | None = None,
+    seed: int = 42,
+    evaluate: Callable[[Classifier, int], object] | None = None,
     vector: str = "pooled",
 ) -> EpochRun:
-    """Train output layers (ReLU layers, a sigmoid unit) with the epoch protocol of a study.
+    """Train output layers of the given ``sizes`` (input width, hidden layers, 2) epoch by epoch.
 
-    ``batches`` holds (step, y, vector) with steps numbered over all epochs; it should be a stored
-    table, as every epoch reads its part. Within an epoch each shard takes its share of the steps,
-    one gradient update per step, and the shards' weights are averaged: one shard is plain sequential
-    training. Only losses and weights come back to the driver. Evaluation takes place at the fixed
-    epoch, at the last one, and where ``patience`` runs out.
+    ``draw(epoch)`` gives that epoch's rows (y, vector), drawn afresh and far fewer than the table. Every
+    epoch starts from the weights of the one before and takes at most ``steps`` optimiser steps; gradients
+    are summed on the executors. Training ends where ``patience`` runs out: an epoch improves on the best
+    loss so far or counts against it. Evaluation takes place at the fixed epoch, at the last one, and at
+    that end, always with the weights trained so far.
     """
-    best, waiting, log, evaluations, epoch = START_LOSS, 0, [], [], 0
-    layers = len(weights) // 2
+    best, waiting, log, evaluations, weights, classifier, epoch = START_LOSS, 0, [], [], None, None, 0
+    begin = time.perf_counter()
     for epoch in range(epochs):
-        steps = F.col("step").between(epoch * steps_per_epoch, (epoch + 1) * steps_per_epoch - 1)
-        share = batches.filter(steps).select(
-            (F.col("step") % shards).alias("shard"), "step", F.col(LABEL).cast("double").alias("y"), vector
+        rows = draw(epoch).select(
+            array_to_vector(vector).alias("features"), F.col(LABEL).cast("double").alias("label")
         )
-        task = _descend(weights, layers, rate, vector)
-        rows = share.groupBy("shard").applyInArrow(task, "step long, loss double, weights array<double>").collect()
-        results = [r["weights"] for r in rows if r["weights"] is not None]
-        weights = _unpacked(np.mean(results, axis=0), weights)
-        losses = sorted((r["step"] % steps_per_epoch, r["loss"]) for r in rows if r["loss"] is not None)
-        log += [(epoch, step, loss) for step, loss in losses]
-        improved = any(loss < best for _, loss in losses)
-        best = min([best, *[loss for _, loss in losses if loss == loss]])
+        learner = MultilayerPerceptronClassifier(layers=list(sizes), maxIter=steps, seed=seed)
+        if weights is not None:
+            learner.setInitialWeights(weights)
+        model = learner.fit(rows)
+        weights, classifier, summary = model.weights, Classifier(model), model.summary()
+        losses, accuracy = [float(v) for v in summary.objectiveHistory], float(summary.accuracy)
+        elapsed = time.perf_counter() - begin
+        log += [(epoch, step, loss, accuracy, elapsed) for step, loss in enumerate(losses)]
+        improved = any(loss < best for loss in losses)
+        best = min([best, *[loss for loss in losses if loss == loss]])
         waiting = 0 if improved else waiting + 1
         stop = 0 < patience < waiting
         if evaluate and (epoch in (FIXED_EVAL_EPOCH, epochs - 1) or stop):
-            evaluations.append(evaluate(weights, epoch))
+            evaluations.append(evaluate(classifier, epoch))
         if stop:
             break
-    return EpochRun(weights, log, evaluations, epoch)
-
-
-def _descend(weights: Weights, layers: int, rate: float, vector: str) -> Callable[[pa.Table], pa.Table]:
-    """Task that walks through the steps of one shard and returns their losses and the new weights."""
-
-    def run(shard: pa.Table) -> pa.Table:
-        shard = shard.combine_chunks()
-        step, y = shard["step"].to_numpy(), shard["y"].to_numpy()
-        x = shard[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
-        mine = {n: w.copy() for n, w in weights.items()}
-        numbers, losses = np.unique(step), []
-        for s in numbers:
-            rows = step == s
-            losses.append(_update(mine, layers, x[rows], y[rows], rate))
-        return pa.table(
-            {
-                "step": pa.array([*numbers, 0], pa.int64()),
-                "loss": pa.array([*losses, None], pa.float64()),
-                "weights": pa.array([*[None] * len(numbers), _packed(mine)], pa.list_(pa.float64())),
-            }
-        )
-
-    return run
-
-
-def _update(w: Weights, layers: int, x: np.ndarray, y: np.ndarray, rate: float) -> float:
-    """One gradient step on a batch, in place; returns the cross entropy before it."""
-    outputs = [x]
-    for i in range(layers):
-        z = outputs[-1] @ w[f"mlp_{i}_w"] + w[f"mlp_{i}_b"]
-        outputs.append(np.maximum(z, 0.0) if i < layers - 1 else 1.0 / (1.0 + np.exp(-z)))
-    p = np.clip(outputs[-1][:, 0], 1e-7, 1 - 1e-7)
-    loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-    slope = ((outputs[-1][:, 0] - y) / len(y))[:, None]
-    for i in reversed(range(layers)):
-        down = slope @ w[f"mlp_{i}_w"].T * (outputs[i] > 0)
-        w[f"mlp_{i}_w"] -= rate * outputs[i].T @ slope
-        w[f"mlp_{i}_b"] -= rate * slope.sum(axis=0)
-        slope = down
-    return loss
-
-
-def _packed(weights: Weights) -> np.ndarray:
-    return np.concatenate([weights[n].ravel() for n in sorted(weights)])
-
-
-def _unpacked(flat: np.ndarray, like: Weights) -> Weights:
-    out, at = {}, 0
-    for n in sorted(like):
-        out[n] = flat[at : at + like[n].size].reshape(like[n].shape)
-        at += like[n].size
-    return out
-
-
-def starting_weights(sizes: Sequence[int], seed: int = 42) -> Weights:
-    """Seeded uniform weights for output layers of the given sizes, scaled by layer width; zero biases."""
-    rng = np.random.default_rng(seed)
-    out: Weights = {}
-    for i, (a, b) in enumerate(zip(sizes, sizes[1:])):
-        reach = np.sqrt(6 / (a + b))
-        out[f"mlp_{i}_w"], out[f"mlp_{i}_b"] = rng.uniform(-reach, reach, (a, b)), np.zeros(b)
-    return out
+    return EpochRun(classifier, log, evaluations, epoch)

@@ -15,7 +15,7 @@ from netseq.operators.metrics import evaluate
 from netseq.operators.order import ROW, Ranked
 from netseq.operators.pool import AverageHead, ClsHead, FeaturewiseHead, FlattenHead, Head, LastHead
 from netseq.operators.preprocessing import StandardPreprocessing
-from netseq.operators.score import BasicTransformer, Scorer, patterned_weights, score_flows
+from netseq.operators.score import BasicTransformer, Scorer, SequenceModel, patterned_weights, score_flows
 from netseq.operators.split import TRAIN, first_eval_row
 from netseq.operators.windows import featurewise, long_form, ordered_windows, trailing_mean
 from netseq.plans.common import (
@@ -152,7 +152,11 @@ def pool_avg_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pool_last(spark: SparkSession, folder: str) -> DataFrame:
-    return _pooled(spark, folder, LastHead())
+    """The last flow of a window is the flow that ends it, so the rows themselves do."""
+    df, _ = _encoded(spark, folder)
+    ends = df.filter(~F.col(TRAIN) & (F.col(ROW) >= WINDOW - 1))
+    out = ends.select(F.col(ROW).alias("end_idx"), F.posexplode(VECTOR).alias("dim", "v"))
+    return rounded(out, "v")
 
 
 def pool_cls(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,12 +223,31 @@ def score_decoder(spark: SparkSession, folder: str) -> DataFrame:
     return _attention(spark, folder, BasicTransformer(2, 128, 2, is_decoder=True), ClsHead())
 
 
-def _study(spark: SparkSession, folder: str, head: Head) -> FlowStudy:
+SMALL_ENCODER = Scorer(BasicTransformer(1, WIDTH, 1), LastHead())
+SMALL_DECODER = Scorer(BasicTransformer(1, WIDTH, 1, is_decoder=True), LastHead())
+
+
+def _small_weights(scorer: Scorer) -> dict[str, np.ndarray]:
+    return patterned_weights(scorer.weight_shapes(WINDOW, WIDTH), scale=2.0)
+
+
+def score_encoder_small(spark: SparkSession, folder: str) -> DataFrame:
+    """One attention block with one head over windows of events, small enough for SQL to follow."""
+    df, n = _encoded(spark, folder)
+    return _scored(df, n, WIDTH, SMALL_ENCODER.with_weights(_small_weights(SMALL_ENCODER)))
+
+
+def score_decoder_small(spark: SparkSession, folder: str) -> DataFrame:
+    df, n = _encoded(spark, folder)
+    return _scored(df, n, WIDTH, SMALL_DECODER.with_weights(_small_weights(SMALL_DECODER)))
+
+
+def _study(spark: SparkSession, folder: str, head: Head, model: SequenceModel | None = None) -> FlowStudy:
     study = FlowStudy(
         spark,
         StandardPreprocessing(),
         ConcatEncoding(),
-        BasicTransformer(2, 128, 2),
+        model or BasicTransformer(2, 128, 2),
         head,
         StudyParams(window_size=WINDOW, mlp_layer_sizes=(128,), seed=SEED),
     )
@@ -234,14 +257,16 @@ def _study(spark: SparkSession, folder: str, head: Head) -> FlowStudy:
 
 
 def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    """Logistic regression on flattened windows of balanced batches, evaluated on the last orders."""
-    _, outcome = _study(spark, folder, FlattenHead()).fit(batch_size=128, steps_per_epoch=16, epochs=10)
+    """A linear classifier on flattened windows of balanced batches, evaluated on the last orders."""
+    study = _study(spark, folder, FlattenHead(), SequenceModel())
+    _, outcome = study.fit(batch_size=128, steps_per_epoch=16, epochs=2, hidden=())
     return outcome.eval_results
 
 
 def train_epochs(spark: SparkSession, folder: str) -> DataFrame:
     """Epoch-wise training of the output layers with early stopping: the evaluation rows."""
-    _, outcome = _study(spark, folder, FlattenHead()).train(batch_size=128, steps_per_epoch=16, epochs=3)
+    study = _study(spark, folder, FlattenHead(), SequenceModel())
+    _, outcome = study.fit(batch_size=128, steps_per_epoch=16, epochs=3, hidden=(8,))
     return outcome.eval_results
 
 
@@ -277,6 +302,8 @@ QUERIES = {
     "score_mlp": score_mlp,
     "score_encoder": score_encoder,
     "score_decoder": score_decoder,
+    "score_encoder_small": score_encoder_small,
+    "score_decoder_small": score_decoder_small,
     "train_classifier": train_classifier,
     "train_epochs": train_epochs,
     "study_score": study_score,
@@ -294,18 +321,24 @@ _RANKED = (
 
 
 def _draw_sql(name: str, tag: str, pool: str, n: int, steps: int) -> str:
-    """``n`` different ranks per step: the first hashed ones, or a shuffle of all of a small pool."""
-    hashed = batching.SPARSE_FACTOR * n + batching.SPARE_DRAWS
-    text = f"'{SEED}:{tag}:' || step || ':' || j"
-    return (
-        f"{name}p AS (SELECT ({pool}) AS pool), "
-        f"{name}0 AS (SELECT step, {h60(text)} % pool AS rank, min(j) AS key "
-        f"FROM range({steps}) a(step) CROSS JOIN range({hashed}) b(j) CROSS JOIN {name}p "
-        f"WHERE pool >= {batching.SPARSE_FACTOR * n} GROUP BY 1, 2 UNION ALL "
-        f"SELECT step, j, {h60(text)} FROM range({steps}) a(step) CROSS JOIN range({batching.SPARSE_FACTOR * n}) b(j) "
-        f"CROSS JOIN {name}p WHERE pool < {batching.SPARSE_FACTOR * n} AND j < pool), "
-        f"{name} AS (SELECT step, rank, row_number() OVER (PARTITION BY step ORDER BY key, rank) - 1 AS slot "
-        f"FROM {name}0 QUALIFY row_number() OVER (PARTITION BY step ORDER BY key, rank) <= {n})"
+    """``n`` different ranks per step: the first below the pool of a keyed permutation of the places."""
+    most = batching.TRIES * n + batching.SPARE_TRIES
+    sql = (
+        f"{name}p AS (SELECT pool, greatest(1, (length(ltrim(bin(pool - 1), '0')) + 1) // 2) AS half FROM (SELECT ({pool}) AS pool)), "
+        f"{name}x AS (SELECT step, j, pool, half, CAST(j AS BIGINT) >> half AS l, CAST(j AS BIGINT) & ((1::BIGINT << half) - 1) AS r "
+        f"FROM {name}p CROSS JOIN range({steps}) a(step) CROSS JOIN range({most}) b(j) WHERE j < (1::BIGINT << 2 * half)), "
+    )
+    before = f"{name}x"
+    for turn in range(batching.ROUNDS):
+        key = h60(f"'{SEED}:{tag}:' || step || ':{turn}:' || r")
+        sql += (
+            f"{name}{turn} AS (SELECT step, j, pool, half, r AS l, xor(l, {key} % (1::BIGINT << half)) AS r FROM {before}), "
+        )
+        before = f"{name}{turn}"
+    rank = "((l << half) | r)"
+    turn = "row_number() OVER (PARTITION BY step ORDER BY j)"
+    return sql + (
+        f"{name} AS (SELECT step, {rank} AS rank, {turn} - 1 AS slot FROM {before} WHERE {rank} < pool QUALIFY {turn} <= {n})"
     )
 
 
@@ -339,7 +372,74 @@ _HIDDEN = [
     for j, b in enumerate((0.1, 0.2))
 ]
 
+
+
+def _linear(x: list[str], weight: np.ndarray, bias: np.ndarray) -> list[str]:
+    """SQL of x @ weight + bias."""
+    weight, bias = weight.reshape(len(x), -1), bias.ravel()
+    return [
+        "(" + " + ".join([f"{v} * {float(weight[i, j])!r}::DOUBLE" for i, v in enumerate(x)] + [f"{float(bias[j])!r}::DOUBLE"]) + ")"
+        for j in range(weight.shape[1])
+    ]
+
+
+def _normed(x: list[str], w: dict[str, np.ndarray], number: int) -> list[str]:
+    mean = f"(({' + '.join(x)}) / {len(x)})"
+    spread = "(" + " + ".join(f"power({v} - {mean}, 2)" for v in x) + f") / {len(x)}"
+    scale, shift = w[f"norm{number}_scale"], w[f"norm{number}_shift"]
+    return [
+        f"(({v} - {mean}) / sqrt({spread} + 1e-6::DOUBLE) * {float(a)!r}::DOUBLE + {float(b)!r}::DOUBLE)"
+        for v, a, b in zip(x, scale, shift)
+    ]
+
+
+def _named(values: list[str], *names: str) -> str:
+    return ", ".join(f"{v} AS {n}" for v, n in zip(values, names))
+
+
+def _attention_ctes(name: str, asked: str, w: dict[str, np.ndarray]) -> str:
+    """CTE ``name`` (end_idx, a0, a1): attention of the one step (z0, z1) in ``asked`` over its window."""
+    step = ["x0", "x1"]
+    key, value = (_linear(step, w[f"{p}_w"], w[f"{p}_b"]) for p in ("key", "value"))
+    query = _linear(["z0", "z1"], w["query_w"], w["query_b"])
+    out = _linear(["h0", "h1"], w["out_w"], w["out_b"])
+    return (
+        f"{name}k AS (SELECT end_idx, {_named(key, 'k0', 'k1')}, {_named(value, 'v0', 'v1')} FROM w), "
+        f"{name}q AS (SELECT end_idx, {_named(query, 'q0', 'q1')} FROM {asked}), "
+        f"{name}g AS (SELECT end_idx, v0, v1, (q0 * k0 + q1 * k1) / sqrt(2::DOUBLE) AS g FROM {name}k JOIN {name}q USING (end_idx)), "
+        f"{name}e AS (SELECT end_idx, v0, v1, exp(g - max(g) OVER (PARTITION BY end_idx)) AS e FROM {name}g), "
+        f"{name}h AS (SELECT end_idx, sum(e * v0) / sum(e) AS h0, sum(e * v1) / sum(e) AS h1 FROM {name}e GROUP BY end_idx), "
+        f"{name} AS (SELECT end_idx, {_named(out, 'a0', 'a1')} FROM {name}h)"
+    )
+
+
+def _small_sql(scorer: Scorer) -> str:
+    every = _small_weights(scorer)
+    w = {n.removeprefix("block_0_"): v for n, v in every.items()}
+    relu = lambda values: [f"greatest(0.0, {v})" for v in values]
+    feed = lambda x: _linear(relu(_linear(x, w["inner_w"], w["inner_b"])), w["outer_w"], w["outer_b"])
+    plus = lambda x, y: [f"({a} + {b})" for a, b in zip(x, y)]
+    f, y = ["f0", "f1"], ["y0", "y1"]
+    sql = f"WITH {_EVAL_STEPS}, zl AS (SELECT end_idx, y, x0 AS z0, x1 AS z1 FROM w WHERE pos = {WINDOW - 1}), "
+    sql += _attention_ctes("za", "zl", w) + ", "
+    first = _normed(plus(["z0", "z1"], ["a0", "a1"]), w, 1)
+    if scorer.model.is_decoder:
+        sql += f"zb AS (SELECT end_idx, y, {_named(first, 'z0', 'z1')} FROM zl JOIN za USING (end_idx)), "
+        sql += _attention_ctes("zc", "zb", w)
+        sql += f", zd AS (SELECT end_idx, y, {_named(_normed(plus(['z0', 'z1'], ['a0', 'a1']), w, 2), *y)} FROM zb JOIN zc USING (end_idx)), "
+        sql += f"ze AS (SELECT *, {_named(feed(y), *f)} FROM zd), "
+        sql += f"zo AS (SELECT end_idx, y, {_named(_normed(plus(y, f), w, 2), 'o0', 'o1')} FROM ze)"
+    else:
+        sql += f"zd AS (SELECT end_idx, y, a0 AS y0, a1 AS y1, {_named(first, 'n0', 'n1')} FROM zl JOIN za USING (end_idx)), "
+        sql += f"ze AS (SELECT *, {_named(relu(feed(['n0', 'n1'])), *f)} FROM zd), "
+        sql += f"zo AS (SELECT end_idx, y, {_named(_normed(plus(y, f), w, 2), 'o0', 'o1')} FROM ze)"
+    logit = _linear(["o0", "o1"], every["mlp_0_w"], every["mlp_0_b"])[0]
+    return f"{sql} SELECT end_idx, y, {rd(f'1 / (1 + exp(-{logit}))')} AS p FROM zo"
+
+
 ORACLE = {
+    "score_encoder_small": _small_sql(SMALL_ENCODER),
+    "score_decoder_small": _small_sql(SMALL_DECODER),
     "windows_ordered": f"WITH {EVENT_SCALED} " + window_join("s", f"{rd('x.scaled')} AS scaled", "true"),
     "windows_random_ctx": f"WITH {_batch_sql(CONTEXT_STEPS)}, tr AS (SELECT row_idx, row_number() OVER "
     "(ORDER BY row_idx) - 1 AS rank FROM c WHERE is_train), "

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
@@ -40,11 +41,16 @@ def artifact_key(name: str, n_rows: int, preprocessing: dict, local: dict) -> st
 
 
 def save_artifact(artifact: Artifact, path: str) -> None:
-    """Table as parquet, description as JSON; the description comes last and marks completion."""
+    """Table as parquet under a new name, then a description that points to it and marks completion.
+
+    What a broken run has left behind is never read and never in the way.
+    """
     spark = artifact.df.sparkSession
-    artifact.df.write.mode("errorifexists").parquet(f"{path}/table")
-    text = spark.createDataFrame([(artifact.model_input.to_json(),)], "value string")
-    text.coalesce(1).write.mode("errorifexists").text(f"{path}/model_input")
+    table = f"table-{uuid.uuid4().hex}"
+    artifact.df.write.mode("errorifexists").parquet(f"{path}/{table}")
+    told = json.dumps({"table": table, "model_input": artifact.model_input.to_json()})
+    text = spark.createDataFrame([(told,)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{path}/model_input")
 
 
 def load_artifact(spark: SparkSession, path: str) -> Artifact | None:
@@ -55,7 +61,8 @@ def load_artifact(spark: SparkSession, path: str) -> Artifact | None:
         return None
     if text is None:
         return None
-    return Artifact(spark.read.parquet(f"{path}/table"), ModelInput.from_json(text[0]))
+    told = json.loads(text[0])
+    return Artifact(spark.read.parquet(f"{path}/{told['table']}"), ModelInput.from_json(told["model_input"]))
 
 
 def load_or_build(

@@ -20,6 +20,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from netseq.operators.order import natural_key
+
 # Position columns a scan adds on request: file number, record batch number, row in the batch.
 FILE, BATCH, PLACE = "__file", "__batch", "__place"
 
@@ -130,7 +132,7 @@ class FeatherWriter(DataSourceArrowWriter):
 
         scan = _Scan.of(self.options)
         number = TaskContext.get().partitionId()
-        path = f"{scan.root}/.{number:05d}-{uuid.uuid4().hex}"
+        path = f"{scan.root}/.{number:010d}-{uuid.uuid4().hex}"
         writer = None
         with scan.system.open_output_stream(path) as out:
             for batch in iterator:
@@ -182,7 +184,7 @@ class _Scan:
         if info.type != pafs.FileType.Directory:
             return []
         found = self.system.get_file_info(pafs.FileSelector(self.root))
-        return sorted(f.path for f in found if f.base_name.lower().endswith(".feather"))
+        return sorted((f.path for f in found if f.base_name.lower().endswith(".feather")), key=natural_key)
 
 
 

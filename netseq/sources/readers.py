@@ -21,7 +21,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, types: T.StructType, positions: bool = False) -> DataFrame:
     """CSV with a header; columns are typed by name without a pass over the data to infer types.
 
-    Columns without a type are not read. ``positions`` adds file, block start and a number that
+    Columns without a type are not read. A value that is not of its column's type is an error, as is a file
+    whose header names other columns or another order. ``positions`` adds file, block start and a number that
     rises along each block; it follows the split of the files, so stage the frame before using it.
     """
     header = spark.read.option("header", True).csv(path).columns
@@ -30,7 +31,8 @@ def read_csv(spark: SparkSession, path: str, types: T.StructType, positions: boo
     if missing:
         raise ValueError(f"columns missing from {path}: {missing}")
     in_file = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
-    scan = spark.read.schema(in_file).option("header", True).csv(path)
+    strict = {"header": True, "mode": "FAILFAST", "enforceSchema": False, "escape": '"'}
+    scan = spark.read.schema(in_file).options(**strict).csv(path)
     extra = []
     if positions:
         extra = [

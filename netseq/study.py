@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netseq.operators import batching, runlog
+from netseq.operators import batching
 from netseq.operators.assemble import RAW_LABEL, preprocess
 from netseq.operators.categorical import one_hot
 from netseq.operators.encode import VECTOR, InputEncoding
@@ -21,9 +21,9 @@ from netseq.operators.numeric import NUMERIC_LIMIT
 from netseq.operators.order import ROW, Ranked
 from netseq.operators.pool import Head
 from netseq.operators.preprocessing import Preprocessing
-from netseq.operators.score import Scorer, SequenceModel, Weights, score_flows, score_windows, time_scoring
+from netseq.operators.score import Scorer, SequenceModel, Weights, pool_windows, score_flows, score_windows, time_scoring
 from netseq.operators.split import TRAIN, first_eval_row, split, training_rows
-from netseq.operators.train import Classifier, starting_weights, train_classifier, train_epochs
+from netseq.operators.train import LOG, Classifier, train_epochs
 from netseq.operators.windows import ordered_windows, windows_at
 from netseq.session import shared_folder, stage, tune
 from netseq.sources.artifacts import Artifact, MemoryCache, artifact_key, load_or_build
@@ -32,7 +32,7 @@ from netseq.spec import CategoricalFormat, EvalSampling, FlowSpec, ModelInput, S
 
 
 class Outcome(NamedTuple):
-    """Run log (epoch, step, loss), result rows, last epoch."""
+    """Run log (epoch, step, loss, accuracy, elapsed), result rows, last epoch."""
 
     train_results: DataFrame
     eval_results: DataFrame
@@ -85,21 +85,16 @@ class FlowStudy:
         than storing one column per level.
         """
         params, encoding = self.params, self.encoding
-        key = artifact_key(
-            name,
-            n_rows,
-            {"__preprocessing_name": self.preprocessing.name, **self.preprocessing.parameters},
-            {
-                "evaluation_percent": evaluation_percent,
-                "numerical_filter": numerical_filter,
-                "categorical_method": encoding.required_format.value,
-                "n_rows": n_rows,
-                "sampling": sampling.value,
-                "seed": params.seed,
-                "spec": spec.to_json(),
-                "window_size": params.window_size,
-            },
-        )
+        settings = {
+            "source": dataset if isinstance(dataset, str) else None,
+            "types": types.json() if types else None,
+            "roles": spec.to_json(),
+            "split": [sampling.value, evaluation_percent, params.window_size, params.seed],
+            "limit": numerical_filter,
+            "form": encoding.required_format.value,
+        }
+        steps = {"kind": self.preprocessing.name, "settings": self.preprocessing.parameters}
+        key = artifact_key(name, n_rows, steps, settings)
 
         def build() -> Artifact:
             indexed = read_flows(self.spark, dataset, spec, types, n_rows)
@@ -213,74 +208,53 @@ class FlowStudy:
         steps_per_epoch: int = 128,
         epochs: int = 100,
         early_stopping_patience: int = 5,
-        hidden: Sequence[int] = (),
+        hidden: Sequence[int] | None = None,
+        weights: Weights | None = None,
+        iterations: int = 8,
     ) -> tuple[Classifier, Outcome]:
-        """Train a classifier on balanced batches of pooled windows and evaluate it.
+        """Train the output layers on fresh balanced batches in every epoch, evaluating on schedule.
 
-        One optimiser iteration over all drawn batches is an epoch of the run log.
+        The study's sequence model runs in front of the head with fixed ``weights``; a model that has
+        weights is refused without them. ``hidden`` defaults to the study's layer sizes. An epoch's
+        ``steps_per_epoch`` batches are one training set, on which up to ``iterations`` optimiser steps are
+        taken, the steps of the run log.
         """
-        pooled_width = self.head.output_width(
-            *self.head.model_shape(self.params.window_size, self.width)
-        )
-        batches = self.pooled(self.training_windows(batch_size, steps_per_epoch)).select(LABEL, "pooled")
-        classifier = train_classifier(
-            stage(batches, "batches"),
-            "pooled",
-            pooled_width,
-            hidden,
-            epochs,
-            self.params.seed,
+        stored = stage(
+            self.pooled(self.training_windows(batch_size, steps_per_epoch * epochs), weights, ["step", LABEL]),
+            "batches",
         )
-        log = classifier.run_log(self.table)
-        verdicts = runlog.epoch_verdicts(log, len(classifier.losses), early_stopping_patience)
-        final = runlog.final_epoch(verdicts).first()["final_epoch"]
-        scored = classifier.score(self.pooled(self.evaluation_windows()), [LABEL], "pooled")
-        results = evaluate(scored).select(F.lit(final).cast("int").alias("epoch"), "*")
-        return classifier, Outcome(log, results, final)
-
-    def train(
-        self,
-        batch_size: int = 128,
-        steps_per_epoch: int = 128,
-        epochs: int = 100,
-        early_stopping_patience: int = 5,
-        rate: float = 0.1,
-        shards: int | None = None,
-    ) -> tuple[Scorer, Outcome]:
-        """Train the output layers epoch by epoch with early stopping, evaluating on schedule.
 
-        The head pools the encoded windows, without a sequence model. The batches of all epochs are
-        drawn and stored in one go.
-        """
-        steps, width = self.params.window_size, self.width
-        drawn = self.pooled(self.training_windows(batch_size, steps_per_epoch * epochs))
-        stored = stage(drawn.select("step", LABEL, "pooled"), "batches")
-        scorer = Scorer(SequenceModel(), self.head, tuple(self.params.mlp_layer_sizes))
-        sizes = [self.head.output_width(*self.head.model_shape(steps, width)), *scorer.mlp, 1]
+        def draw(epoch: int) -> DataFrame:
+            return stored.filter(F.col("step").between(epoch * steps_per_epoch, (epoch + 1) * steps_per_epoch - 1))
 
-        def judge(weights: Weights, epoch: int) -> Row:
-            return self.evaluate(scorer.with_weights(weights), epoch).first()
+        evaluated = stage(self.pooled(self.evaluation_windows(), weights, [LABEL]), "evaluation")
 
+        def judge(classifier: Classifier, epoch: int) -> Row:
+            scored = classifier.score(evaluated, [LABEL], "pooled")
+            return evaluate(scored).select(F.lit(epoch).alias("epoch"), "*").first()
+
+        width = self.head.output_width(*self.head.model_shape(self.params.window_size, self.width))
+        hidden = self.params.mlp_layer_sizes if hidden is None else hidden
         run = train_epochs(
-            stored,
-            starting_weights(sizes, self.params.seed),
-            steps_per_epoch,
-            epochs,
-            early_stopping_patience,
-            rate,
-            shards or min(steps_per_epoch, self.spark.sparkContext.defaultParallelism),
-            judge,
+            draw, [width, *hidden, 2], epochs, iterations, early_stopping_patience, self.params.seed, judge
         )
-        log = self.spark.createDataFrame(run.log, "epoch int, step int, loss double")
+        log = self.spark.createDataFrame(run.log, LOG)
         results = self.spark.createDataFrame(run.evaluations)
-        return scorer.with_weights(run.weights), Outcome(log, results, run.final_epoch)
+        return run.classifier, Outcome(log, results, run.final_epoch)
+
+    train = fit
 
-    def pooled(self, windows: DataFrame) -> DataFrame:
-        """Add the head's vector, without a sequence model in between."""
+    def pooled(self, windows: DataFrame, weights: Weights | None = None, keep: Sequence[str] = (LABEL,)) -> DataFrame:
+        """(keep…, pooled): the head's vector over the study's sequence model."""
         steps, width = self.params.window_size, self.width
-        before = self.head.before_column(F.col("win"), steps, width)
-        vector = self.head.column(before, *self.head.model_shape(steps, width))
-        return windows.withColumn("pooled", vector)
+        shape = self.head.model_shape(steps, width)
+        needed = self.model.weight_shapes(shape[1])
+        if needed and not weights:
+            raise ValueError(f"{self.model.name} needs weights; use SequenceModel() to train without one")
+        if type(self.model).transform is SequenceModel.transform:
+            before = self.head.before_column(F.col("win"), steps, width)
+            return windows.select(*keep, self.head.column(before, *shape).alias("pooled"))
+        return pool_windows(windows, self.build_model(weights).pooled, steps, width, keep)
 
     def time(
         self, scorer: Scorer, batch_size: int, n_steps: int = 128, n_repeats: int = 4

@@ -165,7 +165,7 @@ def test_running_values(spark, monkeypatch, inclusive):
 
 def test_natural_file_order():
     names = ["part-10", "part-9", "part-100"]
-    assert sorted(names, key=order._natural) == ["part-9", "part-10", "part-100"]
+    assert sorted(names, key=order.natural_key) == ["part-9", "part-10", "part-100"]
 
 
 def test_indexed_defaults(spark):

@@ -12,7 +12,7 @@ from netseq.functions import vectors
 from netseq.operators import batching
 from netseq.operators.encode import VECTOR, CategoryEmbed, ConcatEncoding, EncodingChain, InputEncoding, RecordEmbed
 from netseq.operators.masks import LABEL
-from netseq.operators.order import ROW, Ranked
+from netseq.operators.order import ROW, Indexed, Ranked
 from netseq.operators.pool import AverageHead, ClsHead, FeaturewiseHead, FlattenHead, LastHead
 from netseq.operators.score import (
     BERT_SMALL,
@@ -122,14 +122,19 @@ def candidates(spark, n=600):
 
 def draw(tag, pool, n, step, seed):
     """Brute-force draw."""
-    h = lambda j: int(hashlib.md5(f"{seed}:{tag}:{step}:{j}".encode()).hexdigest()[:15], 16)
-    if pool < 4 * n:
-        return sorted(range(pool), key=lambda r: (h(r), r))[:n]
+    half = 1
+    while 4**half < pool:
+        half += 1
     out = []
-    for j in range(4 * n + 32):
-        if h(j) % pool not in out:
-            out.append(h(j) % pool)
-    return out[:n]
+    for j in range(4**half):
+        left, right = divmod(j, 2**half)
+        for turn in range(4):
+            h = int(hashlib.md5(f"{seed}:{tag}:{step}:{turn}:{right}".encode()).hexdigest()[:15], 16)
+            left, right = right, left ^ (h % 2**half)
+        if left * 2**half + right < pool:
+            out.append(left * 2**half + right)
+        if len(out) == n:
+            return out
 
 
 @pytest.mark.parametrize("size", [16, 17, 100])
@@ -145,13 +150,19 @@ def test_random_batches(spark, size):
     assert {tuple(r) for r in rows} == want and len(rows) == 4 * size
 
 
-def test_draws_fall_back_when_hashes_repeat(spark, monkeypatch):
-    monkeypatch.setattr(batching, "SPARE_DRAWS", 0)
-    monkeypatch.setattr(batching, "hash60", lambda *parts: F.lit(3).cast("bigint"))
-    rows = batching.draws(spark, "t", 100, 5, 3, 1).collect()
+@pytest.mark.parametrize("pool", [5, 6, 16, 17, 100, 10**9])
+def test_draws_follow_one_rule(spark, pool):
+    """Different ranks at every size of the pool; the whole pool where all of it is asked for."""
+    rows = batching.draws(spark, "t", pool, 5, 3, 1).collect()
     for step in range(3):
-        ranks = {r["rank"] for r in rows if r["step"] == step}
-        assert ranks == {3, 0, 1, 2, 4}
+        mine = sorted((r["slot"], r["rank"]) for r in rows if r["step"] == step)
+        assert [s for s, _ in mine] == list(range(5)) and [r for _, r in mine] == draw("t", pool, 5, step, 1)
+    if pool == 5:
+        assert sorted(r["rank"] for r in rows) == sorted([*range(5)] * 3)
+
+
+def test_draws_cost_what_they_draw():
+    assert batching.n_tries(10**12, 64) == batching.n_tries(10**6, 64) == 16 * 64 + 128
 
 
 def test_sequential_batches(spark):
@@ -428,53 +439,58 @@ def test_vector_functions(spark):
     assert df.select(vectors.dot(F.col("x"), [3.0, 4.0], 0.5)).first()[0] == 11.5
 
 
-def test_gradients_against_differences():
-    from netseq.operators.train import _update, starting_weights
-
-    rng = np.random.default_rng(3)
-    x, y = rng.normal(size=(20, 4)), (rng.random(20) < 0.5).astype(float)
-    weights = starting_weights([4, 5, 1], 1)
-    weights["mlp_0_b"] += 0.1
-    before = {n: w.copy() for n, w in weights.items()}
-    loss = _update(weights, 2, x, y, 1.0)
-    for name in weights:
-        gradient = before[name] - weights[name]
-        for at in np.ndindex(gradient.shape):
-            nudged = {n: w.copy() for n, w in before.items()}
-            nudged[name][at] += 1e-6
-            slope = (_update(nudged, 2, x, y, 0.0) - loss) / 1e-6
-            assert slope == pytest.approx(gradient[at], abs=1e-4)
-
-
-@pytest.mark.parametrize("shards", [1, 3])
-def test_epoch_training(spark, shards):
-    from netseq.operators.train import starting_weights, train_epochs
-
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=(400, 2))
-    rows = [(i // 20, bool(a + b > 0), [float(a), float(b)]) for i, (a, b) in enumerate(x)]
-    df = spark.createDataFrame(rows, f"step long, {LABEL} boolean, pooled array<double>").repartition(3)
-    start = starting_weights([2, 4, 1])
-    run = train_epochs(df, start, 5, 4, 5, 0.5, shards, evaluate=lambda w, e: (e, w["mlp_0_w"].shape))
-    assert [(e, s) for e, s, _ in run.log] == [(e, s) for e in range(4) for s in range(5)]
-    assert run.evaluations == [(3, (2, 4))] and run.final_epoch == 3
-    assert np.mean([v for e, _, v in run.log if e == 3]) < np.mean([v for e, _, v in run.log if e == 0])
-    if shards == 1:
-        from netseq.operators.train import _update
-
-        mine, losses = {n: w.copy() for n, w in start.items()}, []
-        for s in range(20):
-            part = [(v, r) for st, v, r in rows if st == s]
-            losses.append(
-                _update(mine, 2, np.array([r for _, r in part]), np.array([v for v, _ in part], float), 0.5)
-            )
-        assert [v for _, _, v in run.log] == pytest.approx(losses)
+def labelled(spark, n, seed=8):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 2))
+    rows = [(bool(a + b > 0), [float(a), float(b)]) for a, b in x]
+    return spark.createDataFrame(rows, f"{LABEL} boolean, pooled array<double>")
+
+
+@pytest.mark.parametrize("hidden", [(), (3,)])
+def test_epoch_training(spark, hidden):
+    from netseq.operators.train import train_epochs
+
+    run = train_epochs(
+        lambda e: labelled(spark, 200, e), [2, *hidden, 2], 4, 5, evaluate=lambda c, e: (e, c.model.weights.size)
+    )
+    assert [e for e, _ in run.evaluations] == [3] and run.final_epoch == 3
+    losses = {e: [v for at, _, v, _, _ in run.log if at == e] for e in range(4)}
+    assert losses[3][-1] < losses[0][0]
+    times = [t for *_, t in run.log]
+    assert times == sorted(times) and all(0 <= a <= 1 for _, _, _, a, _ in run.log)
+    scored = run.classifier.score(labelled(spark, 100, 99), [LABEL], "pooled").collect()
+    assert np.mean([(r["p"] > 0.5) == r[LABEL] for r in scored]) > 0.9
+
+
+def test_epoch_training_goes_on_where_it_was(spark):
+    from netseq.operators.train import train_epochs
+
+    rows = labelled(spark, 200)
+    run = train_epochs(lambda e: rows, [2, 2], 2, 3)
+    again = train_epochs(lambda e: rows, [2, 2], 1, 3)
+    last = [v for e, _, v, _, _ in run.log if e == 0][-1]
+    assert [v for e, _, v, _, _ in run.log if e == 1][0] == pytest.approx(last)
+    assert [v for e, _, v, _, _ in again.log] == pytest.approx([v for e, _, v, _, _ in run.log if e == 0])
 
 
 def test_epoch_training_stops_early(spark):
-    from netseq.operators.train import starting_weights, train_epochs
+    from netseq.operators.train import train_epochs
+
+    rows = [(bool(i % 2), [1.0, 1.0]) for i in range(80)]
+    df = spark.createDataFrame(rows, f"{LABEL} boolean, pooled array<double>")
+    run = train_epochs(lambda e: df, [2, 2], 30, 3, patience=2, evaluate=lambda c, e: e)
+    assert run.final_epoch < 29 and run.evaluations[-1] == run.final_epoch
+
 
-    rows = [(i // 2, bool(i % 2), [1.0, 1.0]) for i in range(80)]
-    df = spark.createDataFrame(rows, f"step long, {LABEL} boolean, pooled array<double>")
-    run = train_epochs(df, starting_weights([2, 1]), 4, 10, 2, 0.0, evaluate=lambda w, e: e)
-    assert run.final_epoch == 3 and run.evaluations == [3]
+def test_transfer_has_no_class_limit(spark):
+    from netseq.operators.experiments import transfer_matrix
+
+    rows = [(i, f"c{i % 90}", i % 3 == 0, float(i % 17)) for i in range(900)]
+    df = spark.createDataFrame(rows, f"{ROW} long, kind string, {LABEL} boolean, v double")
+    assert transfer_matrix(Indexed(df, 900), "v", "kind", 4).count() == 90 * 90
+
+
+def test_missing_vectors_are_refused(spark):
+    df, codes = flow_vectors(spark)
+    with pytest.raises(ValueError, match="codes but vectors"):
+        CategoryEmbed("lookup", 1, {"k": [[0.0], [1.0]], "m": [[0.0], [1.0], [2.0]]}).apply(df, codes)
