@@ -354,14 +354,32 @@ def _batch_sql(steps: int) -> str:
     )
 
 
-_SEQUENTIAL = (
-    _RANKED
-    + f", z AS (SELECT step, y, pool, CASE WHEN y THEN {MALICIOUS} ELSE {BENIGN} END AS quota "
-    + f"FROM l CROSS JOIN range({STEPS}) t(step))"
-    + ", u AS (SELECT *, (step * quota) % (pool - quota) AS cursor FROM z)"
-    + f", b AS (SELECT step, rank - cursor + CASE WHEN q.y THEN 0 ELSE {MALICIOUS} END AS batch_pos, q.y, row_idx "
-    + "FROM u JOIN q ON q.y = u.y AND q.rank >= cursor AND q.rank < cursor + quota)"
-)
+def _sequential_sql(steps: int) -> str:
+    return (
+        _RANKED
+        + f", z AS (SELECT step, y, pool, CASE WHEN y THEN {MALICIOUS} ELSE {BENIGN} END AS quota "
+        + f"FROM l CROSS JOIN range({steps}) t(step))"
+        + ", u AS (SELECT *, (step * quota) % (pool - quota) AS cursor FROM z)"
+        + f", b AS (SELECT step, rank - cursor + CASE WHEN q.y THEN 0 ELSE {MALICIOUS} END AS batch_pos, q.y, row_idx "
+        + "FROM u JOIN q ON q.y = u.y AND q.rank >= cursor AND q.rank < cursor + quota)"
+    )
+
+
+def context_sql(batches: str) -> str:
+    """Windows whose last flow is a batch row and whose other flows are drawn training rows."""
+    return (
+        f"WITH {batches}, tr AS (SELECT row_idx, row_number() OVER (ORDER BY row_idx) - 1 AS rank FROM c WHERE is_train), "
+        + _draw_sql("dc", "context", "SELECT count(*) FROM tr", BATCH * WINDOW, CONTEXT_STEPS)
+        + f", p AS (SELECT dc.step, slot // {WINDOW} AS batch_pos, slot % {WINDOW} AS pos, tr.row_idx FROM dc "
+        f"JOIN tr USING (rank) WHERE slot % {WINDOW} < {WINDOW - 1} UNION ALL "
+        f"SELECT step, batch_pos, {WINDOW - 1}, row_idx FROM b) "
+        "SELECT p.step, p.batch_pos, CAST(p.pos AS INTEGER) AS pos, b.y, p.row_idx, c.v AS value FROM p "
+        "JOIN b ON b.step = p.step AND b.batch_pos = p.batch_pos JOIN c ON c.row_idx = p.row_idx"
+    )
+
+
+_SEQUENTIAL = _sequential_sql(STEPS)
+_SEQUENTIAL_CONTEXT = _sequential_sql(CONTEXT_STEPS)
 _EVAL_VECTORS = EVENT_ENCODED + ", x AS (SELECT row_idx, is_train, y, scaled AS x0, code / 32.0::DOUBLE AS x1 FROM e)"
 _EVAL_STEPS = (
     _EVAL_VECTORS + ", w AS (" + window_join("x", "e.y, x.x0, x.x1", "NOT e.is_train") + ")"
@@ -441,14 +459,7 @@ ORACLE = {
     "score_encoder_small": _small_sql(SMALL_ENCODER),
     "score_decoder_small": _small_sql(SMALL_DECODER),
     "windows_ordered": f"WITH {EVENT_SCALED} " + window_join("s", f"{rd('x.scaled')} AS scaled", "true"),
-    "windows_random_ctx": f"WITH {_batch_sql(CONTEXT_STEPS)}, tr AS (SELECT row_idx, row_number() OVER "
-    "(ORDER BY row_idx) - 1 AS rank FROM c WHERE is_train), "
-    + _draw_sql("dc", "context", "SELECT count(*) FROM tr", BATCH * WINDOW, CONTEXT_STEPS)
-    + f", p AS (SELECT dc.step, slot // {WINDOW} AS batch_pos, slot % {WINDOW} AS pos, tr.row_idx FROM dc "
-    f"JOIN tr USING (rank) WHERE slot % {WINDOW} < {WINDOW - 1} UNION ALL "
-    f"SELECT step, batch_pos, {WINDOW - 1}, row_idx FROM b) "
-    "SELECT p.step, p.batch_pos, CAST(p.pos AS INTEGER) AS pos, b.y, p.row_idx, c.v AS value FROM p "
-    "JOIN b ON b.step = p.step AND b.batch_pos = p.batch_pos JOIN c ON c.row_idx = p.row_idx",
+    "windows_random_ctx": context_sql(_batch_sql(CONTEXT_STEPS)),
     "featurewise": f"WITH {ORDER_ENCODED} "
     + window_join(
         "e",
