@@ -23,6 +23,13 @@ from netseq.spec import quoted
 # would cost the planner more than the scan gains.
 FILE_LITERALS = 1_000
 
+# Rows that one sort task is given at most, on average.
+SORT_ROWS = 4_000_000
+
+# Indexed tables that a driver remembers, the latest ones.
+KEPT_TABLES = 16
+_indexed: dict[tuple, Indexed] = {}
+
 ROW = "row_idx"
 
 # Chunk totals are gathered in one place, so their number is bounded whatever the row count.
@@ -134,15 +141,22 @@ def index_rows(df: DataFrame, order_by: Sequence[str] = ()) -> Indexed:
     """Add ``row_idx`` by the given total order, or by file order when none is given.
 
     Where the files already lie in key order (found by reading the key columns once) positions in
-    the files are used and nothing is sorted or shuffled; else a range partitioned sort is staged.
+    the files are used and nothing is sorted or shuffled; else a range partitioned sort is staged. For a
+    table in files this happens once per session, as long as the files stay what they were.
     """
     if not order_by:
         return index_by_file(df)
-    if _has_file_positions(df):
+    if not _has_file_positions(df):
+        return index_by_keys(df, order_by)
+    state = df.agg(F.count("*"), F.max("_metadata.file_modification_time"), F.count_distinct("_metadata.file_path")).first()
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.columns), tuple(order_by), *state)
+    if key not in _indexed:
         bases = _bases_in_key_order(df, order_by)
-        if bases is not None:
-            return _from_bases(df, *bases)
-    return index_by_keys(df, order_by)
+        found = _from_bases(df, *bases) if bases is not None else index_by_keys(df, order_by, state[0])
+        while len(_indexed) >= KEPT_TABLES:
+            _indexed.pop(next(iter(_indexed)))
+        _indexed[key] = found
+    return _indexed[key]
 
 
 def index_by_file(df: DataFrame) -> Indexed:
@@ -169,11 +183,16 @@ def index_by_file(df: DataFrame) -> Indexed:
     return _from_bases(df, bases, total)
 
 
-def index_by_keys(df: DataFrame, order_by: Sequence[str]) -> Indexed:
-    """Index by a total order: range partitions, each sorted, staged once; offsets from their sizes."""
+def index_by_keys(df: DataFrame, order_by: Sequence[str], n_rows: int | None = None) -> Indexed:
+    """Index by a total order: range partitions, each sorted, staged once; offsets from their sizes.
+
+    Partitions follow the number of rows, where the session's number would make them too large.
+    """
     keys = [F.col(quoted(k)) for k in order_by]
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(usual, -(-(df.count() if n_rows is None else n_rows) // SORT_ROWS))
     placed = (
-        df.repartitionByRange(*keys)
+        df.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("__place", F.monotonically_increasing_id())
     )
