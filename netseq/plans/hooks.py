@@ -13,7 +13,7 @@ from netseq.operators.categorical import encode
 from netseq.operators.encode import VECTOR, ConcatEncoding, EncodingChain, InputEncoding
 from netseq.operators.masks import LABEL, training_candidates
 from netseq.operators.order import ROW, Ranked
-from netseq.operators.pool import Head
+from netseq.operators.pool import AverageHead, Head
 from netseq.operators.preprocessing import Preprocessing
 from netseq.operators.split import TRAIN, split_last, training_rows
 from netseq.plans import common, evaluation, sequences
@@ -106,6 +106,17 @@ def sequential_context(spark: SparkSession, folder: str) -> DataFrame:
     return windows.select("step", "batch_pos", "pos", LABEL, ROW, "value")
 
 
+def pooled_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """What the output layers are trained on: windows of balanced batches, pooled by a head."""
+    df, n = sequences._encoded(spark, folder)
+    ranked = Ranked(training_candidates(df, n, WINDOW), n, LABEL)
+    size, steps = sequences.BATCH, sequences.CONTEXT_STEPS
+    chosen = batching.random_batches(ranked, size, steps, SEED)
+    windows = batching.batch_windows(chosen, df, WINDOW, [VECTOR], size * steps)
+    pooled = AverageHead().column(F.col("win")[VECTOR], WINDOW, sequences.WIDTH)
+    return rounded(windows.select("step", "batch_pos", LABEL, F.posexplode(pooled).alias("dim", "v")), "v")
+
+
 def eval_schedule_stop(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluated epochs of a run that ends where patience runs out."""
     log = evaluation.run_log(spark, folder)
@@ -118,9 +129,16 @@ QUERIES = {
     "encoding_chain": encoding_chain,
     "custom_head": custom_head,
     "sequential_context": sequential_context,
+    "pooled_batches": pooled_batches,
     "eval_schedule_stop": eval_schedule_stop,
 }
 
+_BATCH_VECTORS = (
+    f"WITH {sequences._EVAL_VECTORS}{sequences._batch_sql(sequences.CONTEXT_STEPS).removeprefix(common.EVENT_LABELS)}, "
+    f"w AS (SELECT step, batch_pos, b.y, avg(x0) AS m0, avg(x1) AS m1 FROM b CROSS JOIN range({WINDOW}) t(pos) "
+    f"JOIN x ON x.row_idx = b.row_idx - {WINDOW - 1} + t.pos GROUP BY ALL)"
+)
+
 ORACLE = {
     "custom_preprocessing": f"WITH {common.EVENT_LABELS}, f AS (SELECT max(v) AS largest FROM c WHERE is_train), "
     "k AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS code FROM (SELECT DISTINCT user_id FROM c WHERE is_train "
@@ -131,6 +149,8 @@ ORACLE = {
     "custom_head": f"WITH {sequences._EVAL_STEPS} SELECT end_idx, 0 AS dim, {rd('max(x0)')} AS v FROM w GROUP BY end_idx "
     f"UNION ALL SELECT end_idx, 1, {rd('max(x1)')} FROM w GROUP BY end_idx",
     "sequential_context": sequences.context_sql(sequences._SEQUENTIAL_CONTEXT),
+    "pooled_batches": f"{_BATCH_VECTORS} SELECT step, batch_pos, y, 0 AS dim, {rd('m0')} AS v FROM w "
+    f"UNION ALL SELECT step, batch_pos, y, 1, {rd('m1')} FROM w",
     "eval_schedule_stop": f"WITH {evaluation._verdict_sql(evaluation.PATIENCE)}, f AS (SELECT min(epoch) FILTER (WHERE stop) AS first FROM v) "
     "SELECT epoch FROM v CROSS JOIN f WHERE (first IS NULL OR epoch <= first) AND "
     "(epoch = 6 OR stop OR epoch = (SELECT max(epoch) FROM v))",
