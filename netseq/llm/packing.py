@@ -7,7 +7,6 @@ windows then cut. Every piece between two cuts is one record.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,9 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from netseq.llm.common import checked_side
-from netseq.llm.tokens import pieces_of, texts
+from netseq.llm.tokens import packed, pieces_of, texts
 from netseq.session import staging_path
 
+# Ids that a task holds before it hands them on.
+HELD_BYTES = 4 << 20
+
 SEQUENCE = 1024
 END = 0
 
@@ -40,25 +42,23 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        known, part, upto = pieces_of(path), TaskContext.get().partitionId(), 0
+        known, part, upto, end = pieces_of(path), TaskContext.get().partitionId(), 0, packed([END])
         for batch in batches:
-            ids, ns, uptos = [], [], []
-            for whole in texts(batch, "text"):
-                found = array("I", known.ids(whole))
-                found.append(END)
-                if sys.byteorder == "big":
-                    found.byteswap()
-                upto += len(found)
-                ids.append(found.tobytes())
-                ns.append(len(found))
+            ids, ns, uptos, first, held = [], [], [], 0, 0
+            for i, whole in enumerate(texts(batch, "text")):
+                found = known.packed(whole) + end
+                upto += len(found) // 4
+                ids.append(found)
+                ns.append(len(found) // 4)
                 uptos.append(upto)
-            columns = [
-                batch.column("key"), pa.array(ids, pa.binary()), pa.array(ns, pa.int64()),
-                pa.array([part] * len(ns), pa.int32()), pa.array(uptos, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "n", "part", "upto"])
+                held += len(found)
+                if held >= HELD_BYTES or i + 1 == batch.num_rows:
+                    columns = [
+                        batch.column("key").slice(first, len(ns)), pa.array(ids, pa.binary()), pa.array(ns, pa.int64()),
+                        pa.array([part] * len(ns), pa.int32()), pa.array(uptos, pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "n", "part", "upto"])
+                    ids, ns, uptos, first, held = [], [], [], i + 1, 0
 
     spark = docs.sparkSession
     place = staging_path(spark, "packed-ids")

@@ -9,7 +9,10 @@ to a bound. Texts for which a step cannot be shown to agree with the library go
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+import sys
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import types as T
 CHECKED = 0x3000
 
 # Merged pieces that a worker remembers, and the longest of them.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 REMEMBERED_LENGTH = 64
 
 LIMIT = 2048
@@ -42,6 +45,31 @@ def byte_alphabet() -> list[str]:
     return [shifted.get(b) or chr(b) for b in range(256)]
 
 
+class Remembering(dict):
+    """What ``make`` gives for a piece, with the proved strings always at hand and others up to a bound."""
+
+    def __init__(self, proved: dict, make: Callable[[str], object]):
+        super().__init__(proved)
+        self.proved, self.make = proved, make
+
+    def __missing__(self, piece: str):
+        found = self.make(piece)
+        if len(piece) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED + len(self.proved):
+                self.clear()
+                self.update(self.proved)
+            self[piece] = found
+        return found
+
+
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as unsigned 32-bit little-endian numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Pieces:
     """Splits texts and encodes pieces for one tokenizer file."""
 
@@ -58,10 +86,13 @@ class Pieces:
         self.pattern = self._pattern(told["pre_tokenizer"])
         self.split = regex.compile(self.pattern).findall if self.pattern else None
         self.alphabet = byte_alphabet()
-        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.to_alphabet = str.maketrans({chr(b): c for b, c in enumerate(self.alphabet)})
+        self.single: dict[str, int] = {}
         if self.split:
             self.unproved = self._unproved()
             self.single = self._single(told["model"]["vocab"])
+        self.counts = Remembering(dict.fromkeys(self.single, 1), lambda p: len(self.merged(p)))
+        self.bytes = Remembering({p: packed([i]) for p, i in self.single.items()}, lambda p: packed(self.merged(p)))
 
     @staticmethod
     def _pattern(told: dict | None) -> str | None:
@@ -77,15 +108,15 @@ class Pieces:
                 return cut["pattern"].get("Regex")
         return None
 
-    def _unproved(self) -> regex.Pattern:
+    def _unproved(self) -> re.Pattern:
         """Finds characters around which this module's splitting is not shown to be the library's."""
         wrong = []
         for c in map(chr, range(CHECKED)):
             probe = f"a{c}1{c}{c}b {c}"
             theirs = [probe[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(probe)]
             if theirs != self.split(probe):
-                wrong.append(regex.escape(c))
-        return regex.compile(rf"[\U{CHECKED:08x}-\U0010ffff{''.join(wrong)}]")
+                wrong.append(c)
+        return re.compile(rf"[\U{CHECKED:08x}-\U0010ffff{''.join(map(re.escape, wrong))}]")
 
     def _single(self, vocabulary: dict[str, int]) -> dict[str, int]:
         """Strings of the vocabulary that the merges leave as one token when they stand alone."""
@@ -106,17 +137,10 @@ class Pieces:
                 continue  # half a character is never a piece
         return proved
 
-    def merged(self, piece: str) -> tuple[int, ...]:
+    def merged(self, piece: str) -> list[int]:
         """Ids of one piece by the library's merges."""
-        found = self.remembered.get(piece)
-        if found is None:
-            written = "".join(self.alphabet[b] for b in piece.encode("utf-8"))
-            found = tuple(t.id for t in self.library.model.tokenize(written))
-            if len(piece) <= REMEMBERED_LENGTH:
-                if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[piece] = found
-        return found
+        written = piece.encode("utf-8").decode("latin-1").translate(self.to_alphabet)
+        return [t.id for t in self.library.model.tokenize(written)]
 
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of a text, or None where only the library can tell."""
@@ -129,21 +153,14 @@ class Pieces:
         found = self.pieces(text)
         if found is None:
             return len(self.library.encode(text, add_special_tokens=False).ids)
-        rest = [p for p in found if p not in self.single]
-        return len(found) - len(rest) + sum(len(self.merged(p)) for p in rest)
+        return sum(map(self.counts.__getitem__, found))
 
-    def ids(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit little-endian numbers."""
         found = self.pieces(text)
         if found is None:
-            return self.library.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for p in found:
-            number = self.single.get(p)
-            if number is None:
-                out.extend(self.merged(p))
-            else:
-                out.append(number)
-        return out
+            return packed(self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.bytes.__getitem__, found))
 
 
 @lru_cache(maxsize=2)

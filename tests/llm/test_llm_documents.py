@@ -145,8 +145,16 @@ def test_ids_are_the_librarys():
     known = tokens.Pieces(public_tokenizers.path("word_bpe_49k.json"))
     strange = ["J̌ J̆ab", "ǅ Å ﬁ", "a" * 5000, "don't I'LL we've x²½ ٣٤ á̧", " ​　", "<|startoftext|>x"]
     for t in strange:
-        assert known.ids(t) == known.library.encode(t, add_special_tokens=False).ids
-    assert all(known.merged(p) == (i,) for p, i in list(known.single.items())[:2000])
+        ids = known.library.encode(t, add_special_tokens=False).ids
+        assert known.packed(t) == np.array(ids, "<u4").tobytes() and known.count(t) == len(ids)
+    assert all(known.merged(p) == [i] for p, i in list(known.single.items())[:2000])
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    known = tokens.Remembering({"a": 1}, len)
+    assert [known[p] for p in ("bb", "ccc", "dddd", "eeeee", "a", "bb", "x" * 100)] == [2, 3, 4, 5, 1, 2, 100]
+    assert len(known) <= 4 and known["a"] == 1
 
 
 def brute_signatures(text):
