@@ -14,7 +14,6 @@ from netseq.session import BROADCAST_ROWS, NARROW_BROADCAST_ROWS, small_side
 from netseq.spec import CategoricalFormat, ModelInput, quoted
 
 CHUNK_ROWS = 65_536
-BLOCK_ROWS = 4_096
 MIN_CHUNK_ROWS = 1_024
 
 
@@ -139,8 +138,9 @@ def windows_at(
     """Windows for ``n_ends`` chosen end rows: each asks for its ``window`` positions by equi-join.
 
     Cheaper than windowing the whole table when the ends are few: up to the broadcast limit the flows
-    are not shuffled, and beyond it only the blocks of flows that some window touches are. ``keep``
-    identifies an end row together with ``row_idx``.
+    are not shuffled, and beyond it only the blocks of flows that some window touches are: a block is as
+    long as a window, so at most two of them for each end. ``keep`` identifies an end row together with
+    ``row_idx``.
     """
     key = [ROW, *keep]
     wanted = ends.filter(F.col(ROW) >= window - 1).select(
@@ -150,10 +150,9 @@ def windows_at(
     )
     rows = flows.select(F.col(ROW).alias("__at"), *[quoted(c) for c in columns])
     if n_ends * window > BROADCAST_ROWS:
-        block = chunk_of(BLOCK_ROWS, "__at")
+        block = chunk_of(window, "__at")
         touched = wanted.select(block.alias("__block")).distinct()
-        n_blocks = n_ends * (2 + window // BLOCK_ROWS)
-        touched = small_side(touched, n_blocks, NARROW_BROADCAST_ROWS)
+        touched = small_side(touched, 2 * n_ends, NARROW_BROADCAST_ROWS)
         rows = rows.withColumn("__block", block).join(touched, "__block", "left_semi").drop("__block")
     item = F.struct("__at", *[quoted(c) for c in columns])
     gathered = (

@@ -78,7 +78,6 @@ def test_many_chosen_ends_read_only_their_blocks(spark, monkeypatch):
     import netseq.operators.windows as windows
 
     monkeypatch.setattr(windows, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(windows, "BLOCK_ROWS", 16)
     df, v = series(spark)
     ends = spark.createDataFrame([(i, i % 7) for i in range(0, 300, 9)], f"{ROW} long, tag long")
     out = windows_at(ends, df, 8, ["v"], ["tag"], 34)
