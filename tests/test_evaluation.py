@@ -162,12 +162,6 @@ def test_transfer_matrix(spark):
         assert r["f1_change"] == pytest.approx(f1[r["fit_on"], r["eval_on"]] - home)
 
 
-def test_transfer_matrix_checks_its_classes(spark, monkeypatch):
-    monkeypatch.setattr(experiments, "MAX_TRANSFER_CLASSES", 2)
-    with pytest.raises(ValueError):
-        experiments.transfer_matrix(table(spark)[0], "v", "c", 8)
-
-
 def test_drift(spark):
     indexed, v, y, c = table(spark)
     second = F.col("c") == 1
