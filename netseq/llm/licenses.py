@@ -138,7 +138,8 @@ universal-permissive; 2; universal; universal permissive licen[sc]e
 w3c; 2; w3c; w3c(?: software)?(?: notice and)? licen[sc]e
 unicode; 2; unicode; unicode(?: data files and software)? licen[sc]e
 ncsa; 2; illinois; university of illinois ncsa open source licen[sc]e
-qpl; 2; qpl; (?:the )?q public licen[sc]e|qpl licen[sc]e
+qpl; 2; q; (?:the )?q public licen[sc]e
+qpl; 2; qpl; qpl licen[sc]e
 sleepycat; 2; sleepycat; sleepycat licen[sc]e
 vim; 2; vim; vim licen[sc]e
 latex; 2; latex; latex project public licen[sc]e
@@ -151,7 +152,7 @@ openrail; 2; openrail; (?:bigscience |creativeml )?openrail(?: m)?
 llama; 2; llama; llama(?: 2| 3)? community licen[sc]e
 proprietary; 3; reserved; all rights reserved
 proprietary; 2; proprietary; (?:proprietary and confidential|confidential and proprietary)
-proprietary; 2; redistribute; you may not (?:copy|modify|redistribute)(?: or redistribute)?
+proprietary; 2; may; you may not (?:copy|modify|redistribute)(?: or redistribute)?
 """
 
 
@@ -188,7 +189,7 @@ def _versions() -> list[Signature]:
                 Signature(label, 1, short, rf"{short} {n}"),
                 Signature(label, 1, "identifier", rf"spdx license identifier {short} {n}"),
             ]
-    parts = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s"}
+    parts = {"by": "attribution", "sa": "share(?: )?alike", "nc": "non(?: )?commercial", "nd": "no(?: )?deriv(?:ative)?s"}
     for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
         long_name = " ".join(parts[p] for p in kind.split())
         for n in ("1 0", "2 0", "2 5", "3 0", "4 0"):
@@ -207,12 +208,8 @@ def signatures() -> tuple[Signature, ...]:
     return (*BASE, *[Signature(x[0], int(x[1]), x[2], x[3]) for x in written], *_versions())
 
 
-# Stems in the lower-cased text; a text without any of them is taken to hold no license.
-GATE = (
-    "licen", "gpl", "copyright", "permission is", "redistribut", "endorse", "misrepresented", "public domain",
-    "encumbered", "creative commons", "creativecommons", "cc-by", "cc by", "cc0", "apache", "spdx", "wtfpl", "gfdl",
-    "rights reserved", "proprietary", "mozilla", "bsd", "under mit", "under the mit", "openrail", "beerware", "odbl",
-)
+# Every match contains the keyword of its rule, so a text without any of them holds no license.
+GATE = tuple(sorted({r.keyword for r in signatures()}))
 
 
 def _literals(rules: tuple[Signature, ...]) -> Column:
@@ -221,7 +218,7 @@ def _literals(rules: tuple[Signature, ...]) -> Column:
             F.struct(
                 F.lit(r.label).alias("label"),
                 F.lit(r.priority).alias("priority"),
-                F.lit(f" {r.keyword} ").alias("keyword"),
+                F.lit(r.keyword).alias("keyword"),
                 F.lit(r.over_gaps).alias("pattern"),
                 F.lit(r.base).alias("base"),
             )
@@ -235,7 +232,13 @@ def normal_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), GAP, "  ")), F.lit(" "))
 
 
-def detections(normal: Column, rules: tuple[Signature, ...]) -> Column:
+def keywords(normal: Column, rules: tuple[Signature, ...]) -> Column:
+    """The keywords of the rules that are words of the text, found in one pass over its words."""
+    known = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules})])
+    return F.array_intersect(F.split(F.trim(normal), "  "), known)
+
+
+def detections(normal: Column, present: Column, rules: tuple[Signature, ...]) -> Column:
     """Array of (first, last_neg, priority, label, base) of all matches; words count from 0."""
 
     def places(rule: Column) -> Column:
@@ -256,7 +259,7 @@ def detections(normal: Column, rules: tuple[Signature, ...]) -> Column:
             ),
         )
 
-    tried = F.filter(_literals(rules), lambda r: F.contains(normal, r["keyword"]))
+    tried = F.filter(_literals(rules), lambda r: F.array_contains(present, r["keyword"]))
     return F.flatten(F.transform(tried, of))
 
 
@@ -294,7 +297,6 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Signature, ...] | Non
     """
     rules = rules or signatures()
     whole = whole_text(text)
-    lowered = F.lower(whole)
     none = F.lit(None).cast("bigint")
 
     def summary(found: Column) -> Column:
@@ -323,11 +325,16 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Signature, ...] | Non
         F.lit("").alias("labels"),
         F.lit(0.0).alias("score"),
     )
-    scanned = let(normal_words(whole), lambda n: let(detections(n, rules), summary))
-    gated = let(lowered, lambda low: reduce(Column.__or__, [F.contains(low, F.lit(g)) for g in GATE]))
+
+    def scanned(normal: Column) -> Column:
+        def tried(present: Column) -> Column:
+            return F.when(F.size(present) > 0, let(detections(normal, present, rules), summary)).otherwise(empty)
+
+        return let(keywords(normal, rules), tried)
+
     return (
         docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD_ANY_CASE)).cast("bigint"))
-        .withColumn("scanned", F.when(gated, scanned).otherwise(empty))
+        .withColumn("scanned", let(normal_words(whole), scanned))
         .withColumns({c: F.col(f"scanned.{c}") for c in RESULT})
         .drop("scanned")
     )

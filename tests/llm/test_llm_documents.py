@@ -204,6 +204,54 @@ def test_licenses(odd, empty):
     assert licenses.scan(empty.select("doc_id", "text")).count() == 0
 
 
+def test_license_names_without_a_common_stem(spark):
+    """Each text holds words of one rule only, some of them wrapped or doubly spaced."""
+    want = {
+        "MPL-2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "CDDL 1.0": "cddl-1.0", "OFL 1.1": "ofl-1.1", "BSL 1.0": "bsl-1.0",
+        "Artistic 2.0": "artistic-2.0", "LPPL 1.3": "lppl-1.3", "EUPL 1.2": "eupl-1.2", "CeCILL": "cecill",
+        "distributed under the terms of the MIT": "mit", "MIT No Attribution": "mit-0", "same terms as Perl itself": "perl",
+        "Attribution 4.0 International": "cc-by-4.0",
+        "all advertising materials mentioning features or use of this software": "bsd-4-clause",
+        "placed in the public\ndomain": "public-domain", "all rights\nreserved": "proprietary", "CC\nBY  4.0": "cc-by-4.0",
+        "the Q Public License": "qpl", "QPL License": "qpl", "you may not copy": "proprietary",
+        "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa-4.0",
+        "Attribution-NonCommercial-NoDerivs 3.0": "cc-by-nc-nd-3.0", "Attribution-Non Commercial 2.0": "cc-by-nc-2.0",
+        "what version may an open server have in common": "",
+    }
+    docs = table(spark, [(i, f"so {t}, then", "a") for i, t in enumerate(want)])
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs.select("doc_id", "text")).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want
+
+
+def forms(tokens):
+    """Every text that a parsed pattern of literals, sets, groups, branches and optional parts matches."""
+    found = [""]
+    for kind, x in tokens:
+        name = str(kind)
+        if name == "LITERAL":
+            more = [chr(x)]
+        elif name == "IN":
+            more = [chr(c) for _, c in x]
+        elif name == "BRANCH":
+            more = [f for part in x[1] for f in forms(part)]
+        elif name == "SUBPATTERN":
+            more = forms(x[3])
+        else:
+            assert name == "MAX_REPEAT" and x[:2] == (0, 1)
+            more = ["", *forms(x[2])]
+        found = [a + b for a in found for b in more]
+    return found
+
+
+def test_every_form_of_a_license_rule_holds_its_keyword():
+    from re import _parser
+
+    for r in licenses.signatures():
+        for form in forms(_parser.parse(r.pattern)):
+            assert r.keyword in form.split(), (r, form)
+            assert re.fullmatch(r.over_gaps, f" {form.replace(' ', '  ')} "), (r, form)
+
+
 def brute_quality(t):
     w = WORD.findall(t or "")
     lines = [x for x in (t or "").split("\n") if WORD.search(x)]
