@@ -1,7 +1,8 @@
 """Secret scans: named patterns, and random strings found by how badly they tokenize.
 
 Prose needs few tokens for its characters; keys and passwords need many. A run of key characters is reported
-as random when its characters per token fall below a ratio, unless it is a known digest or identifier.
+as random when its characters per token fall below a ratio, unless it is a known digest or identifier. Of a run
+that is readable on the whole, the stretches of parts between separators are reported whose own ratio is low.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ ASSIGN_LENGTH = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE_LENGTH = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}")
+PART = re.compile(r"[A-Za-z0-9]+")
 LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 # Digests by their lengths in hexadecimal, UUIDs, and names with a date or a plain number in them.
 KNOWN = re.compile(
@@ -58,19 +61,66 @@ def _encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(run: str, path: str) -> int:
+    encode = _encoding(path).encode_ordinary
+    return sum(len(encode(run[i : i + SLICE])) for i in range(0, len(run), SLICE))
+
+
 def looks_random(run: str, path: str, ratio: float = RATIO) -> bool:
     """Letters and digits mixed, no known shape, and fewer characters per token than ``ratio``."""
     if not (LETTER.search(run) and DIGIT.search(run)) or KNOWN.fullmatch(run):
         return False
-    encode = _encoding(path).encode_ordinary
-    n = sum(len(encode(run[i : i + SLICE])) for i in range(0, len(run), SLICE))
-    return len(run) < ratio * n
+    return len(run) < ratio * n_tokens(run, path)
+
+
+def highest(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal stretches of highest sum (Ruzzo and Tompa), as disjoint (first, end); time is linear."""
+    kept: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, place of the next lower sum before
+    total = 0.0
+    for i, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        first, at = i, len(kept) - 1
+        while True:
+            while at >= 0 and kept[at][2] >= before:
+                at = kept[at][4]
+            if at < 0 or kept[at][3] >= total:
+                break
+            first, _, before, _, lower = kept[at]
+            del kept[at:]
+            at = lower
+        kept.append((first, i + 1, before, total, at))
+    return [k[:2] for k in kept]
+
+
+def random_stretches(run: str, path: str, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """(start, end) of what looks random in a run: all of it, or stretches of its parts and of what these leave."""
+    found, left = [], [(0, len(run))]
+    while left:
+        start, end = left.pop()
+        if end - start < CANDIDATE_LENGTH:
+            continue
+        if looks_random(run[start:end], path, ratio):
+            found.append((start, end))
+            continue
+        parts = [m.span() for m in PART.finditer(run, start, end)]
+        at = start
+        for a, b in highest([ratio * n_tokens(run[i:j], path) - (j - i) for i, j in parts]):
+            i, j = parts[a][0], parts[b - 1][1]
+            if j - i >= CANDIDATE_LENGTH and (i, j) != (start, end) and looks_random(run[i:j], path, ratio):
+                found.append((i, j))
+                left.append((at, i))
+                at = j
+        if at > start:
+            left.append((at, end))
+    return found
 
 
 def spans(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then kind; ends are exclusive.
 
-    Random runs that overlap a base span are left to it.
+    Random stretches lie outside the base spans; what a base span leaves of a run is a run of its own.
     """
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LENGTH]
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
@@ -79,11 +129,15 @@ def spans(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, st
     next_base, covered = 0, 0
     random = []
     for m in CANDIDATE.finditer(text):
+        runs, at = [], max(covered, m.start())
         while next_base < len(found) and found[next_base][0] < m.end():
+            runs.append((at, found[next_base][0]))
             covered = max(covered, found[next_base][1])
+            at = max(at, covered)
             next_base += 1
-        if covered <= m.start() and looks_random(m[0], path, ratio):
-            random.append((m.start(), m.end(), "random"))
+        for start, end in (*runs, (at, m.end())):
+            if end - start >= CANDIDATE_LENGTH:
+                random += [(start + i, start + j, "random") for i, j in random_stretches(text[start:end], path, ratio)]
     return sorted(found + random, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -315,6 +315,53 @@ def test_random_strings_and_masks(spark, odd):
     assert not any(secrets.spans(r["text"], path) for r in changed)
 
 
+def base62(rng, n):
+    return "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+
+
+def test_random_keys_behind_readable_parts():
+    path = public_tokenizers.path(VOCABULARY)
+    rng = np.random.default_rng(8)
+    around = [
+        ("com/v1/organizations/members/invitations/", ""),
+        ("com/example/internal/documents/download/signature=", ""),
+        ("AWS_PRODUCTION_ENVIRONMENT_VALUE=", "/organization/members"),
+    ]
+    for before, after in around:
+        for n in (20, 32, 40) * 20:
+            key = base62(rng, n)
+            if secrets.KNOWN.fullmatch(key) or not re.search("[0-9]", key):
+                continue
+            text = f"see {before}{key}{after} 日本"
+            found = secrets.spans(text, path)
+            assert any(key in text[a:b] for a, b, _ in found), text
+            assert not secrets.spans(secrets.masked(text, found), path)
+
+
+def test_random_keys_beside_base_spans():
+    path = public_tokenizers.path(VOCABULARY)
+    key, hexes = "q7Rw2Zt9Lx4Vb8Nc1Mk5Hj3Gf6Ds0Pa", "0123456789abcdef" * 2
+    for text in (f"{key}/{hexes}", f"{hexes}/{key}", f"{key}_password=hunter22", f"{hexes}/{key}/{hexes}-{key}"):
+        found = secrets.spans(text, path)
+        assert sorted(k for _, _, k in found) == sorted((["hex"] * text.count(hexes)) + ["assign"] * ("password" in text) + ["random"] * text.count(key))
+        assert key not in secrets.masked(text, found)
+
+
+def test_highest_stretches():
+    rng = np.random.default_rng(9)
+
+    def brute(scores, offset):
+        best = max(((sum(scores[i:j]), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        _, i, j = best
+        return [*brute(scores[:i], offset), (offset + i, offset + j), *brute(scores[j:], offset + j)]
+
+    for n in range(25):
+        scores = list(rng.normal(-0.2, 1, n))
+        assert secrets.highest(scores) == brute(scores, 0)
+
+
 def test_packing(odd, empty):
     from tokenizers import Tokenizer
 
