@@ -32,14 +32,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 CANDIDATE_LENGTH = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}")
-PART = re.compile(r"[A-Za-z0-9]+")
-LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
-# Digests by their lengths in hexadecimal, UUIDs, and names with a date or a plain number in them.
+LETTER = re.compile(r"[A-Za-z]")
+UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+PART = re.compile(rf"{UUID}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+# Digests by their lengths in hexadecimal, UUIDs, and the alphabet.
 KNOWN = re.compile(
-    r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
+    r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
-    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-    r"|[a-zA-Z]*[-_]?[0-9]+(?:[-_/][0-9]+)*[-_]?[a-zA-Z]*|(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Za-z]+|[0-9]{1,4}))*)"
+    rf"|{UUID}|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+)
+# Parts of identifiers that need not tokenize well: abbreviations, and a short word in one case beside a number.
+SHORT = re.compile(
+    r"[a-z]{1,3}|[A-Z]{1,3}|[A-Z][a-z]{1,2}|(?:[a-z]{1,12}|[A-Z]{1,12}|[A-Z][a-z]{1,11})?[0-9]+(?:[a-z]{1,4}|[A-Z]{1,4})?"
 )
 
 # Characters per token below which a candidate counts as random.
@@ -66,11 +70,16 @@ def n_tokens(run: str, path: str) -> int:
     return sum(len(encode(run[i : i + SLICE])) for i in range(0, len(run), SLICE))
 
 
+def readable(part: str, path: str, ratio: float = RATIO) -> bool:
+    """Part of an identifier: a word that tokenizes well, an abbreviation or a number with a short word."""
+    return bool(SHORT.fullmatch(part)) or (part.isalpha() and len(part) >= ratio * n_tokens(part, path))
+
+
 def looks_random(run: str, path: str, ratio: float = RATIO) -> bool:
-    """Letters and digits mixed, no known shape, and fewer characters per token than ``ratio``."""
-    if not (LETTER.search(run) and DIGIT.search(run)) or KNOWN.fullmatch(run):
+    """Not without letters, no known shape, fewer characters per token than ``ratio``, and some part not readable."""
+    if not LETTER.search(run) or KNOWN.fullmatch(run) or len(run) >= ratio * n_tokens(run, path):
         return False
-    return len(run) < ratio * n_tokens(run, path)
+    return not all(readable(p, path, ratio) for p in PART.findall(run))
 
 
 def highest(scores: list[float]) -> list[tuple[int, int]]:
@@ -96,6 +105,13 @@ def highest(scores: list[float]) -> list[tuple[int, int]]:
 
 def random_stretches(run: str, path: str, ratio: float = RATIO) -> list[tuple[int, int]]:
     """(start, end) of what looks random in a run: all of it, or stretches of its parts and of what these leave."""
+
+    def score(part: str) -> float:
+        if KNOWN.fullmatch(part):
+            return -ratio * len(run) - 1  # no stretch reaches over it
+        own = ratio * n_tokens(part, path) - len(part)
+        return min(own, 0) if readable(part, path, ratio) else own
+
     found, left = [], [(0, len(run))]
     while left:
         start, end = left.pop()
@@ -106,7 +122,7 @@ def random_stretches(run: str, path: str, ratio: float = RATIO) -> list[tuple[in
             continue
         parts = [m.span() for m in PART.finditer(run, start, end)]
         at = start
-        for a, b in highest([ratio * n_tokens(run[i:j], path) - (j - i) for i, j in parts]):
+        for a, b in highest([score(run[i:j]) for i, j in parts]):
             i, j = parts[a][0], parts[b - 1][1]
             if j - i >= CANDIDATE_LENGTH and (i, j) != (start, end) and looks_random(run[i:j], path, ratio):
                 found.append((i, j))

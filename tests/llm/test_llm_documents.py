@@ -338,6 +338,30 @@ def test_random_keys_behind_readable_parts():
             assert not secrets.spans(secrets.masked(text, found), path)
 
 
+@pytest.mark.parametrize("before", ["", "com/v1/organizations/members/invitations/", "session_identifier="])
+def test_random_keys_of_any_shape(before):
+    """No key is taken for an identifier, not even one of letters alone or with a single number inside."""
+    path = public_tokenizers.path(VOCABULARY)
+    rng = np.random.default_rng(10)
+    keys = [base62(rng, n) for n in range(20, 41) for _ in range(20)]
+    keys += [re.sub("[0-9]", "x", k) for k in keys] + ["kQzXvPwLrTnMbY7hGfDsJq", "kQzXvPwLrTnMbYhGfDsJq"]
+    for key in keys:
+        text = f"see {before}{key} then"
+        assert any(key in text[a:b] for a, b, _ in secrets.spans(text, path)), text
+
+
+def test_identifiers_are_not_secrets():
+    path = public_tokenizers.path(VOCABULARY)
+    uuid = "123e4567-e89b-12d3-a4f6-426614174000"
+    for run in (
+        "Rechtsschutzversicherungsgesellschaften", "lentokonesuihkuturbiinimoottori", "NF-CSE-CIC-IDS2018-v2-sorted",
+        "backup-2024-01-15-12-33-44-final", "MAX_CONNECTIONS_PER_HOST_2", "/a/b/c/d/e/f/g/h/i/j/k", "order00000000000012345",
+        "src/main/java/org/apache/spark/sql/v2/api3", "abcdefghijklmnopqrstuvwxyz", f"files/organization/members/{uuid}/download",
+        "D41D8CD98F00B204E9800998ECF8427E", uuid,
+    ):
+        assert secrets.spans(run, path) == [], run
+
+
 def test_random_keys_beside_base_spans():
     path = public_tokenizers.path(VOCABULARY)
     key, hexes = "q7Rw2Zt9Lx4Vb8Nc1Mk5Hj3Gf6Ds0Pa", "0123456789abcdef" * 2
