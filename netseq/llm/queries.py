@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netseq.llm import licenses, mixing, ngram_join, packing, quality, secrets, sharding, tokens, topk, warc
+from netseq.llm import (
+    filter_audit, licenses, mixing, ngram_join, ngram_model, packing, prefix_trie, quality, secrets, sharding, tokens, topk, warc,
+)
 from netseq.sources.readers import read_table
 
 QUALITY_POLICY = "v2"
@@ -232,6 +234,99 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("digest")
 
 
+def op11_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_model.score(read_table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id AS e FROM documents
+), w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w FROM d),
+m AS (
+  SELECT r, doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(e, false) AS e
+  FROM w
+), l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT m.*, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS bits, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM m LEFT JOIN l USING (doc_id)
+), g AS (
+  SELECT part, bits, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM f GROUP BY ALL
+), o AS (
+  SELECT a || b || c || d || e AS filter_order
+  FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(a), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) x(b),
+    (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) y(c), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) z(d), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) u(e)
+  WHERE len(list_distinct([a, b, c, d, e])) = 5
+), s AS (
+  SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+    CAST(coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0) AS INTEGER) AS gone
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+), x AS (
+  SELECT part, filter_order, step, any_value(bit) AS bit,
+    sum(n) FILTER (WHERE bits & (gone | bit) = 0) AS kept,
+    sum(n) FILTER (WHERE bits & gone = 0 AND bits & bit != 0) AS removed,
+    sum(n) FILTER (WHERE bits & gone != 0 AND bits & bit != 0) AS redundant,
+    sum(n) FILTER (WHERE bits = bit) AS unique_fails,
+    sum(n_good) FILTER (WHERE bits & gone = 0 AND bits & bit != 0) AS good_lost,
+    sum(n_toxic) FILTER (WHERE bits & gone = 0 AND bits & bit != 0) AS toxic_lost
+  FROM g, s GROUP BY ALL
+)
+SELECT part, filter_order, step,
+  CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+FROM x
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, folder, "conversations"))
+
+
+# A node is written out as the turns that lead to it, with their lengths.
+OP13_SQL = """
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list(length(role) || ':' || role || length(text) || ':' || text ORDER BY n) AS own, list(length(text) ORDER BY n) AS own_points
+  FROM o GROUP BY conv_id
+), h AS (
+  SELECT *, CAST(xor(list_reduce(
+    [4294967295::BIGINT] || list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT),
+    lambda x, b: list_reduce([xor(x, b)] || range(8), lambda y, i: xor(y >> 1, (y & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 6 AS INTEGER) AS h
+  FROM c
+), r AS (
+  SELECT h.conv_id, coalesce(b.own[1:h.h], []) || coalesce(h.own[h.h + 1:], []) AS turns,
+    coalesce(b.own_points[1:h.h], []) || coalesce(h.own_points[h.h + 1:], []) AS points
+  FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 100
+), p AS (
+  SELECT conv_id, turns, points, unnest(range(len(turns) + 1)) AS depth FROM r
+), q AS (
+  SELECT conv_id, depth, array_to_string(turns[1:depth], '') AS node, CASE WHEN depth > 0 THEN array_to_string(turns[1:depth - 1], '') END AS parent,
+    CASE WHEN depth > 0 THEN points[depth] ELSE 0 END AS points, depth = len(turns) AS ends FROM p
+), n AS (
+  SELECT depth, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(points) AS points,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM q GROUP BY depth, node
+), k AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+t AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, depth)),
+a AS (
+  SELECT q.depth, q.node, sum((t.n_children = 0)::INT) AS n_leaves, sum((t.n_convs - 1) * t.points) AS saved_tokens
+  FROM t JOIN q ON q.conv_id = t.conv_id AND q.depth <= t.depth GROUP BY q.depth, q.node
+)
+SELECT t.conv_id, t.depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves,
+  CAST(a.saved_tokens AS BIGINT) AS saved_tokens, t.ends_sha256
+FROM t JOIN a USING (depth, node) LEFT JOIN t u ON u.depth = t.depth - 1 AND u.node = t.parent
+"""
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_token_counts": op2_token_counts,
@@ -243,6 +338,9 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_hash_sharding": op9_hash_sharding,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_ngram_scores": op11_ngram_scores,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE = {
     "op1_source_mixing": OP1_SQL,
@@ -251,4 +349,6 @@ ORACLE = {
     "op5_quality_rules": OP5_SQL,
     "op8_exact_topk": OP8_SQL,
     "op9_hash_sharding": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

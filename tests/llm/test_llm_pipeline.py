@@ -16,7 +16,7 @@ from test_llm_documents import brute_components, brute_quality, count, order  #
 
 def test_every_operator_is_registered():
     names = list(entry.queries())
-    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names
 
 
