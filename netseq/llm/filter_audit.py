@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations, permutations
+from itertools import permutations
 from math import factorial
 
 import pyarrow as pa
@@ -68,43 +68,42 @@ def measured(docs: DataFrame, part: str, key: str, text: str) -> DataFrame:
     return stage(slim.mapInArrow(run, schema), "filter-facts")
 
 
-def failing(facts: DataFrame) -> dict[str, DataFrame]:
-    """One table (row, part, key) of failing rows per filter.
+def failing(facts: DataFrame) -> DataFrame:
+    """The tables (row, part, key) of failing rows, one folder per filter, told apart by ``filter``.
 
     Copies are what is left of all rows without the first of each text, so no text's copies meet in one task.
     """
     at = staging_path(facts.sparkSession, "filter-ids")
     named = facts.filter("key IS NOT NULL")
     firsts = named.groupBy("digest").agg(F.min("key").alias("key"))
-    copies = named.join(firsts, ["digest", "key"], "left_anti").select("row", "part", "key", F.lit("E").alias("failed"))
-    others = facts.select("row", "part", "key", F.explode(F.split("failed", "")).alias("failed")).filter("failed <> ''")
-    others.unionByName(copies).write.partitionBy("failed").parquet(at)
-    schema = facts.select("row", "part", "key").schema.add("failed", "string")
-    whole = facts.sparkSession.read.schema(schema).parquet(at)
-    return {f: whole.filter(F.col("failed") == f).drop("failed") for f in FILTERS}
+    copies = named.join(firsts, ["digest", "key"], "left_anti").select("row", "part", "key", F.lit("E").alias("filter"))
+    others = facts.select("row", "part", "key", F.explode(F.split("failed", "")).alias("filter")).filter("filter <> ''")
+    others.unionByName(copies).write.partitionBy("filter").parquet(at)
+    schema = facts.select("row", "part", "key").schema.add("filter", "string")
+    return facts.sparkSession.read.schema(schema).parquet(at)
 
 
 def removals(facts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Table (part, filter, before, removed, good_lost, toxic_lost): what each filter removes after each set of
-    others, ``before`` naming the set in alphabetical order."""
+    others, ``before`` naming the set in alphabetical order.
+
+    Sets grow by one filter a round: the rows that a filter still finds after a set, left-anti joined with the ids
+    failing one more, are those it finds after both. All filters and sets of a size share a round's join.
+    """
     ids = failing(facts)
-    told = labels.select(F.col(key).alias("key"), "quality", "toxic")
-    losses = {"good_lost": told.filter("quality = 1"), "toxic_lost": told.filter("toxic = 1")}
-    kinds = ["removed", *losses]
-    tables = []
-    for f in FILTERS:
-        # The filter's rows, and once more those whose loss counts.
-        rows = [ids[f].withColumn("kind", F.lit("removed"))]
-        rows += [ids[f].join(t.select("key"), "key", "left_semi").withColumn("kind", F.lit(k)) for k, t in losses.items()]
-        own = reduce(DataFrame.unionByName, rows).select("row", "part", "kind")
-        others = [g for g in FILTERS if g != f]
-        after = []
-        for before in (b for n in range(len(FILTERS)) for b in combinations(others, n)):
-            left = reduce(lambda rows, g: rows.join(ids[g].select("row"), "row", "left_anti"), before, own)
-            after.append(left.select("part", "kind", F.lit("".join(before)).alias("before")))
-        counted = reduce(DataFrame.unionByName, after).groupBy("part", F.lit(f).alias("filter"), "before")
-        tables.append(stage(counted.agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds]), "filter-removals"))
-    return reduce(DataFrame.unionByName, tables)
+    rows = ids.withColumn("before", F.lit(""))
+    for name, column in (("good", "quality"), ("toxic", "toxic")):
+        told = labels.filter(F.col(column) == 1).select(F.col(key).alias("key"))
+        lost, other = (rows.join(told, "key", how).withColumn(name, F.lit(how == "left_semi")) for how in ("left_semi", "left_anti"))
+        rows = lost.unionByName(other)
+    rounds = [stage(rows.drop("key"), "filter-found")]
+    fails = ids.select("row", F.col("filter").alias("next"))
+    for _ in FILTERS[1:]:
+        wider = F.filter(F.lit(list(FILTERS)), lambda f: (f > F.right("before", F.lit(1))) & (f != F.col("filter")))
+        left = rounds[-1].withColumn("next", F.explode(wider)).join(fails, ["row", "next"], "left_anti")
+        rounds.append(stage(left.withColumn("before", F.concat("before", "next")).drop("next"), "filter-found"))
+    counted = reduce(DataFrame.unionByName, rounds).groupBy("part", "filter", "before")
+    return stage(counted.agg(F.count("*").alias("removed"), F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost")), "filter-removals")
 
 
 def audit(docs: DataFrame, labels: DataFrame, part: str = "lang", key: str = "doc_id", text: str = "text") -> DataFrame:
