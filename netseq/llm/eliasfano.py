@@ -104,6 +104,16 @@ class EliasFano:
         place = block * BLOCK + word * 64 + select_in_word(words[row, word], rest)
         return np.where(high > 0, place - nth, 0)
 
+    def _in_bucket(self, high: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Number of keys under each high part, given those below it: the ones before the next zero."""
+        at = below + high
+        rest = ~self.unary[at >> 6] >> (at & 63).astype(U64)
+        size = np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)  # the zero lies in a later word
+        if len(far):
+            size[far] = self._below(high[far] + 1) - below[far]
+        return size
+
     def _search(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per key the index of the first stored key that is not less (n where there is none), and whether it is equal."""
         out, equal = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -117,7 +127,8 @@ class EliasFano:
         inside, shifted, high = inside[~beyond], shifted[~beyond], high[~beyond].astype(np.int64)
         if not len(inside):
             return out, equal
-        lo, end = self._below(high), self._below(high + 1)
+        lo = self._below(high)
+        end = lo + self._in_bucket(high, lo)
         hi = end.copy()
         want = shifted & U64((1 << self.width) - 1)
         left = np.flatnonzero(lo < hi)
@@ -179,7 +190,7 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 def load(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped, not read."""
-    whole = np.memmap(path, np.uint8, "r")
+    whole = np.memmap(path, np.uint8, "r").view(np.ndarray)  # plain views are cheaper to index
     magic, length = whole[:16].view(U64)
     if magic != MAGIC:
         raise ValueError(f"{path} is no file of mapped arrays")

@@ -32,7 +32,7 @@ ORDER = 3
 PRIOR = 0.1  # added to each word's count
 HELD_OUT_OF = 10
 
-TOKENS = 1 << 18  # looked up at once
+TOKENS = 1 << 19  # looked up at once
 GROUP_BYTES = 2 << 20  # of texts hashed at once
 HELD_KEYS = 1 << 21  # distinct keys a task gathers before it sends them
 SHARD_BYTES = 8 << 20  # of text for a shard of level 1
@@ -211,18 +211,19 @@ class Opened:
         return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Nodes of keys in any order, -1 where there is none."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        return self._search(distinct, True)[back]
+        """Nodes of ascending keys, -1 where there is none."""
+        return self._search(keys, True)
 
     def followers(self, contexts: np.ndarray) -> np.ndarray:
-        """First node below each context, in any order."""
-        distinct, back = np.unique(contexts, return_inverse=True)
+        """First node below each context, fastest if they ascend."""
+        ascend = (contexts[1:] >= contexts[:-1]).all()
+        distinct, back = runs(contexts) if ascend else np.unique(contexts, return_inverse=True)
         return self._search(distinct.astype(U64) << U64(self.level.bits), False)[back]
 
     def values(self, nodes: np.ndarray, kind: str, name: str) -> np.ndarray:
-        """What the file ``kind`` holds under ``name`` for nodes in any order."""
-        distinct, back = np.unique(nodes, return_inverse=True)
+        """What the file ``kind`` holds under ``name`` for nodes, fastest if they ascend."""
+        ascend = (nodes[1:] >= nodes[:-1]).all()
+        distinct, back = (nodes, slice(None)) if ascend else np.unique(nodes, return_inverse=True)
         out = None
         for i, part in self._by_shard(np.searchsorted(self.offsets, distinct, "right") - 1):
             found = self.arrays(i, kind)[name][distinct[part] - self.offsets[i]]
@@ -238,8 +239,8 @@ class Opened:
         return out
 
     def weights(self, contexts: np.ndarray) -> np.ndarray:
-        """Logarithms of the back-off weights of contexts in any order; 0 for those without followers."""
-        distinct, back = np.unique(contexts, return_inverse=True)
+        """Logarithms of the back-off weights of ascending contexts; 0 for those without followers."""
+        distinct, back = runs(contexts)
         out = np.zeros(len(distinct))
         last = ((distinct + 1).astype(U64) << U64(self.level.bits)) - U64(1)
         for i, part in self._by_shard(np.searchsorted(self.begins, last, "right") - 1):
@@ -253,6 +254,12 @@ class Opened:
         return out[back]
 
 
+def runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of an ascending array, and where each element's value is among them."""
+    first = np.concatenate([[True], ascending[1:] != ascending[:-1]]) if len(ascending) else np.zeros(0, bool)
+    return ascending[first], np.cumsum(first) - 1
+
+
 @lru_cache(maxsize=8)
 def opened(level: Level) -> Opened:
     """One per worker process and level."""
@@ -286,44 +293,47 @@ class Trie:
 
 
 class Walk:
-    """Follows tokens through the levels, in slices; remembers where the last slice ended."""
+    """Follows tokens through the levels, in slices; remembers where the last slice ended.
+
+    For each level a slice's keys are sorted once; what the level tells of a key is looked up in that order.
+    """
 
     def __init__(self, trie: Trie, start: int):
         self.trie, self.start = trie, start
         self.last = [start] + [-1] * len(trie.levels)
 
     def _before(self, k: int, nodes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The node of level k at the token before, -1 where the text begins or has none there."""
         out = np.empty_like(nodes)
         out[1:], out[0] = nodes[:-1], self.last[k - 1]
         out[begin] = self.start if k == 1 else -1
         self.last[k - 1] = int(nodes[-1])
         return out
 
-    def keys(self, ids: np.ndarray, begin: np.ndarray, upto: int) -> Iterator[tuple]:
-        """For k = 2 .. ``upto``: (k, node of the context or -1, keys, which tokens have one). Nodes of level k are
-        to be sent back, but for the last."""
-        nodes = ids.astype(np.int64)
-        shorter = None  # contexts of the level before
-        for k in range(2, upto + 1):
-            contexts = self._before(k - 1, nodes, begin)
-            bits = U64(self.trie.levels[k - 1].bits) if k <= len(self.trie.levels) else U64(_bits(self.trie, k))
-            if k == 2:
-                valid, place = np.ones(len(nodes), bool), nodes
-            else:
-                valid = (contexts >= 0) & (nodes >= 0)
-                place = nodes.copy()
-                place[valid] -= opened(self.trie.levels[k - 2]).followers(shorter[valid])
-            keys = (contexts[valid].astype(U64) << bits) | place[valid].astype(U64)
-            found = yield k, contexts, keys, valid
-            if found is None:
-                return
-            shorter, nodes = contexts, np.full(len(ids), -1, np.int64)
-            nodes[valid] = found
+    def keys(self, k: int, nodes: np.ndarray, places: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which tokens have a context of level k-1, their keys) from the tokens' nodes of level k-1. A token that
+        does not follow the shorter context gets a key that is never stored."""
+        contexts = self._before(k - 1, nodes, begin)
+        there = contexts >= 0
+        bits = _bits(self.trie, k)
+        places = np.where(nodes >= 0, places, (1 << bits) - 1)
+        return there, (contexts[there].astype(U64) << U64(bits)) | places[there].astype(U64)
+
+    def step(self, k: int, nodes: np.ndarray, places: np.ndarray, begin: np.ndarray) -> tuple:
+        """(which tokens, ascending keys, their nodes, each token's key, nodes of level k, places below them)."""
+        there, keys = self.keys(k, nodes, places, begin)
+        distinct, back = np.unique(keys, return_inverse=True)
+        own = opened(self.trie.levels[k - 1])
+        found = own.find(distinct)
+        place = found - own.followers((distinct >> U64(own.level.bits)).astype(np.int64))
+        nodes, places = np.full(len(nodes), -1, np.int64), np.zeros(len(nodes), np.int64)
+        nodes[there], places[there] = found[back], place[back]
+        return there, distinct, found, back, nodes, places
 
 
 def _bits(trie: Trie, k: int) -> int:
     """Bits for the place of a follower in the keys of level k."""
-    bits = trie.levels[0].size.bit_length() if k == 2 else max(trie.levels[k - 2].widest - 1, 1).bit_length()
+    bits = (trie.levels[0].size + 1 if k == 2 else trie.levels[k - 2].widest).bit_length()
     if trie.levels[k - 2].size << bits >= 1 << 63:
         raise ValueError(f"keys of level {k} need more than 63 bits")
     return bits
@@ -540,11 +550,10 @@ def train(docs: DataFrame, held_out: Column | None = None, key: str = "doc_id",
             for batch in batches:
                 wanted = [i for i, h in enumerate(batch.column("held")) if not h.as_py()]
                 for part, begin, _ in _ids_of(batch, kind, wanted):
-                    steps = walk.keys(part, begin, k)
-                    j, _, keys, _ = next(steps)
-                    while j < k:
-                        j, _, keys, _ = steps.send(opened(trie.levels[j - 1]).find(keys))
-                    yield from found.add(keys)
+                    nodes = places = part.astype(np.int64)
+                    for j in range(2, k):
+                        *_, nodes, places = walk.step(j, nodes, places, begin)
+                    yield from found.add(walk.keys(k, nodes, places, begin)[1])
             yield from found.rest()
 
         table = _merge(ids.select("held", "ids").mapInArrow(gather, _RUNS), len(cuts_k) + 1, folder, k, bits)
@@ -603,30 +612,35 @@ def scores(model: Trained) -> DataFrame:
     return model.ids.select(*told, "ids").mapInArrow(run, schema)
 
 
+def _unigrams(trie: Trie, words: np.ndarray) -> np.ndarray:
+    """log10 probabilities of words by themselves, unknown ones included."""
+    counts, known = np.zeros(len(words), U64), words < trie.distinct
+    if known.any():
+        counts[known] = opened(trie.levels[0]).values(words[known], "keys", "count")
+    return np.log10(trie.unigram(counts))
+
+
 def _token_scores(trie: Trie, walk: Walk, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """log10 probability of each token after those before it."""
-    distinct, back = np.unique(ids, return_inverse=True)
-    counts = np.zeros(len(distinct), U64)
-    known = distinct < trie.distinct
-    if known.any():
-        counts[known] = opened(trie.levels[0]).values(distinct[known].astype(np.int64), "keys", "count")
-    out = np.log10(trie.unigram(counts))[back]
+    nodes = places = ids.astype(np.int64)
     if len(trie.levels) < 2:
-        return out
-    steps = walk.keys(ids, begin, len(trie.levels))
-    k, contexts, keys, valid = next(steps)
-    while True:
+        return _unigrams(trie, nodes)
+    out = np.zeros(len(ids))
+    for k in range(2, len(trie.levels) + 1):
         own = opened(trie.levels[k - 1])
-        nodes = own.find(keys)
-        there = contexts >= 0
-        out[there] += own.weights(contexts[there])
-        seen = np.flatnonzero(valid)[nodes >= 0]
-        if len(seen):
-            out[seen] = own.values(nodes[nodes >= 0], "model", "logp") / -STEP
-        try:
-            k, contexts, keys, valid = steps.send(nodes)
-        except StopIteration:
-            return out
+        there, keys, found, back, nodes, places = walk.step(k, nodes, places, begin)
+        seen = found >= 0
+        # A key stands for one word after one context, so the back-off is worked out per key for words alone.
+        value = own.weights((keys >> U64(own.level.bits)).astype(np.int64))
+        if k == 2:
+            value[~seen] += _unigrams(trie, (keys[~seen] & U64((1 << own.level.bits) - 1)).astype(np.int64))
+            lower = np.zeros(len(back))
+        else:
+            lower = np.where(seen[back], 0.0, out[there])
+        if seen.any():
+            value[seen] = own.values(found[seen], "model", "logp") / -STEP
+        out[there] = value[back] + lower
+    return out
 
 
 def score(docs: DataFrame, held_out: Column | None = None, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
