@@ -11,12 +11,13 @@ from __future__ import annotations
 import json
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,12 @@ CHECKED = 0x3000
 REMEMBERED = 1 << 18
 REMEMBERED_LENGTH = 64
 
+# Hash values that tell whether a piece was met before.
+MET = 1 << 22
+
+# Pieces met once that are still at hand.
+WAITING = 1 << 16
+
 LIMIT = 2048
 
 # The splitting pattern of byte-level pre-tokenizers that keep white space.
@@ -46,19 +53,36 @@ def byte_alphabet() -> list[str]:
 
 
 class Remembering(dict):
-    """What ``make`` gives for a piece, with the proved strings always at hand and others up to a bound."""
+    """What ``make`` gives for a piece, with the proved strings always at hand and others up to a bound.
+
+    Most pieces of a corpus occur once. A piece keeps its place when it is met again, which a table of one byte per
+    hash value tells (a wrong answer costs a place, no more); until then it waits among the latest ones. At the
+    bound the older half gives way.
+    """
 
     def __init__(self, proved: dict, make: Callable[[str], object]):
         super().__init__(proved)
-        self.proved, self.make = proved, make
+        self.n_proved, self.make = len(proved), make
+        self.met, self.waiting = bytearray(MET), {}
 
     def __missing__(self, piece: str):
-        found = self.make(piece)
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED + len(self.proved):
-                self.clear()
-                self.update(self.proved)
-            self[piece] = found
+        found = self.waiting.pop(piece, None)
+        if found is None:
+            found = self.make(piece)
+            if len(piece) > REMEMBERED_LENGTH:
+                return found
+            h = hash(piece)
+            slot, mark = h % MET, (h // MET) % 255 + 1
+            if self.met[slot] != mark:
+                self.met[slot] = mark
+                if len(self.waiting) >= WAITING:
+                    self.waiting.clear()
+                self.waiting[piece] = found
+                return found
+        if len(self) >= REMEMBERED + self.n_proved:
+            for old in list(islice(self, self.n_proved, self.n_proved + REMEMBERED // 2)):
+                del self[old]
+        self[piece] = found
         return found
 
 
@@ -70,6 +94,28 @@ def packed(ids: Iterable[int]) -> bytes:
     return out.tobytes()
 
 
+def _class(kind: str) -> str:
+    """Inside of a character class: the checked code points of a general category."""
+    inside = [c for c in range(CHECKED) if unicodedata.category(chr(c))[0] == kind]
+    starts = [c for i, c in enumerate(inside) if not i or inside[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(inside) if i + 1 == len(inside) or inside[i + 1] != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+def spelled_out(pattern: str) -> str:
+    """The pattern for the standard library's module, which has no properties but is the faster one: letters and
+    numbers become classes of the checked code points."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        found = re.match(r"\\p\{([LN])\}", pattern[i:])
+        part = found[0] if found else pattern[i : i + (2 if pattern[i] == "\\" else 1)]
+        written = _class(found[1]) if found else part
+        out.append(f"[{written}]" if found and not inside else written)
+        inside = part == "[" or inside and part != "]"
+        i += len(part)
+    return "".join(out)
+
+
 class Pieces:
     """Splits texts and encodes pieces for one tokenizer file."""
 
@@ -84,7 +130,7 @@ class Pieces:
         self.special = [t["content"] for t in told["added_tokens"]]
         self.end = told["model"].get("end_of_word_suffix") or ""
         self.pattern = self._pattern(told["pre_tokenizer"])
-        self.split = regex.compile(self.pattern).findall if self.pattern else None
+        self.split = re.compile(spelled_out(self.pattern)).findall if self.pattern else None
         self.alphabet = byte_alphabet()
         self.to_alphabet = str.maketrans({chr(b): c for b, c in enumerate(self.alphabet)})
         self.single: dict[str, int] = {}
@@ -139,7 +185,10 @@ class Pieces:
 
     def merged(self, piece: str) -> list[int]:
         """Ids of one piece by the library's merges."""
-        written = piece.encode("utf-8").decode("latin-1").translate(self.to_alphabet)
+        if piece.isascii() and piece.isprintable():  # only the blank is written otherwise
+            written = piece.replace(" ", self.alphabet[32])
+        else:
+            written = piece.encode("utf-8").decode("latin-1").translate(self.to_alphabet)
         return [t.id for t in self.library.model.tokenize(written)]
 
     def pieces(self, text: str) -> list[str] | None:
