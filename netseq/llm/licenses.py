@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netseq.llm.common import let, whole_text
+from netseq.spec import quoted
 
 # Runs of these characters separate words once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -150,6 +152,47 @@ sspl; 2; server; server side public licen[sc]e
 busl; 2; business; business source licen[sc]e
 openrail; 2; openrail; (?:bigscience |creativeml )?openrail(?: m)?
 llama; 2; llama; llama(?: 2| 3)? community licen[sc]e
+mit; 1; notice; the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+as-is; 3; merchantability; the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+isc; 1; fee; permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
+isc; 2; disclaims; the software is provided as is and the author disclaims all warranties with regard to this software
+bsd; 2; contributors; this software is provided by the (?:copyright holders|regents) and contributors as is
+bsd-3-clause; 1; contributors; neither the name of the copyright holder nor the names of its contributors may be used
+bsd-4-clause; 1; acknowledgement; must display the following acknowledgement
+apache-2.0; 1; compliance; you may not use this file except in compliance with the license
+apache-2.0; 1; agreed; unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0; 1; asf; licensed to the apache software foundation asf under one or more contributor license agreements
+apache-1.1; 1; includes; this product includes software developed by the apache software foundation
+gpl; 2; redistribute; this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+gpl; 3; franklin; you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street
+lgpl; 2; redistribute; this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license
+agpl; 2; redistribute; this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license
+or-later; 3; version; (?:either )?version (?:1|2|2 1|3)(?: 0)? of the license or at your option any later version
+gfdl; 2; documentation; permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+mpl-2.0; 1; form; this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0; 1; distributed; if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-1.1; 1; mozilla; the contents of this file are subject to the mozilla public license version 1 1
+cddl; 1; cddl; the contents of this file are subject to the terms of the common development and distribution license the cddl
+epl-1.0; 1; accompanying; this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
+epl-2.0; 1; accompanying; this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0
+eupl; 1; eupl; licensed under the eupl
+ofl-1.1; 1; font; this font software is licensed under the sil open font license version 1 1
+zlib; 1; altered; altered source versions must be plainly marked as such
+zlib; 2; liable; in no event will the authors be held liable for any damages arising from the use of this software
+bsl-1.0; 1; organization; permission is hereby granted free of charge to any person or organization obtaining a copy
+postgresql; 1; documentation; permission to use copy modify and distribute this software and its documentation for any purpose without fee
+hpnd; 1; documentation; permission to use copy modify distribute and sell this software and its documentation for any purpose
+wtfpl; 1; fuck; you just do what the fuck you want to
+unlicense; 1; compile; anyone is free to copy modify publish use compile sell or distribute this software
+cc0; 1; waived; has waived all copyright and related or neighboring rights
+cc; 2; creative; this work is licensed under (?:a|the) creative commons
+python; 1; psf; this license agreement is between the python software foundation psf
+openssl; 1; openssl; this product includes software developed by the openssl project
+mulan; 1; mulan; is licensed under mulan psl v2
+public-domain; 2; domain; this (?:file|work|code|software) (?:is|has been put) in the public domain
+proprietary; 2; unauthorized; unauthorized copying of this file via any medium is strictly prohibited
+proprietary; 2; permission; no part of this (?:publication|work|document) may be reproduced without (?:the )?prior written permission
+proprietary; 2; confidential; this (?:document|file|message) contains confidential information
 proprietary; 3; reserved; all rights reserved
 proprietary; 2; proprietary; (?:proprietary and confidential|confidential and proprietary)
 proprietary; 2; may; you may not (?:copy|modify|redistribute)(?: or redistribute)?
@@ -159,21 +202,24 @@ proprietary; 2; may; you may not (?:copy|modify|redistribute)(?: or redistribute
 def _versions() -> list[Signature]:
     """Versioned names: one signature for each license, version and way of writing the version."""
     found = []
-    gnu = {"gpl": ("general public", (1, 2, 3)), "lgpl": ("lesser general public", (2, 3)),
-           "agpl": ("affero general public", (1, 3)), "gfdl": ("free documentation", (1,))}
+    gnu = {"gpl": ("general public", ("1", "2", "3")), "lgpl": ("lesser general public", ("2", "2 1", "3")),
+           "agpl": ("affero general public", ("1", "3")), "gfdl": ("free documentation", ("1 1", "1 2", "1 3"))}
     for short, (name, numbers) in gnu.items():
         keyword = name.split()[0]
         for n in numbers:
-            label = f"{short}-{n}.0"
-            number = rf"(?:version|v) {n}(?: 0)?|v{n}(?: 0)?"
+            label = f"{short}-{n.replace(' ', '.')}" + ("" if " " in n else ".0")
+            zero = "" if " " in n else "(?: 0)?"
+            number = rf"(?:version|v) {n}{zero}|v{n}{zero}"
+            published = rf"(?:gnu )?{name} licen[sc]e as published by the free software foundation (?:either )?version {n}{zero}"
             found += [
                 Signature(label, 1, keyword, rf"(?:gnu )?{name} licen[sc]e(?: {short})? (?:{number})"),
-                Signature(label, 1, "version", rf"version {n}(?: 0)? of the (?:gnu )?{name} licen[sc]e"),
-                Signature(label, 1, "license", rf"version {n}(?: 0)? of the license or at your option any later version"),
-                Signature(label, 1, short, rf"{short} (?:{number}|{n}(?: 0)?)"),
-                Signature(label, 1, f"{short}v{n}", rf"{short}v{n}(?: 0)?"),
-                Signature(label, 1, f"{short}{n}", rf"{short}{n}"),
-                Signature(label, 1, "identifier", rf"spdx license identifier {short} {n} 0(?: only| or later)?"),
+                Signature(label, 1, "version", rf"version {n}{zero} of the (?:gnu )?{name} licen[sc]e"),
+                # "version 3 of the License" says nothing by itself: the name belongs to the detection
+                Signature(label, 1, "published", rf"{published}(?: of the license)?(?: or at your option any later version)?"),
+                Signature(label, 1, short, rf"{short} (?:{number}|{n}{zero})"),
+                Signature(label, 1, f"{short}v{n.split()[0]}", rf"{short}v{n}{zero}"),
+                Signature(label, 1, f"{short}{n.split()[0]}", rf"{short}{n}"),
+                Signature(label, 1, "identifier", rf"spdx license identifier {short} {n}{' 0' if zero else ''}(?: only| or later)?"),
             ]
     others = {"mpl": ("mozilla public", ("1 0", "1 1", "2 0")), "epl": ("eclipse public", ("1 0", "2 0")),
               "cddl": ("common development and distribution", ("1 0", "1 1")),
@@ -227,9 +273,14 @@ def _literals(rules: tuple[Signature, ...]) -> Column:
     )
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; other letters stay."""
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
 def normal_words(text: Column) -> Column:
     """Lower-case words, each with one blank on both sides."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), GAP, "  ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered(text), GAP, "  ")), F.lit(" "))
 
 
 def keywords(normal: Column, rules: tuple[Signature, ...]) -> Column:
@@ -288,13 +339,18 @@ def resolved(found: Column) -> Column:
     return F.aggregate(F.sort_array(found), start, step, lambda acc: F.struct(acc["labels"], acc["best"]))
 
 
-def scan(docs: DataFrame, text: str = "text", rules: tuple[Signature, ...] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", rules: tuple[Signature, ...] | None = None, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words: counts and score are 0, label lists empty, places null. Base labels
     are never suppressed. The score is the confidence of the best detection that stays, 0 without one.
-    Repeated rows are scanned each for itself.
+    Repeated rows are scanned each for itself, long texts whole; an empty table gives no rows. New names start
+    with ``prefix``; one that ``docs`` has already is an error.
     """
+    names = {c: prefix + c for c in ("n_words", *RESULT)}
+    clash = sorted(set(names.values()) & set(docs.columns))
+    if clash:
+        raise ValueError(f"columns {clash} are there already; give a prefix")
     rules = rules or signatures()
     whole = whole_text(text)
     none = F.lit(None).cast("bigint")
@@ -332,12 +388,11 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Signature, ...] | Non
 
         return let(keywords(normal, rules), tried)
 
-    return (
-        docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD_ANY_CASE)).cast("bigint"))
-        .withColumn("scanned", let(normal_words(whole), scanned))
-        .withColumns({c: F.col(f"scanned.{c}") for c in RESULT})
-        .drop("scanned")
-    )
+    own = [F.col(quoted(c)) for c in docs.columns]
+    counted = F.regexp_count(whole, F.lit(WORD_ANY_CASE)).cast("bigint").alias(names["n_words"])
+    held = "scanned" + "_" * max(map(len, [*docs.columns, ""]))  # longer than any other name
+    found = docs.select(*own, counted, let(normal_words(whole), scanned).alias(held))
+    return found.select(*own, names["n_words"], *[F.col(held)[c].alias(names[c]) for c in RESULT])
 
 
 RESULT = ("n_base", "first_word", "last_word", "base_labels", "labels", "score")

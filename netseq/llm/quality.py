@@ -136,10 +136,13 @@ PATHS = {
 def ledger(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with all measurements and ``failed_bits`` (bit i set where rule i fails).
 
-    New column names start with ``prefix``, which must keep them apart from those of ``docs``. A null or
-    empty text has zero words and fails the rule on few words. Repeated rows each get their own line.
+    New column names start with ``prefix``; one that ``docs`` has already is an error. A null or empty text has
+    zero words and fails the rule on few words. Repeated rows each get their own line, an empty table none.
     """
     held = f"{prefix}measured"
+    clash = sorted({held, f"{prefix}failed_bits", *(prefix + k for k in PATHS)} & set(docs.columns))
+    if clash:
+        raise ValueError(f"columns {clash} are there already; give a prefix")
     measured = docs.withColumn(held, measurements(text))
     measured = measured.withColumns({prefix + k: F.col(f"{held}.{p}") for k, p in PATHS.items()}).drop(held)
     bits = [

@@ -76,7 +76,8 @@ def _op4_sql() -> str:
     score = "CASE least(best, best_base) " + " ".join(f"WHEN {p} THEN {c}" for p, c in levels.items()) + " ELSE 0 END"
     return rf"""
 WITH rules(label, priority, keyword, pattern, base) AS (VALUES {rules}),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 n AS (
   SELECT r, ' ' || trim(regexp_replace(low, '{licenses.GAP}', '  ', 'g'), ' ') || ' ' AS n FROM d WHERE {gate}
 ), h AS (
@@ -246,7 +247,8 @@ OP12_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
     min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id AS e FROM documents
-), w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w FROM d),
+), w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM d),
 m AS (
   SELECT r, doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
     100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(e, false) AS e

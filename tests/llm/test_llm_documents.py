@@ -159,7 +159,7 @@ def test_remembered_pieces_are_bounded(monkeypatch):
 
 def brute_signatures(text):
     """Kept labels, by comparing every detection with every other."""
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
     normal = " " + "  ".join(words) + " "
     found = []
     for r in licenses.signatures():
@@ -223,6 +223,72 @@ def test_license_names_without_a_common_stem(spark):
     assert {t: got[i] for i, t in enumerate(want)} == want
 
 
+# Notices as their licenses ask authors to use them; labels beside those of the base phrases.
+NOTICES = {
+    "gpl-1.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.""",
+    "gpl-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
+        later version.""",
+    "gpl-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version.""",
+    "lgpl-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+        option) any later version.""",
+    "lgpl-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version.""",
+    "agpl-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version.""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. Unless required by applicable law or agreed to in writing, software distributed under the
+        License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice.""",
+    "bsd-3-clause": """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+}
+
+
+def test_published_notices_have_their_own_label(spark):
+    """No notice gets a version, or a family, that is not its own; the base phrase gpl stands in all of its kind."""
+    names = list(NOTICES)
+    docs = spark.createDataFrame([(i, NOTICES[n]) for i, n in enumerate(names)], "doc_id long, text string")
+    got = {names[r["doc_id"]]: set(r["labels"].split(",")) for r in licenses.scan(docs).collect()}
+    for name, labels in got.items():
+        family = name.split("-")[0]
+        assert name in labels, (name, labels)
+        allowed = {name, family} | ({"gpl"} if family in ("lgpl", "agpl") else set())
+        assert labels <= allowed, (name, labels)
+
+
+def test_no_pattern_has_two_labels():
+    found = defaultdict(set)
+    for r in licenses.signatures():
+        found[r.pattern].add(r.label)
+    assert not {p: x for p, x in found.items() if len(x) > 1}
+
+
+def test_clashing_columns_are_refused(odd):
+    for apply in (licenses.scan, quality.ledger):
+        with pytest.raises(ValueError, match="n_words"):
+            apply(odd)
+    found = licenses.scan(odd.withColumnRenamed("cell", "scanned"), prefix="lic_")
+    assert set(found.columns) == {*odd.columns, "scanned", "lic_n_words", *("lic_" + c for c in licenses.RESULT)} - {"cell"}
+    assert order(found.select("doc_id", "n_words", "scanned").collect()) == order(odd.select("doc_id", "n_words", "cell").collect())
+
+
 def forms(tokens):
     """Every text that a parsed pattern of literals, sets, groups, branches and optional parts matches."""
     found = [""]
