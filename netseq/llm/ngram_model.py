@@ -32,11 +32,11 @@ ORDER = 3
 PRIOR = 0.1  # added to each word's count
 HELD_OUT_OF = 10
 
-TOKENS = 1 << 19  # looked up at once
+TOKENS = 1 << 20  # looked up at once
 GROUP_BYTES = 2 << 20  # of texts hashed at once
 HELD_KEYS = 1 << 21  # distinct keys a task gathers before it sends them
 SHARD_BYTES = 8 << 20  # of text for a shard of level 1
-SHARD_TOKENS = 1 << 20  # for a shard of a higher level
+SHARD_TOKENS = 1 << 21  # for a shard of a higher level
 STEP = 4000  # quantised values for a power of ten
 NONE = 65535
 
@@ -319,15 +319,17 @@ class Walk:
         places = np.where(nodes >= 0, places, (1 << bits) - 1)
         return there, (contexts[there].astype(U64) << U64(bits)) | places[there].astype(U64)
 
-    def step(self, k: int, nodes: np.ndarray, places: np.ndarray, begin: np.ndarray) -> tuple:
-        """(which tokens, ascending keys, their nodes, each token's key, nodes of level k, places below them)."""
+    def step(self, k: int, nodes: np.ndarray, places: np.ndarray, begin: np.ndarray, last: bool = False) -> tuple:
+        """(which tokens, ascending keys, their nodes, each token's key, nodes of level k, places below them); the two
+        latter lead on, and are not worked out at the last level."""
         there, keys = self.keys(k, nodes, places, begin)
         distinct, back = np.unique(keys, return_inverse=True)
         own = opened(self.trie.levels[k - 1])
         found = own.find(distinct)
-        place = found - own.followers((distinct >> U64(own.level.bits)).astype(np.int64))
         nodes, places = np.full(len(nodes), -1, np.int64), np.zeros(len(nodes), np.int64)
-        nodes[there], places[there] = found[back], place[back]
+        if not last:
+            place = found - own.followers((distinct >> U64(own.level.bits)).astype(np.int64))
+            nodes[there], places[there] = found[back], place[back]
         return there, distinct, found, back, nodes, places
 
 
@@ -628,7 +630,7 @@ def _token_scores(trie: Trie, walk: Walk, ids: np.ndarray, begin: np.ndarray) ->
     out = np.zeros(len(ids))
     for k in range(2, len(trie.levels) + 1):
         own = opened(trie.levels[k - 1])
-        there, keys, found, back, nodes, places = walk.step(k, nodes, places, begin)
+        there, keys, found, back, nodes, places = walk.step(k, nodes, places, begin, k == len(trie.levels))
         seen = found >= 0
         # A key stands for one word after one context, so the back-off is worked out per key for words alone.
         value = own.weights((keys >> U64(own.level.bits)).astype(np.int64))
