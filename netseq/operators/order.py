@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -19,10 +19,6 @@ from pyspark.sql import types as T
 from netseq.session import small_side, stage
 from netseq.spec import quoted
 
-# Files that a scan is narrowed to by name. Ranges over more files are filtered by row alone: a longer list
-# would cost the planner more than the scan gains.
-FILE_LITERALS = 1_000
-
 # Rows that one sort task is given at most, on average.
 SORT_ROWS = 4_000_000
 
@@ -35,30 +31,41 @@ ROW = "row_idx"
 # Chunk totals are gathered in one place, so their number is bounded whatever the row count.
 MAX_CHUNKS = 131_072
 
+# Least rows of a block in a chunk; blocks grow with the root of the chunk.
+BLOCK_ROWS = 64
+
 
 class Indexed(NamedTuple):
     """A frame with a dense ``row_idx`` and its known length.
 
-    ``source`` and ``bases`` (rows before each file, by hash of its name) are kept when positions
-    come straight from the files, so that a range of rows can skip the files outside it.
+    When positions come straight from the files, ``source`` is the scan and ``files`` the file index, a staged
+    table (file, name, base, rows) with the rows before each file, so that a range of rows can skip the files
+    outside it. Only the number of its rows is known to the driver. ``narrow`` is the same for other sources: a frame
+    with at least the rows of a range.
     """
 
     df: DataFrame
     n_rows: int
     source: DataFrame | None = None
-    bases: dict[int, int] | None = None
+    files: DataFrame | None = None
+    n_files: int = 0
+    narrow: Callable[[int, int], DataFrame] | None = None
 
     def between(self, start: int = 0, stop: int | None = None) -> DataFrame:
-        """Rows with start <= row_idx < stop; only files that hold such rows are read."""
+        """Rows with start <= row_idx < stop.
+
+        The file index gives the names of the first and the last file that hold such rows, and the scan is
+        narrowed to the names between them, however many they are.
+        """
         start, stop = max(start, 0), self.n_rows if stop is None else min(stop, self.n_rows)
-        df = self.df
-        if self.source is not None and len(self.bases) > 1:
-            by_base = sorted((base, file) for file, base in self.bases.items())
-            ends = [base for base, _ in by_base[1:]] + [self.n_rows]
-            inside = {file: base for (base, file), end in zip(by_base, ends) if base < stop and end > start}
-            if len(inside) <= FILE_LITERALS:
-                chosen = F.xxhash64("_metadata.file_path").isin(list(inside))
-                df = _from_bases(self.source.filter(chosen), inside or self.bases, self.n_rows).df
+        df = self.narrow(start, stop) if self.narrow else self.df
+        if self.n_files > 1 and (start > 0 or stop < self.n_rows):
+            hit = self.files.filter((F.col("base") < stop) & (F.col("base") + F.col("rows") > start))
+            n_hit, first, last = hit.agg(F.count("*"), F.min("name"), F.max("name")).first()
+            if not n_hit:
+                return self.df.limit(0)
+            inside = natural_name("_metadata.file_path").between(F.lit(first), F.lit(last))
+            df = _from_files(self.source.filter(inside), hit, n_hit, self.n_rows).df
         if start > 0:
             df = df.filter(F.col(ROW) >= start)
         return df.filter(F.col(ROW) < stop) if stop < self.n_rows else df
@@ -67,74 +74,67 @@ class Indexed(NamedTuple):
 class Ranked:
     """Dense rank of each row among the rows of its class, in position order.
 
-    Counts per (class, chunk) give each chunk its starting rank; only ranks inside a chunk need a
-    sort, so a class that holds most rows is still spread over all chunks.
+    Ranks are found by a directory of two levels: counts per (class, chunk), and, inside the chunks that are
+    asked for, counts per block. So a class that holds most rows is still spread over all chunks, and looking
+    ranks up moves the rows of the blocks that hold them and no others.
     """
 
     def __init__(self, df: DataFrame, n_rows: int, by: str, position: str = ROW):
         self.by, self.position = by, position
         self.size = _chunk_size(n_rows)
+        self.block = max(BLOCK_ROWS, math.isqrt(self.size))
         self.rows = df.withColumn("__chunk", chunk_of(self.size, position))
-        counts = self.rows.groupBy(by, "__chunk").agg(F.count("*").alias("n")).collect()
-        self.sizes: dict = {}
-        self.offsets: list[tuple] = []
-        for r in sorted(counts, key=lambda r: r["__chunk"]):
-            before = self.sizes.get(r[by], 0)
-            self.offsets.append((r[by], r["__chunk"], before))
-            self.sizes[r[by]] = before + r.n
+        counts = self.rows.groupBy(by, "__chunk").agg(F.count("*").alias("n"))
+        before = Window.partitionBy(by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        # at most MAX_CHUNKS rows for each class
+        self.directory = stage(counts.withColumn("before", _sum_over("n", before)), "rank-directory")
+        totals = self.directory.groupBy(by).agg(F.sum("n").alias("n"), F.count("*").alias("chunks")).collect()
+        self.sizes = {r[by]: r["n"] for r in totals}
+        self.n_entries = sum(r["chunks"] for r in totals)
 
     def all(self) -> DataFrame:
         """Every row with its ``rank``."""
-        return self._ranked(self.rows)
-
-    def at(self, wanted: DataFrame, n_wanted: int) -> DataFrame:
-        """Rows whose (class, rank) is in ``wanted``, joined with its other columns.
-
-        Chunks without a wanted rank are dropped before the shuffle.
-        """
-        placed = wanted.withColumn("__chunk", self._chunk_of_rank(F.col(self.by), F.col("rank")))
-        hit = placed.select(self.by, "__chunk").distinct()
-        rows = self.rows.join(small_side(hit, min(n_wanted, len(self.offsets))), [self.by, "__chunk"], "left_semi")
-        return self._ranked(rows).join(small_side(wanted, n_wanted), [self.by, "rank"])
-
-    def _ranked(self, rows: DataFrame) -> DataFrame:
-        schema = T.StructType(
-            [
-                T.StructField(self.by, rows.schema[self.by].dataType),
-                T.StructField("__chunk", T.LongType()),
-                T.StructField("__before", T.LongType()),
-            ]
-        )
-        table = rows.sparkSession.createDataFrame(self.offsets, schema)
         inside = Window.partitionBy(self.by, "__chunk").orderBy(self.position)
-        # the offsets are joined after the shuffle, which then moves less
+        # the directory is joined after the shuffle, which then moves less
         return (
-            rows.withColumn("__at", F.row_number().over(inside))
-            .join(small_side(table, len(self.offsets)), [self.by, "__chunk"])
-            .withColumn("rank", F.col("__before") + F.col("__at") - 1)
-            .drop("__chunk", "__before", "__at")
+            self.rows.withColumn("__at", F.row_number().over(inside))
+            .join(small_side(self.directory.drop("n"), self.n_entries), [self.by, "__chunk"])
+            .withColumn("rank", F.col("before") + F.col("__at") - 1)
+            .drop("__chunk", "before", "__at")
         )
 
-    def _chunk_of_rank(self, group: Column, rank: Column) -> Column:
-        """Chunk that holds a rank, by binary search in the starting ranks of its class."""
-        starts = {
-            key: (
-                np.array([b for k, _, b in self.offsets if k == key]),
-                np.array([c for k, c, _ in self.offsets if k == key]),
-            )
-            for key in self.sizes
-        }
-
-        @F.pandas_udf("long")
-        def find(group: pd.Series, rank: pd.Series) -> pd.Series:
-            out = pd.Series(0, index=rank.index, dtype="int64")
-            for key, (before, chunk) in starts.items():
-                mine = group == key
-                out[mine] = chunk[np.searchsorted(before, rank[mine].to_numpy(), side="right") - 1]
-            return out
-
-        # so marked, the call is not repeated in filters the optimiser derives from it
-        return find.asNondeterministic()(group, rank)
+    def at(self, wanted: DataFrame, n_wanted: int) -> DataFrame:
+        """Rows whose (class, rank) is in ``wanted``, joined with its other columns."""
+        asked = stage(wanted, "ranks-asked")
+        ranks = asked.select(self.by, "rank").distinct()
+        in_chunk = self._located(self.directory, ranks, [self.by], self.size, "rank", "__of_chunk")
+        chunks = small_side(in_chunk.select(self.by, "__chunk").distinct(), min(n_wanted, self.n_entries))
+        blocked = self.rows.withColumn("__block", chunk_of(self.block, self.position))
+        keys = [self.by, "__chunk"]
+        counts = blocked.join(chunks, keys, "left_semi").groupBy(*keys, "__block").agg(F.count("*").alias("n"))
+        before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = counts.withColumn("before", _sum_over("n", before))
+        hits = stage(self._located(blocks, in_chunk, keys, self.block, "__of_chunk", "__of_block"), "ranks-placed")
+        # A block may lie in two chunks; their rows are counted apart.
+        own = [*keys, "__block"]
+        rows = blocked.join(small_side(hits.select(*own).distinct(), n_wanted), own, "left_semi")
+        placed = rows.withColumn("__of_block", F.row_number().over(Window.partitionBy(*own).orderBy(self.position)).cast("bigint") - 1)
+        found = placed.join(small_side(hits, n_wanted), [*own, "__of_block"]).drop(*own[1:], "__of_block", "__of_chunk")
+        return found.join(small_side(asked, n_wanted), [self.by, "rank"])
+
+    @staticmethod
+    def _located(entries: DataFrame, asked: DataFrame, keys: list[str], width: int, rank: str, inner: str) -> DataFrame:
+        """``asked`` with the entry (a stretch of ``n`` ranks from ``before``) that holds each rank, and the rank
+        within it, as an equi-join on numbered stretches of ranks, each of which touches few entries."""
+        first, last = (F.expr(f"({end}) div {int(width)}") for end in ("before", "before + n - 1"))
+        spread = entries.withColumn("__stretch", F.explode(F.sequence(first, last)))
+        wanted = asked.withColumn("__stretch", chunk_of(width, rank))
+        found = wanted.join(spread, [*keys, "__stretch"]).filter((F.col(rank) >= F.col("before")) & (F.col(rank) < F.col("before") + F.col("n")))
+        return found.withColumn(inner, F.col(rank) - F.col("before")).drop("__stretch", "before", "n")
+
+
+def _sum_over(column: str, window) -> Column:
+    return F.coalesce(F.sum(column).over(window), F.lit(0).cast("bigint"))
 
 
 def index_rows(df: DataFrame, order_by: Sequence[str] = ()) -> Indexed:
@@ -151,8 +151,7 @@ def index_rows(df: DataFrame, order_by: Sequence[str] = ()) -> Indexed:
     state = df.agg(F.count("*"), F.max("_metadata.file_modification_time"), F.count_distinct("_metadata.file_path")).first()
     key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.columns), tuple(order_by), *state)
     if key not in _indexed:
-        bases = _bases_in_key_order(df, order_by)
-        found = _from_bases(df, *bases) if bases is not None else index_by_keys(df, order_by, state[0])
+        found = _in_key_order(df, order_by, state[0]) or index_by_keys(df, order_by, state[0])
         while len(_indexed) >= KEPT_TABLES:
             _indexed.pop(next(iter(_indexed)))
         _indexed[key] = found
@@ -163,24 +162,31 @@ def index_by_file(df: DataFrame) -> Indexed:
     """Index a whole parquet scan by file name, then by row position in the file; no shuffle of rows."""
     if not _has_file_positions(df):
         raise ValueError("only a parquet scan has an order of its own; give order keys")
-    files = (
-        df.select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("pos")
-        )
-        .groupBy("path")
-        .agg(F.count("*").alias("rows"), F.max("pos").alias("top"), F.xxhash64("path").alias("file"))
-        .collect()
-    )
-    files.sort(key=lambda f: natural_key(f.path))
-    bases, total = {}, 0
-    for f in files:
-        if f.top + 1 != f.rows:
-            raise ValueError("file order needs the whole scan: index before filtering")
-        bases[f.file] = total
-        total += f.rows
-    if len(bases) != len(files):
+    path = F.col("_metadata.file_path")
+    scan = df.select(path.alias("path"), F.col("_metadata.row_index").alias("pos"))
+    counts = scan.groupBy("path").agg(F.count("*").alias("rows"), F.max("pos").alias("top"))
+    files = stage(counts.select(F.xxhash64("path").alias("file"), natural_name("path").alias("name"), "path", "rows", "top"), "file-counts")
+    n_files, n_hashes, whole, total = files.agg(
+        F.count("*"), F.count_distinct("file"), F.coalesce(F.every(F.col("top") + 1 == F.col("rows")), F.lit(True)), F.sum("rows")
+    ).first()
+    if not whole:
+        raise ValueError("file order needs the whole scan: index before filtering")
+    if n_hashes != n_files:
         raise ValueError("two file names share a hash; give order keys instead")
-    return _from_bases(df, bases, total)
+    return _from_files(df, rows_before(files, ["name", "path"], n_files), n_files, total or 0)
+
+
+def rows_before(entries: DataFrame, order_by: Sequence[str], n_entries: int, rows: str = "rows") -> DataFrame:
+    """``entries`` with ``base``, the sum of ``rows`` over those before, staged.
+
+    Entries (of files, or of stretches of files) are sorted over all tasks and summed in two levels, so their
+    number is not bounded by the driver.
+    """
+    if n_entries <= 1:
+        return entries.withColumn("base", F.lit(0).cast("bigint"))
+    placed = index_by_keys(entries, order_by, n_entries)
+    summed = running(placed.df, n_entries, {"base": ("sum", F.col(rows))}, inclusive=False)
+    return stage(summed.drop(ROW).withColumn("base", F.col("base").cast("bigint")), "rows-before")
 
 
 def index_by_keys(df: DataFrame, order_by: Sequence[str], n_rows: int | None = None) -> Indexed:
@@ -196,30 +202,39 @@ def index_by_keys(df: DataFrame, order_by: Sequence[str], n_rows: int | None = N
         .sortWithinPartitions(*keys)
         .withColumn("__place", F.monotonically_increasing_id())
     )
-    return index_by_place(stage(placed, "ordered"), [F.shiftright("__place", 33)], "__place")
+    return _by_partition(stage(placed, "ordered"))
+
+
+def _by_partition(df: DataFrame) -> Indexed:
+    """Index rows by the partition and the place in it that ``__place`` names; one row a sort task reaches the driver."""
+    part = F.shiftright("__place", 33)
+    sizes = sorted(df.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("__place").alias("low")).collect())
+    bases, total = [], 0
+    for r in sizes:
+        bases.append((r["part"], total - r["low"]))
+        total += r["n"]
+    if not bases:
+        return Indexed(df.drop("__place").withColumn(ROW, F.lit(0).cast("bigint")), 0)
+    offsets = df.sparkSession.createDataFrame(bases, "__part bigint, __base bigint")
+    joined = df.withColumn("__part", part).join(small_side(offsets, len(bases)), "__part")
+    return Indexed(joined.withColumn(ROW, F.col("__place") + F.col("__base")).drop("__place", "__base", "__part"), total)
 
 
 def index_by_place(df: DataFrame, segment: Sequence[Column], place: str) -> Indexed:
-    """Index rows that carry an ordered segment and a consecutive place inside it.
+    """Index rows that carry an ordered segment (file and block) and a consecutive place inside it.
 
-    There is one segment per range partition or file block, so their list is small.
+    Segments stay a table: they are counted, sorted and summed by tasks.
     """
     names = [f"__s{i}" for i in range(len(segment))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(segment, names)])
-    rows = tagged.groupBy(*names).agg(F.count("*").alias("n"), F.min(place).alias("low")).collect()
-    rows.sort(key=lambda r: tuple(natural_key(r[n]) for n in names))
-    bases, total = [], 0
-    for r in rows:
-        bases.append((*[r[n] for n in names], total - r.low))
-        total += r.n
-    if not bases:
-        return Indexed(df.drop(place).withColumn(ROW, F.lit(0).cast("bigint")), 0)
-    fields = [tagged.schema[n] for n in names] + [T.StructField("__base", T.LongType())]
-    offsets = df.sparkSession.createDataFrame(bases, T.StructType(fields))
-    joined = tagged.join(small_side(offsets, len(bases)), names)
-    return Indexed(
-        joined.withColumn(ROW, F.col(place) + F.col("__base")).drop(place, "__base", *names), total
-    )
+    counts = stage(tagged.groupBy(*names).agg(F.count("*").alias("__n"), F.min(place).alias("__low")), "segments")
+    n_segments, total = counts.agg(F.count("*"), F.sum("__n")).first()
+    keys = [n if counts.schema[n].dataType != T.StringType() else f"{n}_name" for n in names]
+    named = counts.withColumns({f"{n}_name": natural_name(n) for n in names if f"{n}_name" in keys})
+    summed = rows_before(named, [*keys, *[n for n in names if n not in keys]], n_segments, "__n")
+    offsets = summed.select(*names, (F.col("base") - F.col("__low")).alias("__base"))
+    joined = tagged.join(small_side(offsets, n_segments), names)
+    return Indexed(joined.withColumn(ROW, F.col(place) + F.col("__base")).drop(place, "__base", *names), total or 0)
 
 
 def head(indexed: Indexed, n_rows: int) -> Indexed:
@@ -295,6 +310,18 @@ def natural_key(value):
     return [int(p) if i % 2 else p for i, p in enumerate(re.split(r"(\d+)", value))]
 
 
+def natural_name(path: Column | str) -> Column:
+    """The same order as text: each number is written behind the count of its digits."""
+
+    def written(part: Column) -> Column:
+        digits = F.regexp_replace(part, "^0+(?=.)", "")
+        number = F.concat(F.lit("\u0001"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+        return F.when(part.rlike("^[0-9]"), number).otherwise(part)
+
+    parts = F.regexp_extract_all(F.col(path) if isinstance(path, str) else path, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, written), "")
+
+
 def _has_file_positions(df: DataFrame) -> bool:
     try:
         return bool(df.select("_metadata.row_index").columns)
@@ -302,59 +329,56 @@ def _has_file_positions(df: DataFrame) -> bool:
         return False
 
 
-def _from_bases(df: DataFrame, bases: dict[int, int], n_rows: int) -> Indexed:
+def _from_files(df: DataFrame, files: DataFrame, n_files: int, n_rows: int) -> Indexed:
     """``row_idx`` = row position in the file + number of rows in the files before it."""
     pos = F.col("_metadata.row_index")
-    if len(set(bases.values())) <= 1:
-        base = next(iter(bases.values()), 0)
-        return Indexed(df.select("*", (pos + F.lit(base)).alias(ROW)), n_rows, df, bases)
-    offsets = df.sparkSession.createDataFrame(list(bases.items()), "__file bigint, __base bigint")
+    if n_files <= 1:
+        base = files.select("base").first()
+        return Indexed(df.select("*", (pos + F.lit(base[0] if base else 0)).alias(ROW)), n_rows, df, files, n_files)
+    bases = files.select(F.col("file").alias("__file"), F.col("base").alias("__base"))
     tagged = df.select("*", pos.alias("__pos"), F.xxhash64("_metadata.file_path").alias("__file"))
-    joined = tagged.join(small_side(offsets, len(bases)), "__file")
-    return Indexed(
-        joined.withColumn(ROW, F.col("__pos") + F.col("__base")).drop("__file", "__pos", "__base"),
-        n_rows,
-        df,
-        bases,
-    )
+    joined = tagged.join(small_side(bases, n_files), "__file")
+    placed = joined.withColumn(ROW, F.col("__pos") + F.col("__base")).drop("__file", "__pos", "__base")
+    return Indexed(placed, n_rows, df, files, n_files)
 
 
-def _bases_in_key_order(df: DataFrame, order_by: Sequence[str]) -> tuple[dict[int, int], int] | None:
-    """Rows before each file if all files together are strictly increasing in the keys, else None.
+def _in_key_order(df: DataFrame, order_by: Sequence[str], n_rows: int) -> Indexed | None:
+    """The index by file positions if all files together are strictly increasing in the keys, else None.
 
-    Each task reduces the rows it reads to one line per stretch of a file; only those lines, fewer
-    than the file splits, are compared on the driver.
+    Each task reduces the rows it reads to one line per stretch of a file. The lines are sorted by their first
+    keys; each must end before the next begins, and all stretches of a file must tell the same rows before it.
     """
     keys = [F.col(quoted(k)).alias(f"k{i}") for i, k in enumerate(order_by)]
-    scan = df.select(
-        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"), *keys
-    )
+    scan = df.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"), *keys)
     kinds = [f for f in scan.schema.fields if f.name.startswith("k")]
-    schema = T.StructType(
-        [
-            T.StructField("file", T.LongType()),
-            T.StructField("pos", T.LongType()),
-            T.StructField("rows", T.LongType()),
-            T.StructField("rising", T.BooleanType()),
-            *[T.StructField(f"first_{f.name}", f.dataType) for f in kinds],
-            *[T.StructField(f"last_{f.name}", f.dataType) for f in kinds],
-        ]
-    )
-    runs = scan.mapInArrow(_file_runs, schema).collect()
-    firsts = [f"first_{f.name}" for f in kinds]
-    lasts = [f"last_{f.name}" for f in kinds]
-    if not all(r.rising and None not in r for r in runs):
+    fields = [("file", T.LongType()), ("pos", T.LongType()), ("rows", T.LongType()), ("rising", T.BooleanType())]
+    fields += [(f"{end}_{f.name}", f.dataType) for end in ("first", "last") for f in kinds]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    lines = stage(scan.mapInArrow(_file_runs, schema), "stretches")
+    firsts, lasts = ([f"{end}_{f.name}" for f in kinds] for end in ("first", "last"))
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*firsts, *lasts)])
+    n_lines, rising = lines.agg(F.count("*"), F.every(F.col("rising") & known)).first()
+    if not n_lines or not rising:
         return None
-    runs.sort(key=lambda r: [r[n] for n in firsts])
-    bases, total, previous = {}, 0, None
-    for r in runs:
-        if previous is not None and not previous < [r[n] for n in firsts]:
-            return None
-        if bases.setdefault(r.file, total - r.pos) != total - r.pos:
+    if n_lines > 1:
+        placed = index_by_keys(lines, firsts, n_lines).df
+        placed = stage(running(placed, n_lines, {"base": ("sum", F.col("rows"))}, inclusive=False), "stretches-placed")
+
+        def at(names: list[str]) -> Column:
+            return F.struct(*[F.col(c).alias(f.name) for c, f in zip(names, kinds)])
+
+        ends = placed.select((F.col(ROW) + 1).alias(ROW), at(lasts).alias("last"))
+        meet = placed.select(ROW, at(firsts).alias("first")).join(ends, ROW)
+        if not meet.filter(~(F.col("last") < F.col("first"))).isEmpty():
             return None
-        total += r.rows
-        previous = [r[n] for n in lasts]
-    return bases, total
+    else:
+        placed = lines.withColumn("base", F.lit(0).cast("bigint"))
+    start = F.col("base") - F.col("pos")
+    told = placed.groupBy("file").agg(F.min(start).alias("base"), F.max(start).alias("other"), F.sum("rows").alias("rows"))
+    names = df.select(F.col("_metadata.file_path").alias("path")).distinct().select(F.xxhash64("path").alias("file"), natural_name("path").alias("name"))
+    files = stage(told.join(names, "file").select("file", "name", F.col("base").cast("bigint").alias("base"), "rows", "other"), "file-index")
+    n_files, same = files.agg(F.count("*"), F.every(F.col("base") == F.col("other"))).first()
+    return _from_files(df, files.drop("other"), n_files, n_rows) if same else None
 
 
 def _file_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

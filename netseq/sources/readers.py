@@ -69,9 +69,9 @@ def read_flows(
         if not spec.order_by:
             return head(_by_position(stage(scan, "csv")), n_rows)
     elif suffix.endswith(".feather"):
-        scan = feather.read_feather(spark, dataset, spec.columns(), positions=not spec.order_by)
         if not spec.order_by:
-            return head(_by_position(scan), n_rows)
+            return head(feather.index_feather(spark, dataset, spec.columns()), n_rows)
+        scan = feather.read_feather(spark, dataset, spec.columns())
     elif suffix.endswith(".parquet"):
         scan = spark.read.parquet(dataset)
         scan = spec.project(scan, _has_test(spec, scan))

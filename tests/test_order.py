@@ -32,7 +32,7 @@ def test_sorted_files_are_not_shuffled(spark):
     path = staging_path(spark, "sorted")
     spark.range(0, 3000).repartitionByRange(5, "id").sortWithinPartitions("id").write.parquet(path)
     indexed = order.index_rows(spark.read.parquet(path), ["id"])
-    assert indexed.bases is not None and len(indexed.bases) > 1
+    assert indexed.files is not None and indexed.n_files > 1
     assert indexed.df.filter(f"id <> {ROW}").count() == 0 and indexed.n_rows == 3000
     plan = indexed.df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
@@ -60,7 +60,7 @@ def test_a_missing_key_falls_back_to_a_sort(spark):
     path = staging_path(spark, "nullkey")
     spark.range(0, 100).select(F.when(F.col("id") > 0, F.col("id")).alias("k")).coalesce(1).write.parquet(path)
     indexed = order.index_rows(spark.read.parquet(path), ["k"])
-    assert indexed.bases is None
+    assert indexed.files is None
     assert {(r["k"], r[ROW]) for r in indexed.df.collect()} == {(i or None, i) for i in range(100)}
 
 
@@ -86,7 +86,7 @@ def test_one_file_read_in_many_splits(spark, tmp_path):
         scan = spark.read.parquet(path)
         assert scan.rdd.getNumPartitions() > 5
         indexed = order.index_rows(scan, ["id"])
-        assert indexed.bases is not None and indexed.n_rows == 40_000
+        assert indexed.files is not None and indexed.n_rows == 40_000
         assert indexed.df.filter(f"id <> {ROW}").count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
