@@ -9,6 +9,7 @@ import json
 import os
 import time
 
+from netseq.operators import order
 from netseq.plans import catalog
 from netseq.session import local_session
 
@@ -50,6 +51,7 @@ def main() -> None:
         catalog.QUERIES[warm](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
+        order._indexed.clear()  # every query pays for its own index
         begin = time.perf_counter()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begin, 3)

@@ -13,9 +13,14 @@ from netseq.functions.scalars import log_minmax, predicted_positive, sanitise
 from netseq.operators.masks import LABEL
 from netseq.operators.metrics import confusion, evaluate, rates
 from netseq.operators.numeric import fit_minmax, scaled
-from netseq.operators.order import ROW, Indexed, Ranked
+from netseq.operators.order import ROW, Indexed, Ranked, chunk_of, index_by_keys
 from netseq.operators.split import TRAIN, eval_count
 from netseq.operators.windows import trailing, trailing_mean
+from netseq.session import small_side, stage
+
+# Fits that a window meets at once in a transfer matrix.
+FITS_AT_ONCE = 64
+
 
 def temporal_bias(
     indexed: Indexed, value: str, fractions: Sequence[float], window: int, threshold: float = 0.5
@@ -54,23 +59,28 @@ def transfer_matrix(
 ) -> DataFrame:
     """Fit on the rows of one class, evaluate on the windows ending in every class; F1 against home.
 
-    ``indexed`` carries ``y``. One fit per class, kept as a table; every window is then scored under every
-    fit, so the work is rows times classes, as the matrix asks.
+    ``indexed`` carries ``y``. One fit per class, kept as a table whose rows are numbered and grouped to blocks of
+    bounded length. Every window meets every block by its number, so the work is rows times classes, as the matrix
+    asks, and no row holds more than a block of fits.
     """
     n = indexed.n_rows
     df = indexed.df.select(
         ROW, LABEL, F.col(class_column).alias("eval_on"), sanitise(F.col(value)).alias("v")
     )
-    fits = df.groupBy("eval_on").agg(F.min("v").alias("lo"), (F.max("v") - F.min("v")).alias("spread"))
-    every_fit = fits.agg(F.collect_list(F.struct(F.col("eval_on").alias("fit_on"), "lo", "spread"))).scalar()
+    fits = df.groupBy(F.col("eval_on").alias("fit_on")).agg(F.min("v").alias("lo"), (F.max("v") - F.min("v")).alias("spread"))
+    numbered = index_by_keys(stage(fits, "class-fits"), ["fit_on"])
+    blocks = numbered.df.groupBy(chunk_of(FITS_AT_ONCE).alias("block")).agg(F.collect_list(F.struct("fit_on", "lo", "spread")).alias("fits"))
+    n_blocks = -(-numbered.n_rows // FITS_AT_ONCE)
     windows = trailing(df, window, n, lambda frame: {"vs": F.collect_list("v").over(frame)})
-    windows = windows.filter(F.col(ROW) >= window - 1).withColumn("fits", every_fit)
+    every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n_blocks, 1) - 1).cast("bigint")))
+    met = windows.filter(F.col(ROW) >= window - 1).select(LABEL, "eval_on", "vs", every_block.alias("block"))
+    met = met.join(small_side(blocks, numbered.n_rows), "block")
 
     def mean_under(fit: Column) -> Column:
         total = F.aggregate("vs", F.lit(0.0), lambda s, v: s + log_minmax(v, fit["lo"], fit["spread"]))
         return F.struct(fit["fit_on"].alias("fit_on"), (total / F.size("vs")).alias("p"))
 
-    scored = windows.select(LABEL, "eval_on", F.inline(F.transform("fits", mean_under)))
+    scored = met.select(LABEL, "eval_on", F.inline(F.transform("fits", mean_under)))
     results = evaluate(scored, "p", LABEL, threshold, by=["fit_on", "eval_on"])
     at_home = F.when(F.col("fit_on").eqNullSafe(F.col("eval_on")), F.col("f1"))
     home = F.max(at_home).over(Window.partitionBy("fit_on"))
@@ -94,6 +104,25 @@ def drift_mix(indexed: Indexed, is_second: Column, seed: int) -> Indexed:
     return Indexed(mixed.drop(ROW).withColumnRenamed("rank", ROW), n)
 
 
+def drift_mix_tables(first: Indexed, second: Indexed, seed: int) -> Indexed:
+    """The same phase from one table to another: position r holds row r of ``second`` with chance r/N.
+
+    Both tables have the same columns and are indexed each for itself; every row decides alone whether its position
+    belongs to its table, so the two are neither joined nor shuffled. N is the shorter length; of a longer table only
+    the files that hold its first N rows are read.
+    """
+    n = min(first.n_rows, second.n_rows)
+    if n == 0:
+        raise ValueError("both tables need rows")
+    chance = hash60(seed, F.col(ROW)).cast("double") / F.lit(float(HASH_RANGE))
+    second_here = chance < F.col(ROW).cast("double") / F.lit(float(n))
+    parts = [
+        t.between(0, n).filter(second_here == F.lit(here)).withColumn("from_second", F.lit(here))
+        for t, here in ((first, False), (second, True))
+    ]
+    return Indexed(parts[0].unionByName(parts[1]), n)
+
+
 def drift_report(
     mixed: Indexed, value: str, fit: tuple[float, float], window: int, threshold: float = 0.5
 ) -> DataFrame:

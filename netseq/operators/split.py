@@ -108,6 +108,14 @@ def leak_audit(df: DataFrame, n_rows: int, window: int) -> DataFrame:
     )
 
 
+def context_report(df: DataFrame, window: int) -> DataFrame:
+    """(is_train, rows, windows, left_out): rows of each part, and those that end no window for lack of earlier rows."""
+    ends = F.col(ROW) >= window - 1
+    return df.groupBy(TRAIN).agg(
+        F.count("*").alias("rows"), F.count_if(ends).alias("windows"), F.count_if(~ends).alias("left_out")
+    )
+
+
 def _nth_smallest(pool: DataFrame, n: int) -> tuple[int, int]:
     """The n-th smallest (h, row_idx) pair by narrowing a histogram of h; no sort of the pool."""
     shift, left = HASH_BITS, n

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netseq.functions.hashing import HASH_RANGE
 from netseq.functions.scalars import predicted_positive
 from netseq.operators import experiments, runlog
 from netseq.operators.categorical import encode, fit_levels
@@ -35,6 +36,7 @@ from netseq.plans.common import (
     labelled_events,
     lineitem,
     minmax,
+    orders,
     rd,
     rounded,
     trailing_avg,
@@ -172,6 +174,14 @@ def drift_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.df.select(ROW, "event_id", "user_id", "from_second")
 
 
+def drift_two_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """From order totals to the values of events, each table in its own order."""
+    first, second = orders(spark, folder), events(spark, folder)
+    totals = Indexed(first.df.select(ROW, F.col("o_totalprice").alias("value")), first.n_rows)
+    values = Indexed(second.df.select(ROW, "value"), second.n_rows)
+    return experiments.drift_mix_tables(totals, values, SEED).df
+
+
 def drift_report(spark: SparkSession, folder: str) -> DataFrame:
     indexed, second, mixed = _drift(spark, folder)
     fit = experiments.before_drift_fit(indexed, "value", second)
@@ -210,6 +220,7 @@ QUERIES = {
     "temporal_bias": temporal_bias,
     "transfer_matrix": transfer_matrix,
     "drift_mix": drift_mix,
+    "drift_two_tables": drift_two_tables,
     "drift_report": drift_report,
     "experiment_grid": experiment_grid,
 }
@@ -305,6 +316,11 @@ ORACLE = {
     f"{rd('a.f')} AS f1, {rd('a.f - b.f')} AS f1_change "
     "FROM q a JOIN q b ON a.fit_on = b.fit_on AND b.fit_on = b.eval_on",
     "drift_mix": f"WITH {_DRIFT} SELECT rank AS row_idx, event_id, user_id, from_second FROM x",
+    "drift_two_tables": "WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_totalprice AS value, false AS "
+    "from_second FROM orders), b AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_idx, value, true AS from_second "
+    "FROM events), n AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS n), "
+    "t AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT row_idx, value, from_second FROM t, n WHERE row_idx < n "
+    f"AND from_second = (CAST({h60(f'{SEED!s}' + ' || chr(58) || row_idx')} AS DOUBLE) / {HASH_RANGE}.0::DOUBLE < row_idx / CAST(n AS DOUBLE))",
     "drift_report": f"WITH {_DRIFT}, f AS (SELECT min(v) AS mn, max(v) - min(v) AS rg FROM c WHERE user_id % 2 <> 1), "
     f"s AS (SELECT x.*, {minmax('v', 'mn', 'rg')} AS scaled FROM x CROSS JOIN f), "
     f"w AS (SELECT *, {trailing_avg('scaled', 'rank')} AS p FROM s), "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netseq.functions.hashing import text_key
 from netseq.operators.masks import add_candidate_sets, add_label, selectable
 from netseq.operators.order import ROW, head, index_by_file
-from netseq.operators.split import TRAIN, leak_audit, split_flag, split_last, split_random
+from netseq.operators.split import TRAIN, context_report, leak_audit, split_flag, split_last, split_random
 from netseq.plans.common import (
     EVENT_ENCODED,
     EVENT_LABELS,
@@ -93,6 +93,10 @@ def split_last_rows(spark: SparkSession, folder: str) -> DataFrame:
     return split_last(events(spark, folder), FRACTION).select(ROW, TRAIN)
 
 
+def left_out(spark: SparkSession, folder: str) -> DataFrame:
+    return context_report(split_flag(lineitem(spark, folder), LINEITEM.test_column, WINDOW), WINDOW)
+
+
 def split_random_rows(spark: SparkSession, folder: str) -> DataFrame:
     return split_random(events(spark, folder), FRACTION, WINDOW, SEED).select(ROW, TRAIN)
 
@@ -139,6 +143,7 @@ QUERIES = {
     "split_last": split_last_rows,
     "split_random": split_random_rows,
     "split_flag": split_by_flag,
+    "left_out": left_out,
     "leak_audit": leaks,
     "project_spec": project_spec,
     "label_mask": label_mask,
@@ -176,6 +181,10 @@ ORACLE = {
     "split_flag": f"WITH {LINE_ROWS}, m AS (SELECT l_linestatus AS v FROM lineitem GROUP BY 1 "
     f"ORDER BY count(*), 1 LIMIT 1) SELECT row_idx, NOT (l_linestatus = v AND row_idx > {WINDOW}) AS is_train "
     "FROM o CROSS JOIN m",
+    "left_out": f"WITH {LINE_ROWS}, m AS (SELECT l_linestatus AS v FROM lineitem GROUP BY 1 "
+    f"ORDER BY count(*), 1 LIMIT 1) SELECT NOT (l_linestatus = v AND row_idx > {WINDOW}) AS is_train, count(*) AS rows, "
+    f"count(*) FILTER (WHERE row_idx >= {WINDOW - 1}) AS windows, count(*) FILTER (WHERE row_idx < {WINDOW - 1}) AS left_out "
+    "FROM o CROSS JOIN m GROUP BY 1",
     "leak_audit": f"WITH {RANDOM_SPLIT}, w AS (SELECT is_train, min(CAST(is_train AS INTEGER)) OVER t AS pure, "
     f"count(*) OVER t AS size FROM r WINDOW t AS (ORDER BY row_idx ROWS BETWEEN {WINDOW - 1} PRECEDING "
     "AND CURRENT ROW)) SELECT count(*) AS train_windows, count(*) FILTER (WHERE pure = 0) AS leaky_windows "

@@ -170,3 +170,54 @@ def test_natural_file_order():
 
 def test_indexed_defaults(spark):
     assert Indexed(spark.range(3).withColumnRenamed("id", ROW), 3).between(1, 2).count() == 1
+
+
+def leaves(df):
+    """Scans of the planned query."""
+    found = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    every = [found.apply(i) for i in range(found.size())]
+    return [x for x in every if "FileSourceScan" in x.getClass().getName()]
+
+
+def test_a_range_of_two_thousand_files_reads_the_touched_ones(spark):
+    path = staging_path(spark, "two-thousand")
+    spark.range(0, 20_000, 1, 2_000).write.parquet(path)
+    indexed = order.index_by_file(spark.read.parquet(path))
+    assert indexed.n_files == 2_000 and indexed.n_rows == 20_000
+    for start, stop in ((5_000, 5_030), (0, 10), (19_995, 20_000), (3, 15_000)):
+        part = indexed.between(start, stop)
+        touched = (stop - 1) // 10 - start // 10 + 1
+        assert max(x.selectedPartitions().totalNumberOfFiles() for x in leaves(part)) == touched
+        assert part.filter(f"id <> {ROW}").count() == 0 and part.count() == stop - start
+    assert indexed.between(20_000).count() == 0
+
+
+def test_names_sort_as_numbers(spark):
+    names = ["a", "a1", "a01", "a2", "a10", "a10b", "a9/part-2", "a9/part-10", "b", "", "7", "07x", "a1b2", "a1b10", "é3"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(order.natural_name("n"), "n").collect()
+    assert [r["n"] for r in got] == sorted(names, key=lambda n: (order.natural_key(n), n))
+
+
+def shuffled(plan):
+    """Records written by all exchanges of an executed plan."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = 0
+    if name == "ShuffleExchangeExec":
+        own = plan.metrics().get("shuffleRecordsWritten").get().value()
+    below = plan.children()
+    return own + sum(shuffled(below.apply(i)) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("n_rows", [40_000, 400_000])
+def test_a_draw_moves_blocks_not_chunks(spark, n_rows):
+    """Ten ranks move ten blocks of rows, however long the table."""
+    df = spark.range(n_rows).select(F.col("id").alias(ROW), (F.col("id") % 3 == 0).alias("y"))
+    ranked = Ranked(df, n_rows, "y")
+    wanted = spark.createDataFrame([(True, i * (n_rows // 40)) for i in range(10)], "y boolean, rank long")
+    found = ranked.at(wanted, 10)
+    assert {(r["rank"], r[ROW]) for r in found.collect()} == {(i * (n_rows // 40), 3 * i * (n_rows // 40)) for i in range(10)}
+    assert shuffled(found._jdf.queryExecution().executedPlan()) <= 10 * ranked.block + 200

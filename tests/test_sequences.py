@@ -484,9 +484,10 @@ def test_epoch_training_stops_early(spark):
 def test_transfer_has_no_class_limit(spark):
     from netseq.operators.experiments import transfer_matrix
 
-    rows = [(i, f"c{i % 90}", i % 3 == 0, float(i % 17)) for i in range(900)]
+    rows = [(i, f"c{i % 500}" if i % 500 else None, i % 3 == 0, float(i % 17)) for i in range(1500)]
     df = spark.createDataFrame(rows, f"{ROW} long, kind string, {LABEL} boolean, v double")
-    assert transfer_matrix(Indexed(df, 900), "v", "kind", 4).count() == 90 * 90
+    found = transfer_matrix(Indexed(df, 1500), "v", "kind", 4)
+    assert found.count() == 500 * 500 and found.select("fit_on", "eval_on").distinct().count() == 500 * 500
 
 
 def test_missing_vectors_are_refused(spark):
