@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netseq.functions import scalars
 from netseq.operators import categorical, numeric
 from netseq.operators.assemble import shape_report
+from netseq.operators.embed_table import NUMERIC_CODE, TableEmbed
 from netseq.operators.encode import VECTOR, CategoryEmbed, ConcatEncoding, RecordEmbed
 from netseq.operators.order import ROW
 from netseq.operators.split import TRAIN, split_last
@@ -20,6 +21,7 @@ from netseq.plans.common import (
     LINE_ENCODED,
     LINE_FIT,
     LINE_NUMBERS,
+    LINE_ROWS,
     LINEITEM,
     ORDER_ENCODED,
     ORDERS,
@@ -38,12 +40,18 @@ from netseq.plans.common import (
     rounded,
 )
 from netseq.sources.readers import read_table
-from netseq.spec import CategoricalFormat
+from netseq.session import stage
+from netseq.spec import CategoricalFormat, ModelInput
 
 BALANCE_LIMIT = 5000.0
 PRIORITIES = 5
 EMBED_DIMENSION = 3
 
+# Lines embedded by their keys: numbers, the table and key behind each category, and where weights are numbered from.
+KEYED_NUMBERS = ("l_quantity", "l_discount")
+KEYED_TABLES = {"l_partkey": ("part", "p_partkey"), "l_suppkey": ("supplier", "s_suppkey")}
+KEYED_SHIFT = {"l_quantity": 2, "l_discount": 5, "l_partkey": 7, "l_suppkey": 11}
+
 # Numbers that cleaning has to handle, laid over the customers by position.
 DIRTY = [1.0, None, float("nan"), float("inf"), float("-inf"), 1e9, 1.0000001e9, -1e9, -2e9]
 DIRTY_SQL = (
@@ -183,6 +191,46 @@ def embed_record(spark: SparkSession, folder: str) -> DataFrame:
     return _exploded(encoding.apply(done.df, done.model_input), "v")
 
 
+def _keyed_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, ModelInput]:
+    """Lines whose part and supplier numbers are codes themselves: as many levels as there are parts and suppliers."""
+    rows = lineitem(spark, folder).df.select(
+        ROW,
+        *[F.col(c).cast("double").alias(c) for c in KEYED_NUMBERS],
+        *[(F.col(c) + 1).alias(c) for c in KEYED_TABLES],
+    )
+    levels = [read_table(spark, folder, t).count() for t, _ in KEYED_TABLES.values()]
+    return rows, ModelInput(KEYED_NUMBERS, tuple(KEYED_TABLES), levels, CategoricalFormat.INTEGERS)
+
+
+def _weight_table(spark: SparkSession, folder: str) -> DataFrame:
+    """(feature, code, w) with a vector for every part, every supplier and every number."""
+    dims = F.sequence(F.lit(0), F.lit(EMBED_DIMENSION - 1))
+
+    def vector(shift: int):
+        return F.transform(dims, lambda j: (((F.col("code") + shift) * 31 + j * 17) % 13 - 6) / F.lit(10.0)).alias("w")
+
+    table = None
+    for c, (name, key) in KEYED_TABLES.items():
+        part = read_table(spark, folder, name).select(F.lit(c).alias("feature"), (F.col(key) + 1).alias("code"))
+        part = part.select("*", vector(KEYED_SHIFT[c]))
+        table = part if table is None else table.unionByName(part)
+    for c in KEYED_NUMBERS:
+        one = spark.range(1).select(F.lit(c).alias("feature"), F.lit(NUMERIC_CODE).cast("bigint").alias("code"))
+        table = table.unionByName(one.select("*", vector(KEYED_SHIFT[c])))
+    return stage(table, "weights")
+
+
+def embed_table(spark: SparkSession, folder: str) -> DataFrame:
+    df, model_input = _keyed_lines(spark, folder)
+    encoding = TableEmbed(EMBED_DIMENSION, _weight_table(spark, folder), bias=[0.1, 0.2, 0.3])
+    return _exploded(encoding.apply(df, model_input), "v")
+
+
+def embed_table_concat(spark: SparkSession, folder: str) -> DataFrame:
+    df, model_input = _keyed_lines(spark, folder)
+    return _exploded(TableEmbed(EMBED_DIMENSION, _weight_table(spark, folder), concat=True).apply(df, model_input), "v")
+
+
 def _embed_orders(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     done = preprocessed(orders(spark, folder), ORDERS)
     table = [[weight(c, j) for j in range(EMBED_DIMENSION)] for c in range(PRIORITIES)]
@@ -221,6 +269,8 @@ QUERIES = {
     "shape_report": shapes,
     "concat_vector": concat_vector,
     "embed_record": embed_record,
+    "embed_table": embed_table,
+    "embed_table_concat": embed_table_concat,
     "embed_onehot": embed_onehot,
     "embed_projection": embed_projection,
     "embed_lookup": embed_lookup,
@@ -242,6 +292,11 @@ _ORDER_EMBED = (
     f"SELECT row_idx, CAST(j + 1 AS INTEGER) AS dim, {rd(weight_sql('code - 1', 'j') + ' {bias}')} AS v "
     f"FROM e CROSS JOIN range({EMBED_DIMENSION}) t(j)"
 )
+_KEYED = (
+    f"WITH {LINE_ROWS}, d AS (SELECT row_idx, CAST(j AS INTEGER) AS j, l_quantity, l_discount, l_partkey + 1 AS l_partkey, "
+    f"l_suppkey + 1 AS l_suppkey FROM o JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey "
+    f"CROSS JOIN range({EMBED_DIMENSION}) t(j))"
+)
 _FINITE = "c_acctbal - mn + 1"
 
 ORACLE = {
@@ -292,6 +347,22 @@ ORACLE = {
         + f" + {weight_sql(f'{len(LINE_NUMBERS) + LEVELS} + l_linenumber - 1', 'j')}"
     )
     + f" AS v FROM e CROSS JOIN range({EMBED_DIMENSION}) t(j)",
+    "embed_table": f"{_KEYED} SELECT row_idx, j AS dim, "
+    + rd(
+        "(j + 1) / 10.0::DOUBLE"
+        + "".join(f" + {x} * {weight_sql(str(NUMERIC_CODE + KEYED_SHIFT[x]), 'j')}" for x in KEYED_NUMBERS)
+        + "".join(f" + {weight_sql(f'{x} + {KEYED_SHIFT[x]}', 'j')}" for x in KEYED_TABLES)
+    )
+    + " AS v FROM d",
+    "embed_table_concat": f"{_KEYED} "
+    + " UNION ALL ".join(
+        [f"SELECT row_idx, {i} AS dim, {rd(x)} AS v FROM d WHERE j = 0" for i, x in enumerate(KEYED_NUMBERS)]
+        + [
+            f"SELECT row_idx, CAST(j + {len(KEYED_NUMBERS) + i * EMBED_DIMENSION} AS INTEGER), "
+            f"{rd(weight_sql(f'{x} + {KEYED_SHIFT[x]}', 'j'))} FROM d"
+            for i, x in enumerate(KEYED_TABLES)
+        ]
+    ),
     "embed_onehot": _ORDER_EMBED.format(bias="+ (j + 1) / 10.0::DOUBLE"),
     "embed_projection": _ORDER_EMBED.format(bias=""),
     "embed_lookup": f"WITH {EVENT_ENCODED} SELECT row_idx, 0 AS dim, {rd('scaled')} AS v FROM e UNION ALL "

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netseq.functions import vectors
 from netseq.operators import batching
+from netseq.operators.embed_table import TableEmbed
 from netseq.operators.encode import VECTOR, CategoryEmbed, ConcatEncoding, EncodingChain, InputEncoding, RecordEmbed
 from netseq.operators.masks import LABEL
 from netseq.operators.order import ROW, Indexed, Ranked
@@ -283,6 +284,72 @@ def test_long_embedding_tables_are_joined(spark, monkeypatch):
     assert vector_of(lookup.apply(df, codes)) == want
 
 
+def weight_rows(spark, weights):
+    rows = [(f, c, [float(x) for x in w]) for f, table in weights.items() for c, w in enumerate(table, 1)]
+    return spark.createDataFrame(rows, "feature string, code int, w array<double>")
+
+
+def test_weights_as_a_table_equal_weights_as_lists(spark, monkeypatch):
+    """Same bits, with fractions, whether one chunk asks for all vectors or 500 ask through three levels."""
+    import netseq.operators.embed_table as embed_table
+
+    r = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), int(k), 1 if i % 3 else 2) for i, (a, b, k) in enumerate(
+        zip(r.normal(size=500), r.normal(size=500), r.integers(0, 40, size=500)))]
+    df = spark.createDataFrame(rows, f"{ROW} long, a double, `b c` double, k int, hot long")
+    model_input = ModelInput(["a", "b c"], ["k", "hot"], [39, 2], CategoricalFormat.INTEGERS)
+    weights = {"a": r.normal(size=(1, 3)), "b c": r.normal(size=(1, 3)), "k": r.normal(size=(39, 3)),
+               "hot": r.normal(size=(2, 3)), "elsewhere": r.normal(size=(2, 3))}
+    lists = {f: w.tolist() for f, w in weights.items()}
+    want = vector_of(RecordEmbed(3, lists, bias=[0.1, 0.2, 0.3]).apply(df, model_input))
+    beside = vector_of(CategoryEmbed("projection", 3, lists).apply(df, model_input))
+    table = weight_rows(spark, weights)
+    summed, concat = TableEmbed(3, table, bias=[0.1, 0.2, 0.3]), TableEmbed(3, table, concat=True)
+    assert vector_of(summed.apply(df, model_input)) == want
+    assert vector_of(concat.apply(df, model_input)) == beside
+    assert (summed.width(model_input), concat.width(model_input)) == (3, 8)
+    monkeypatch.setattr(embed_table, "ASKED_BYTES", 8 * 3 * 4)
+    monkeypatch.setattr(embed_table, "FAN_OUT", 8)
+    assert vector_of(summed.apply(df, model_input)) == want
+    assert vector_of(concat.apply(df, model_input)) == beside
+
+
+def test_no_place_of_a_fetch_serves_more_than_its_share(spark, monkeypatch):
+    import netseq.operators.embed_table as embed_table
+
+    monkeypatch.setattr(embed_table, "FAN_OUT", 4)
+    asked = spark.range(70).select(F.col("id").alias("place"), F.lit(0).alias("feature"), F.lit(1).cast("long").alias("code"))
+    weights = spark.createDataFrame([(0, 1, [1.5]), (0, 2, [2.5])], "feature int, code long, w array<double>")
+    found = embed_table.fetch(asked, weights, 70)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, 0, 1, [1.5]) for i in range(70)]
+    joins = found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    assert joins == 4  # 70 places, 18, 5 and 2 groups of them
+
+
+def test_odd_rows_of_table_embeddings(spark):
+    table = weight_rows(spark, {"a": [[1.0]], "k": [[10.0], [20.0]]})
+    model_input = ModelInput(["a"], ["k"], [2], CategoricalFormat.INTEGERS)
+    schema = f"{ROW} long, a double, k int, feature string, code string, place string, w string"
+    rows = [(0, 1.0, 0, "f", "c", "p", "w"), (1, 2.0, None, None, None, None, None), (2, None, 2, "", "", "", "")]
+    rows += [(2, 0.5, 1, "", "", "", "")]
+    got = TableEmbed(1, table).apply(spark.createDataFrame(rows, schema), model_input)
+    assert got.columns == [ROW, "a", "k", "feature", "code", "place", "w", VECTOR]
+    seen = sorted(([r[ROW], r["code"], *r[VECTOR]] for r in got.collect()), key=str)
+    assert seen[:2] == [[0, "c", 1.0], [1, None, 2.0]]
+    assert seen[2] == [2, "", 10.5] and np.isnan(seen[3][2])
+    assert TableEmbed(1, table).apply(spark.createDataFrame([], schema), model_input).collect() == []
+    for code, weights in ((3, table), (1, table.unionByName(table)), (1, weight_rows(spark, {"a": [[1.0]], "k": [[1.0, 2.0]]}))):
+        bad = spark.createDataFrame([(0, 1.0, code)], f"{ROW} long, a double, k int")
+        with pytest.raises(Exception, match="weight vector"):
+            TableEmbed(1, weights).apply(bad, model_input).collect()
+    with pytest.raises(ValueError):
+        TableEmbed(2, table, bias=[1.0])
+    with pytest.raises(ValueError):
+        TableEmbed(1, table).apply(got, model_input)
+    bare = ModelInput(["a"], [], [], CategoricalFormat.INTEGERS)
+    assert sorted(r[VECTOR] for r in TableEmbed(1, table, concat=True).apply(got.drop(VECTOR).filter(f"{ROW} < 2"), bare).collect()) == [[1.0], [2.0]]
+
+
 class Doubled(InputEncoding):
     name = "Doubled"
 
