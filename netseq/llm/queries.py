@@ -150,12 +150,16 @@ FROM x
 """
 
 
+# Bytes of a shard: below all of the tables at hand, so that every run splits, over several rounds where they are large.
+OP9_SHARD_BYTES = 256 << 10
+
+
 def op9_hash_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    placed = sharding.assign(read_table(spark, folder, "documents"), limit=sharding.SHARD_BYTES)
+    placed = sharding.assign(read_table(spark, folder, "documents"), limit=OP9_SHARD_BYTES)
     return placed.withColumnRenamed("key", "doc_id")
 
 
-# Every prefix of every row is a candidate; the shortest one within the limit is the bucket.
+# Every prefix of every row is a candidate; the shortest one within the limit is the bucket, or the longest if none is.
 OP9_SQL = rf"""
 WITH d AS (
   SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
@@ -167,10 +171,10 @@ WITH d AS (
 s AS (SELECT substr(bits, 1, n) AS shard, sum(n_bytes) AS b, count(*) AS c FROM p GROUP BY 1),
 m AS (
   SELECT doc_id, p.n_bytes, min(n) AS shard_depth, arg_min(shard, n) AS shard, arg_min(b, n) AS shard_bytes, arg_min(c, n) AS shard_rows
-  FROM p JOIN s ON s.shard = substr(bits, 1, n) WHERE b <= {sharding.SHARD_BYTES} GROUP BY doc_id, p.n_bytes
+  FROM p JOIN s ON s.shard = substr(bits, 1, n) WHERE b <= {OP9_SHARD_BYTES} OR n = {sharding.KEY_BITS} GROUP BY doc_id, p.n_bytes
 )
 SELECT doc_id, n_bytes, shard, CAST(shard_depth AS INTEGER) AS shard_depth, CAST(shard_bytes AS BIGINT) AS shard_bytes,
-  CAST(shard_rows AS BIGINT) AS shard_rows, false AS oversized FROM m
+  CAST(shard_rows AS BIGINT) AS shard_rows, shard_bytes > {OP9_SHARD_BYTES} AS oversized FROM m
 """
 
 
