@@ -26,12 +26,10 @@ def _slot(kind: T.DataType) -> str:
     return "x" if isinstance(kind, T.NumericType) else "s"
 
 
-def top_levels(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """(feature, n, x, s, cnt, code): the ``k`` most frequent training levels of every feature.
+def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, n, x, s, cnt): how often each level of every feature occurs in the training rows.
 
-    Ties go to the smaller level in its native type. All features are counted in one pass; counts
-    are combined before the shuffle, and the rank limit prunes each partition to ``k`` levels, so a
-    frequent level or a feature with very many levels does not load one task.
+    All features are counted in one pass, and counts are combined before the shuffle.
     """
     items = []
     for c in columns:
@@ -49,12 +47,25 @@ def top_levels(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
             )
         )
     levels = df.filter(TRAIN).select(F.inline(F.array(*items))).filter("coalesce(n, x) is not null or s is not null")
-    counts = levels.groupBy("feature", *_SLOTS).agg(F.count("*").alias("cnt"))
+    return levels.groupBy("feature", *_SLOTS).agg(F.count("*").alias("cnt"))
+
+
+def ranked_levels(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent levels of every feature with their code.
+
+    Ties go to the smaller level in its native type. The rank limit prunes each partition to ``k`` levels, so
+    a feature with very many levels does not load one task.
+    """
     order = Window.partitionBy("feature").orderBy(F.desc("cnt"), *_SLOTS)
     ranked = counts.withColumn("code", F.row_number().over(order)).filter(F.col("code") <= int(k))
     return ranked.select("feature", *_SLOTS, "cnt", "code")
 
 
+def top_levels(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """(feature, n, x, s, cnt, code): the ``k`` most frequent training levels of every feature."""
+    return ranked_levels(level_counts(df, columns), k)
+
+
 def fit_levels(df: DataFrame, columns: Sequence[str], k: int) -> dict[str, list]:
     """Levels of each feature in code order; at most ``k`` values per feature reach the driver."""
     if not columns:

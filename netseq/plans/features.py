@@ -10,11 +10,14 @@ from netseq.operators import categorical, numeric
 from netseq.operators.assemble import shape_report
 from netseq.operators.embed_table import NUMERIC_CODE, TableEmbed
 from netseq.operators.encode import VECTOR, CategoryEmbed, ConcatEncoding, RecordEmbed
+from netseq.operators.fit_state import FitState
+from netseq.operators.numeric import sanitise
 from netseq.operators.order import ROW
-from netseq.operators.split import TRAIN, split_last
+from netseq.operators.split import TRAIN, first_eval_row, split_last
 from netseq.plans.common import (
     EVENT_ENCODED,
     EVENT_LABELS,
+    EVENT_SCALED,
     EVENTS,
     FRACTION,
     LEVELS,
@@ -40,11 +43,12 @@ from netseq.plans.common import (
     rounded,
 )
 from netseq.sources.readers import read_table
-from netseq.session import stage
+from netseq.session import stage, staging_path
 from netseq.spec import CategoricalFormat, ModelInput
 
 BALANCE_LIMIT = 5000.0
 PRIORITIES = 5
+FIT_PARTS = 4
 EMBED_DIMENSION = 3
 
 # Lines embedded by their keys: numbers, the table and key behind each category, and where weights are numbered from.
@@ -253,6 +257,19 @@ def embed_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return _exploded(encoding.apply(done.df, done.model_input), "v")
 
 
+def fit_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """A fit of the events that arrive in parts: each is reduced once, the fit reads what was kept of them."""
+    indexed = events(spark, folder)
+    state, n = FitState(spark, staging_path(spark, "fit-state")), first_eval_row(indexed.n_rows, FRACTION)
+    cuts = [n * i // FIT_PARTS for i in range(FIT_PARTS + 1)]
+    for i, (start, stop) in enumerate(zip(cuts, cuts[1:])):
+        part = sanitise(indexed.between(start, stop), ["value"]).withColumn(TRAIN, F.lit(True))
+        state.add(str(i), part, ["value"], ["user_id"])
+    number = state.numbers().select("feature", *[r6(c).alias(c) for c in ("min", "range")])
+    level = state.levels(LEVELS).select("feature", F.col("n").alias("level"), "cnt", "code")
+    return number.unionByName(level, allowMissingColumns=True)
+
+
 QUERIES = {
     "sanitize": sanitize,
     "dq_nonfinite": dq_nonfinite,
@@ -261,6 +278,7 @@ QUERIES = {
     "log_minmax_clip": log_minmax_clip,
     "fit_topk": fit_topk,
     "fit_topk_text": fit_topk_text,
+    "fit_parts": fit_parts,
     "encode_int": encode_int,
     "encode_int_unseen0": encode_int_unseen0,
     "encode_onehot": encode_onehot,
@@ -323,6 +341,9 @@ ORACLE = {
     "SELECT 'user_id' AS feature, level, cnt, code FROM k",
     "fit_topk_text": f"WITH {_TEXT_LEVELS} SELECT 'o_orderpriority' AS feature, level, cnt, code FROM kp "
     "UNION ALL SELECT 'o_orderstatus', level, cnt, code FROM ks",
+    "fit_parts": f"WITH {EVENT_SCALED}, {codes('user_id', 'c', 'k')} SELECT 'value' AS feature, {rd('mn')} AS min, "
+    f"{rd('rg')} AS range, CAST(NULL AS BIGINT) AS level, CAST(NULL AS BIGINT) AS cnt, CAST(NULL AS INTEGER) AS code FROM f "
+    "UNION ALL SELECT 'user_id', NULL, NULL, level, cnt, CAST(code AS INTEGER) FROM k",
     "encode_int": f"WITH {EVENT_ENCODED} SELECT row_idx, CAST(code AS INTEGER) AS user_id FROM e",
     "encode_int_unseen0": f"WITH {EVENT_LABELS}, {codes('user_id', 'c', 'k')} "
     "SELECT row_idx, CAST(coalesce(code, 0) AS INTEGER) AS user_id FROM c LEFT JOIN k ON user_id = level",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netseq.operators import categorical, numeric, split
 from netseq.operators.assemble import detach, preprocess
+from netseq.operators.fit_state import FitState
 from netseq.operators.masks import add_candidate_sets, add_label, selectable
 from netseq.operators.order import ROW, Indexed
 from netseq.operators.preprocessing import Preprocessing, StandardPreprocessing, fit
@@ -246,3 +247,59 @@ def test_training_rows(spark):
     assert sorted(r["id"] for r in rows.collect()) == list(range(650))
     # the file index is a table of files too, so the planner is asked which files it reads
     assert max(x.selectedPartitions().totalNumberOfFiles() for x in leaves(rows)) == 7
+
+
+def part_frame(spark, start, stop):
+    rows = spark.range(start, stop).select(
+        ((F.col("id") * 37) % 101 / 7).alias("v"),
+        (F.col("id") * F.col("id") % 23).alias("k"),
+        F.concat(F.lit("l"), F.col("id") % 9).alias("a level"),
+        F.col("id").alias("part"),
+        (F.col("id") % 10 < 8).alias(TRAIN),
+    )
+    return rows.withColumn("k", F.when(F.col("part") % 11 > 0, F.col("k")))
+
+
+def test_a_fit_of_parts_equals_a_fit_of_the_whole(spark, tmp_path):
+    state = FitState(spark, str(tmp_path / "state"))
+    names = ["v"], ["k", "a level"], ["part"]
+    cuts = [0, 300, 301, 301, 2000]  # one part has a single row, one has none
+    standard = StandardPreprocessing(5)
+    assert state.fitted(standard).levels == {} and state.cardinalities().collect() == []
+    for i, (start, stop) in enumerate(zip(cuts, cuts[1:])):
+        state.add(f"day-{i}", part_frame(spark, start, stop), *names)
+        so_far = fit(part_frame(spark, 0, stop), standard, names[0], names[1])
+        got = state.fitted(standard)
+        assert (got.statistics, got.levels) == (so_far.statistics, so_far.levels)
+        assert list(got.levels) == names[1]
+    whole = part_frame(spark, 0, 2000)
+    assert got.transform(whole).collect() == so_far.transform(whole).collect()
+    distinct = whole.filter(TRAIN).select("part").distinct().count()
+    found = {r["feature"]: r["distinct"] for r in state.cardinalities().collect()}
+    assert found.keys() == {"part"} and abs(found["part"] - distinct) < 0.1 * distinct
+    assert all(str(tmp_path) in f for f in state.levels(5).inputFiles())
+
+
+def test_a_part_counts_once_and_only_when_committed(spark, tmp_path, monkeypatch):
+    state, standard = FitState(spark, str(tmp_path / "state")), StandardPreprocessing(5)
+    state.add("a", part_frame(spark, 0, 500), ["v"], ["k"])
+    before = state.fitted(standard)
+    with monkeypatch.context() as m:
+        m.setattr(F, "current_timestamp", lambda: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            state.add("b", part_frame(spark, 500, 900), ["v"], ["k"])
+    assert state.fitted(standard) == before
+    state.add("a", part_frame(spark, 0, 500), ["v"], ["k"])
+    assert state.fitted(standard) == before
+    state.add("a", part_frame(spark, 500, 900), ["v"], ["k"])
+    want = fit(part_frame(spark, 500, 900), standard, ["v"], ["k"])
+    assert state.fitted(standard).levels == want.levels
+    state.add("b", part_frame(spark, 900, 950), ["v"], ["part"])
+    with pytest.raises(ValueError, match="agree"):
+        state.add("c", part_frame(spark, 900, 950), ["k"], ["v"])
+        state.fitted(standard)
+    for name in ("", "a/b", "a b", "x=1"):
+        with pytest.raises(ValueError):
+            state.add(name, part_frame(spark, 0, 1), ["v"], ["k"])
+    with pytest.raises(ValueError):
+        state.add("d", part_frame(spark, 0, 1), ["no such"], [])
