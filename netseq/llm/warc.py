@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netseq.llm import common
 from netseq.llm.common import checked_side
 from netseq.session import stage, staging_path
 
@@ -152,12 +153,12 @@ def converted(archive: bytes, earlier: dict[int, tuple[int | None, str, int]]) -
     the other's page, archive and ordinal."""
     name = ""
     for ordinal, (fields, block) in enumerate(read_arc(gzip.GzipFile(fileobj=io.BytesIO(archive)))):
-        common = [("WARC-Date", warc_date(fields["Archive-date"]))]
+        dated = [("WARC-Date", warc_date(fields["Archive-date"]))]
         if ordinal == 0:
             name = fields["URL"].removeprefix("filedesc://")
             told = f"software: netseq\r\nformat: WARC File Format 1.0\r\nconverted-from: ARC version {fields['version']}\r\n"
             head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, 0)), ("WARC-Filename", f"{name}.warc.gz")]
-            yield warc_record([*head, *common, ("Content-Type", "application/warc-fields")], told.encode())
+            yield warc_record([*head, *dated, ("Content-Type", "application/warc-fields")], told.encode())
             continue
         http, body = http_parts(block)
         again = earlier.get(ordinal)
@@ -165,7 +166,7 @@ def converted(archive: bytes, earlier: dict[int, tuple[int | None, str, int]]) -
             ("WARC-Type", "revisit" if again else "response"),
             ("WARC-Record-ID", record_id(name, ordinal)),
             ("WARC-Target-URI", fields["URL"]),
-            *common,
+            *dated,
             ("WARC-IP-Address", fields.get("IP-address", "0.0.0.0")),
             ("WARC-Payload-Digest", f"sha1:{payload_digest(body)}"),
             ("Content-Type", "application/http; msgtype=response" if http else fields["Content-type"]),
@@ -255,11 +256,19 @@ def index_arc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, schema)
 
 
+def _repeat_bytes(by_file: DataFrame) -> int:
+    """Bytes of the lists of repeats: their names and paths, and 48 for the numbers of each."""
+    names = F.aggregate("earlier", F.lit(0).cast("bigint"), lambda n, e: n + F.octet_length(e["other"]) + 48)
+    return by_file.agg(F.sum(F.octet_length("path") + 48 + names)).first()[0] or 0
+
+
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> None:
     """Every ARC file below ``arc_path`` as one WARC file below ``warc_path``.
 
     Of records with equal payloads of at least ``least`` bytes, the one with the smallest page (null last,
-    then by archive and ordinal) is the response, the others revisit it.
+    then by archive and ordinal) is the response, the others revisit it. Archives stay where they are read while
+    the list of repeats, whose bytes are counted, is small enough to be sent to them; beyond that they are dealt
+    by path over as many tasks as there are archives.
     """
     index = stage(index_arc(spark, arc_path).filter(F.col("payload_bytes") >= least), "arc-index")
     rank = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "archive", "ordinal")
@@ -271,6 +280,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
         "path", "ordinal", F.col("first.page_id").alias("page"), F.col("first.archive").alias("other"), F.col("first.ordinal").alias("at")
     )
     by_file = repeats.groupBy("path").agg(F.collect_list(F.struct("ordinal", "page", "other", "at")).alias("earlier"))
+    by_file = stage(by_file, "arc-repeats")
+    archives = _files(spark, arc_path)
+    n_bytes = _repeat_bytes(by_file)
+    if n_bytes > common.BROADCAST_BYTES:
+        archives = archives.repartition(archives.select("path").count(), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +293,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
                 members = [gzip.compress(r, 6, mtime=0) for r in converted(content.as_py(), known)]
                 yield _batch(archive=([b"".join(members)], pa.binary()))
 
-    joined = _files(spark, arc_path).join(by_file, "path", "left").select("content", "earlier")
+    joined = archives.join(checked_side(by_file, n_bytes, 1), "path", "left").select("content", "earlier")
     _write(joined.mapInArrow(run, "archive binary"), warc_path)
 
 

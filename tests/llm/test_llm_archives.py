@@ -8,7 +8,7 @@ import io
 import numpy as np
 import pytest
 
-from netseq.llm import topk, warc
+from netseq.llm import common, topk, warc
 
 PAGES = "page_id long, url string, html string, archive string, path string, content string"
 
@@ -40,8 +40,11 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [1, 600, warc.ARCHIVE_BYTES])
-def test_round_trip(spark, limit):
+@pytest.mark.parametrize("limit, sent", [(1, None), (600, None), (600, 0), (warc.ARCHIVE_BYTES, None)])
+def test_round_trip(spark, limit, sent, monkeypatch):
+    """Also where the list of repeats is not sent to the archives."""
+    if sent is not None:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", sent)
     got = warc.round_trip(pages(spark, ROWS).repartition(3), limit=limit).collect()
     first, want = {}, []
     for i, _, h in sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0)):

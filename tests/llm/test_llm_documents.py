@@ -484,6 +484,14 @@ def test_packing(odd, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_the_sharding_query_splits(spark, small):
+    from netseq.llm import queries
+
+    rows = queries.op9_hash_sharding(spark, small).collect()
+    assert len({r["shard"] for r in rows}) > 1
+    assert max(r["shard_bytes"] for r in rows) <= queries.OP9_SHARD_BYTES
+
+
 def test_sharding(spark, odd, empty):
     rows = [(i, prose(i, 20 + i % 50), "a") for i in range(600)] + [(5, prose(5, 30), "a")] * 200 + [(None, "null", None)] * 150
     docs = table(spark, rows + texts())
