@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netseq.functions.hashing import HASH_RANGE
 from netseq.functions.scalars import predicted_positive
-from netseq.operators import experiments, runlog
+from netseq.operators import experiments, quantiles, runlog
 from netseq.operators.categorical import encode, fit_levels
 from netseq.operators.masks import LABEL, add_label
 from netseq.operators.metrics import RESULT_COLUMNS, class_counts, confusion, evaluate, rates
@@ -48,6 +48,7 @@ TEMPORAL_FRACTIONS = [0.5, 0.4, 0.3, 0.2, 0.1]
 STEPS_PER_EPOCH = 500
 PATIENCE = 3
 REPEATS = 4
+SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,6 +151,20 @@ def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(runlog.latency_summary(_timings(spark, folder).df), "mean_s", "min_s", "max_s")
 
 
+def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of each epoch, merged from the sketches of its steps."""
+    log = run_log(spark, folder)
+    steps = quantiles.sketch(log.df, "seconds", ["epoch", "step"])
+    return rounded(quantiles.percentiles(steps, SHARES, ["epoch"]), *SHARES)
+
+
+def latency_running_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of all timings up to each step."""
+    timings = _timings(spark, folder)
+    steps = quantiles.sketch(timings.df, "seconds", ["step"])
+    return rounded(quantiles.running_percentiles(steps, -(-timings.n_rows // REPEATS), SHARES), *SHARES)
+
+
 def temporal_bias(spark: SparkSession, folder: str) -> DataFrame:
     df, n = labelled_events(spark, folder)
     out = experiments.temporal_bias(Indexed(df, n), "value", TEMPORAL_FRACTIONS, WINDOW)
@@ -217,6 +232,8 @@ QUERIES = {
     "elapsed": elapsed,
     "latency_summary": latency_summary,
     "latency_running": latency_running,
+    "latency_percentiles": latency_percentiles,
+    "latency_running_percentiles": latency_running_percentiles,
     "temporal_bias": temporal_bias,
     "transfer_matrix": transfer_matrix,
     "drift_mix": drift_mix,
@@ -238,6 +255,26 @@ _LOG = (
     "value AS loss, sqrt(value) / 1000.0::DOUBLE AS seconds FROM o)"
 )
 
+# Cells of a sketch in SQL; timings are never negative.
+_WIDTH, _SHIFT = quantiles.cell_width(quantiles.ACCURACY), quantiles.cell_shift(quantiles.ACCURACY)
+_CELL = (
+    f"CASE WHEN seconds = 0 THEN 0 ELSE CAST(ceil(ln(seconds) / CAST({_WIDTH!r} AS DOUBLE)) AS BIGINT) + {_SHIFT} END"
+)
+
+
+def _percentile_sql(key: str) -> str:
+    """Percentiles per key from a CTE r (key, cell, upto, total) of cells with counts so far."""
+    picked = ", ".join(
+        f"min(CASE WHEN upto > CAST({q} AS DOUBLE) * (total - 1) THEN cell END) AS {name}" for name, q in SHARES.items()
+    )
+    middle = f"CAST(2 AS DOUBLE) / (exp(CAST({_WIDTH!r} AS DOUBLE)) + 1)"
+    values = ", ".join(
+        rd(f"CASE WHEN {name} = 0 THEN 0.0::DOUBLE ELSE exp(({name} - {_SHIFT}) * CAST({_WIDTH!r} AS DOUBLE)) * {middle} END")
+        + f" AS {name}"
+        for name in SHARES
+    )
+    return f"SELECT {key}, {values} FROM (SELECT {key}, {picked} FROM r GROUP BY {key})"
+
 
 def _verdict_sql(patience: int) -> str:
     return (
@@ -295,6 +332,15 @@ ORACLE = {
     "latency_running": f"WITH {_LOG}, t AS (SELECT row_idx // {REPEATS} AS step, sum(seconds) AS total, count(*) AS k "
     f"FROM g GROUP BY 1) SELECT step, {rd('total / k')} AS mean_s, "
     f"{rd('sum(total) OVER (ORDER BY step) / sum(k) OVER (ORDER BY step)')} AS running_mean_s FROM t",
+    "latency_percentiles": f"WITH {_LOG}, k AS (SELECT epoch, {_CELL} AS cell, count(*) AS n FROM g "
+    "WHERE seconds IS NOT NULL GROUP BY 1, 2), r AS (SELECT epoch, cell, sum(n) OVER (PARTITION BY epoch ORDER BY cell) "
+    f"AS upto, sum(n) OVER (PARTITION BY epoch) AS total FROM k) {_percentile_sql('epoch')}",
+    "latency_running_percentiles": f"WITH {_LOG}, k AS (SELECT row_idx // {REPEATS} AS step, {_CELL} AS cell, count(*) AS n "
+    "FROM g WHERE seconds IS NOT NULL GROUP BY 1, 2), d AS (SELECT s.step, c.cell, coalesce(k.n, 0) AS n FROM "
+    "(SELECT DISTINCT step FROM k) s CROSS JOIN (SELECT DISTINCT cell FROM k) c LEFT JOIN k ON k.step = s.step AND "
+    "k.cell = c.cell), u AS (SELECT step, cell, sum(n) OVER (PARTITION BY cell ORDER BY step) AS n FROM d), "
+    "r AS (SELECT step, cell, sum(n) OVER (PARTITION BY step ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY step) AS total "
+    f"FROM u) {_percentile_sql('step')}",
     "temporal_bias": f"WITH {EVENT_LABELS}, fr(fraction) AS (VALUES {_FRACTIONS}), "
     "z AS (SELECT fraction, row_idx, n, y, v, CAST(floor(n * fraction) AS BIGINT) AS m FROM c CROSS JOIN fr), "
     "f AS (SELECT fraction, min(v) AS mn, max(v) - min(v) AS rg FROM z WHERE row_idx < m GROUP BY fraction), "
