@@ -67,12 +67,12 @@ def percentiles(
     sketches: DataFrame, shares: dict[str, float], by: Sequence[str] = (), accuracy: float = ACCURACY
 ) -> DataFrame:
     """(by…, a column per share) after merging all sketches with equal ``by``; a task sees cells, never rows."""
-    keys = [quoted(c) for c in by]
+    keys, shares = [quoted(c) for c in by], _checked(shares)
     merged = sketches.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys)
     so_far = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.select(*keys, "cell", F.sum("n").over(so_far).alias("__upto"), F.sum("n").over(group).alias("__all"))
-    reached = {name: F.col("__upto") > F.lit(float(q)) * (F.col("__all") - 1) for name, q in _checked(shares).items()}
+    reached = {name: F.col("__upto") > F.lit(float(q)) * (F.col("__all") - 1) for name, q in shares.items()}
     picked = ranked.groupBy(*keys).agg(*[F.min(F.when(hit, F.col("cell"))).alias(name) for name, hit in reached.items()])
     if not by:
         picked = picked.filter(F.col(quoted(next(iter(shares)))).isNotNull())
