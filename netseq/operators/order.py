@@ -26,6 +26,9 @@ SORT_ROWS = 4_000_000
 KEPT_TABLES = 16
 _indexed: dict[tuple, Indexed] = {}
 
+# Rows that are looked at before all are: in a table without order they hold a descent already.
+FIRST_ROWS = 4_096
+
 ROW = "row_idx"
 
 # Chunk totals are gathered in one place, so their number is bounded whatever the row count.
@@ -351,6 +354,8 @@ def _in_key_order(df: DataFrame, order_by: Sequence[str], n_rows: int) -> Indexe
     keys = [F.col(quoted(k)).alias(f"k{i}") for i, k in enumerate(order_by)]
     scan = df.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"), *keys)
     kinds = [f for f in scan.schema.fields if f.name.startswith("k")]
+    if _descends_early(scan, kinds):
+        return None
     fields = [("file", T.LongType()), ("pos", T.LongType()), ("rows", T.LongType()), ("rising", T.BooleanType())]
     fields += [(f"{end}_{f.name}", f.dataType) for end in ("first", "last") for f in kinds]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
@@ -381,6 +386,18 @@ def _in_key_order(df: DataFrame, order_by: Sequence[str], n_rows: int) -> Indexe
     return _from_files(df, files.drop("other"), n_files, n_rows) if same else None
 
 
+def _descends_early(scan: DataFrame, kinds: list[T.StructField]) -> bool:
+    """Whether the keys fall among the first rows already; an ordered table costs this look in vain."""
+    plain = [F.unix_micros(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else f.name for f in kinds]
+    first = scan.select("file", "pos", *plain).take(FIRST_ROWS)
+
+    def rises(a: tuple, b: tuple) -> bool:
+        x, y = next(((x, y) for x, y in zip(a, b) if x is None or y is None or x != y), (None, None))
+        return x is not None and y is not None and x < y
+
+    return any(a[0] == b[0] and a[1] + 1 == b[1] and not rises(a[2:], b[2:]) for a, b in zip(first, first[1:]))
+
+
 def _file_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One line per stretch of consecutive rows of a file: its start, length, and whether keys rise."""
     names, run = None, None

@@ -47,10 +47,13 @@ class Fit(NamedTuple):
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def pooled_windows(indexed: Indexed, columns: Sequence[str], window: int, keep: Sequence[str] = ()) -> DataFrame:
-    """(row_idx, y, keep…, x) of every full window, staged; ``x`` has the means, then the last values.
+def pooled_windows(
+    indexed: Indexed, columns: Sequence[str], window: int, keep: Sequence[str] = (), staged: bool = True
+) -> DataFrame:
+    """(row_idx, y, keep…, x) of every full window; ``x`` has the means, then the last values.
 
-    ``indexed`` carries ``y``. Null, NaN, infinite and very large values count as 0.
+    ``indexed`` carries ``y``. Null, NaN, infinite and very large values count as 0. Windows that are read once need
+    not be ``staged``.
     """
     values = [sanitise(F.col(quoted(c))) for c in columns]
     logs = [(F.signum(v) * F.log1p(F.abs(v))).alias(f"__v{i}") for i, v in enumerate(values)]
@@ -61,7 +64,8 @@ def pooled_windows(indexed: Indexed, columns: Sequence[str], window: int, keep:
     )
     parts = [F.col(f"__{kind}{i}") for kind in "mv" for i in range(len(columns))]
     full = means.filter(F.col(ROW) >= window - 1)
-    return stage(full.select(ROW, LABEL, *[quoted(c) for c in keep], F.array(*parts).alias("x")), "pooled-windows")
+    pooled = full.select(ROW, LABEL, *[quoted(c) for c in keep], F.array(*parts).alias("x"))
+    return stage(pooled, "pooled-windows") if staged else pooled
 
 
 def train(

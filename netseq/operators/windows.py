@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from netseq.operators.order import ROW, chunk_of
-from netseq.session import BROADCAST_ROWS, NARROW_BROADCAST_ROWS, small_side
+from netseq.session import BROADCAST_ROWS, NARROW_BROADCAST_ROWS, dealt, small_side
 from netseq.spec import CategoricalFormat, ModelInput, quoted
 
 CHUNK_ROWS = 65_536
@@ -49,7 +49,7 @@ def trailing(
     (window-1)/chunk) are dropped afterwards.
     """
     size = chunk_rows or chunk_length(df, n_rows, window)
-    spread, own = with_halo(df, window, size), chunk_of(size)
+    spread, own = dealt(with_halo(df, window, size), n_rows, "__chunk"), chunk_of(size)
     frame = Window.partitionBy("__chunk").orderBy(ROW).rowsBetween(-(window - 1), Window.currentRow)
     added = [c.alias(name) for name, c in columns(frame).items()]
     return spread.select("*", *added).filter(F.col("__chunk") == own).drop("__chunk")

@@ -69,7 +69,8 @@ def transfer_trained(spark: SparkSession, folder: str) -> DataFrame:
 
 def transfer_weights(spark: SparkSession, folder: str) -> DataFrame:
     """The same evaluation under given weights."""
-    windows = trained.pooled_windows(_labelled(lineitem(spark, folder), LINEITEM), LINE_COLUMNS, WINDOW, ["l_linestatus"])
+    rows = _labelled(lineitem(spark, folder), LINEITEM)
+    windows = trained.pooled_windows(rows, LINE_COLUMNS, WINDOW, ["l_linestatus"], staged=False)
     out = trained.evaluate_fits(windows, GIVEN, "l_linestatus").drop("strength")
     return rounded(out, "bal_acc", "f1")
 

@@ -221,3 +221,25 @@ def test_a_draw_moves_blocks_not_chunks(spark, n_rows):
     found = ranked.at(wanted, 10)
     assert {(r["rank"], r[ROW]) for r in found.collect()} == {(i * (n_rows // 40), 3 * i * (n_rows // 40)) for i in range(10)}
     assert shuffled(found._jdf.queryExecution().executedPlan()) <= 10 * ranked.block + 200
+
+
+def test_a_table_without_order_is_known_by_its_first_rows(spark, monkeypatch):
+    """No scan of the whole table is asked of Python; keys that are missing or fall later are still found."""
+    path = staging_path(spark, "falling")
+    cases = {"falling": -F.col("id"), "when": F.timestamp_seconds(-F.col("id")), "missing": F.lit(None).cast("long"),
+             "late": F.when(F.col("id") < order.FIRST_ROWS, F.col("id")).otherwise(-F.col("id"))}
+    spark.range(0, 6000).select("id", *[c.alias(n) for n, c in cases.items()]).coalesce(1).write.parquet(path)
+    scan, whole = spark.read.parquet(path), []
+    stage = order.stage
+    monkeypatch.setattr(order, "stage", lambda df, label: whole.append(label) or stage(df, label))
+    for name, seen in {"id": True, "late": True, "falling": False, "when": False, "missing": False}.items():
+        whole.clear()
+        indexed = order.index_rows(scan, [name, "id"] if name == "missing" else [name])
+        assert ("stretches" in whole) is seen, name
+        assert (indexed.files is not None) is (name == "id")
+        # falling keys turn the rows round
+        turned = {"falling": f"5999 - {ROW}", "when": f"5999 - {ROW}"}.get(name, ROW)
+        if name != "late":
+            assert indexed.df.filter(f"id <> {turned}").count() == 0
+    spark.range(0, 0).write.parquet(empty := staging_path(spark, "none"))
+    assert order.index_rows(spark.read.parquet(empty), ["id"]).n_rows == 0

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netseq import session
 from netseq.operators import trained
 from netseq.operators.order import index_by_keys
 from netseq.operators.run_ledger import RunLedger
@@ -107,3 +108,22 @@ def test_stopped_plan_goes_on(spark):
     assert ledger.work_off(plan[:1], execute).count() == 1 and ran == []
     with pytest.raises(ValueError):
         ledger.work_off([{"a": 9}], lambda s: spark.range(1))
+
+
+def test_windows_read_once_are_not_staged(spark, monkeypatch):
+    """The same windows, staged or not; many rows are dealt to as many tasks as they need."""
+    indexed, *_ = table(spark)
+    want = sorted(tuple(map(str, r)) for r in trained.pooled_windows(indexed, ["v", "w"], WINDOW, ["c"]).collect())
+    monkeypatch.setattr(trained, "stage", None)
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    plain = trained.pooled_windows(indexed, ["v", "w"], WINDOW, ["c"], staged=False)
+    assert sorted(tuple(map(str, r)) for r in plain.collect()) == want
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__chunk" in plan and ", 18)" in plan
+
+
+def test_given_weights_stage_no_windows(spark, small, monkeypatch):
+    from netseq.plans import trained as plans
+
+    monkeypatch.setattr(trained, "stage", None)
+    assert plans.transfer_weights(spark, small).count() == 4
