@@ -19,11 +19,15 @@ from pyspark.sql import types as T
 from netseq.operators.encode import VECTOR, InputEncoding
 from netseq.operators.order import ROW, chunk_of
 from netseq.operators.windows import chunk_length
+from netseq.session import dealt
 from netseq.spec import CategoricalFormat, ModelInput, quoted
 
 # Bytes of weights that one chunk may ask for; with wider vectors chunks become shorter.
 ASKED_BYTES = 64 << 20
 
+# Bytes that a row and the vectors it asks for may take before it counts as more than one row when tasks are dealt.
+ROW_BYTES = 256
+
 # Chunks that fetch one weight vector from the same place. With more of them, groups of chunks fetch it first.
 FAN_OUT = 4_096
 
@@ -77,30 +81,36 @@ class TableEmbed(InputEncoding):
         most = ASKED_BYTES // (8 * self.dimension * max(len(features), 1))
         size = max(1, min(chunk_length(df, n_rows, 1), most))
         chunked = df.withColumn("__chunk", chunk_of(size))
-        asked = _asked(chunked, model_input, self.concat)
-        found = fetch(asked, _numbered(self.weights, features), math.ceil(n_rows / size))
+        n_dealt = n_rows * math.ceil(len(features) * (8 * self.dimension + 64) / ROW_BYTES)
+        asked = _asked(chunked, model_input, self.concat, n_dealt)
+        found = fetch(asked, _numbered(self.weights, features), math.ceil(n_rows / size), n_dealt)
         schema = T.StructType([*df.schema.fields, T.StructField(VECTOR, T.ArrayType(T.DoubleType()))])
         task = _mapped(model_input, self.dimension, list(self.bias), self.concat, df.columns)
-        return chunked.groupBy("__chunk").cogroup(found.groupBy("place")).applyInArrow(task, schema)
+        rows, vectors = dealt(chunked, n_dealt, "__chunk"), dealt(found, n_dealt, "place")
+        return rows.groupBy("__chunk").cogroup(vectors.groupBy("place")).applyInArrow(task, schema)
 
 
-def fetch(asked: DataFrame, weights: DataFrame, n_places: int) -> DataFrame:
+def fetch(asked: DataFrame, weights: DataFrame, n_places: int, n_dealt: int = 0) -> DataFrame:
     """(place, feature, code, w): the weights each of ``n_places`` places asks for.
 
     ``asked`` holds (place, feature, code), each once. A vector that all places want would make one join key
     as long as the table, so groups of FAN_OUT places fetch it first, and groups of groups before them: no
-    key of any join has more than FAN_OUT rows.
+    key of any join has more than FAN_OUT rows. Joins are dealt to as many tasks as ``n_dealt`` rows need.
     """
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        return dealt(left, n_dealt, *keys).join(dealt(right, n_dealt, *keys), keys)
+
     levels = [asked]
     while n_places > FAN_OUT:
         n_places = math.ceil(n_places / FAN_OUT)
         above = levels[-1].select(chunk_of(FAN_OUT, "place").alias("place"), "feature", "code")
-        levels.append(above.distinct())
-    found = levels.pop().join(weights, ["feature", "code"])
+        levels.append(dealt(above, n_dealt, "place", "feature", "code").distinct())
+    found = joined(levels.pop(), weights, ["feature", "code"])
     while levels:
         group = found.withColumnRenamed("place", "__group")
         below = levels.pop().withColumn("__group", chunk_of(FAN_OUT, "place"))
-        found = below.join(group, ["__group", "feature", "code"]).drop("__group")
+        found = joined(below, group, ["__group", "feature", "code"]).drop("__group")
     return found.select("place", "feature", "code", "w")
 
 
@@ -113,8 +123,8 @@ def _numbered(weights: DataFrame, features: Sequence[str]) -> DataFrame:
     return rows.filter(F.col("feature") >= 0)
 
 
-def _asked(chunked: DataFrame, model_input: ModelInput, concat: bool) -> DataFrame:
-    """(place, feature, code) once per chunk; repeats are dropped before the shuffle."""
+def _asked(chunked: DataFrame, model_input: ModelInput, concat: bool, n_dealt: int) -> DataFrame:
+    """(place, feature, code) once per chunk; of many rows, the codes of a chunk meet in one task, which drops repeats."""
     n = len(model_input.numeric_features)
     items = [] if concat else [F.struct(F.lit(i).alias("feature"), F.lit(NUMERIC_CODE).cast("bigint").alias("code")) for i in range(n)]
     for i, feature in enumerate(model_input.categorical_features, n):
@@ -123,7 +133,7 @@ def _asked(chunked: DataFrame, model_input: ModelInput, concat: bool) -> DataFra
     if not items:
         empty = chunked.select(F.col("__chunk").alias("place"), F.lit(0).alias("feature"), F.lit(0).cast("bigint").alias("code"))
         return empty.limit(0)
-    return chunked.select(F.col("__chunk").alias("place"), F.inline(F.array(*items))).distinct()
+    return dealt(chunked, n_dealt, "__chunk").select(F.col("__chunk").alias("place"), F.inline(F.array(*items))).distinct()
 
 
 def _mapped(

@@ -314,6 +314,28 @@ def test_weights_as_a_table_equal_weights_as_lists(spark, monkeypatch):
     assert vector_of(concat.apply(df, model_input)) == beside
 
 
+@pytest.mark.parametrize("concat", [False, True])
+def test_table_embeddings_of_many_rows_are_dealt_to_more_tasks(spark, monkeypatch, concat):
+    """The same vectors, with as many tasks in every shuffle as the rows need; null and repeated rows included."""
+    import netseq.operators.embed_table as embed_table
+    from netseq import session
+
+    rows = [(i // 2 * 2, float(i % 5) if i % 7 else None, i % 11 if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, f"{ROW} long, a double, k int")
+    table = weight_rows(spark, {"a": [[1.0, 2.0]], "k": [[float(c), c / 8] for c in range(1, 11)]})
+    model_input = ModelInput(["a"], ["k"], [10], CategoricalFormat.INTEGERS)
+    embed = TableEmbed(2, table, concat=concat)
+    monkeypatch.setattr(embed_table, "chunk_length", lambda *_: 10)
+    monkeypatch.setattr(embed_table, "FAN_OUT", 8)
+    want = sorted(map(str, embed.apply(df, model_input).collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    out = embed.apply(df, model_input)
+    assert sorted(map(str, out.collect())) == want and len(want) == 400
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(dealt) >= 6 and all(line.rstrip().endswith(", 20") for line in dealt)
+
+
 def test_no_place_of_a_fetch_serves_more_than_its_share(spark, monkeypatch):
     import netseq.operators.embed_table as embed_table
 
