@@ -20,7 +20,7 @@ from netseq.session import small_side, stage
 from netseq.spec import quoted
 
 # Rows that one sort task is given at most, on average.
-SORT_ROWS = 4_000_000
+SORT_ROWS = 500_000
 
 # Indexed tables that a driver remembers, the latest ones.
 KEPT_TABLES = 16

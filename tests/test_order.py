@@ -223,6 +223,18 @@ def test_a_draw_moves_blocks_not_chunks(spark, n_rows):
     assert shuffled(found._jdf.queryExecution().executedPlan()) <= 10 * ranked.block + 200
 
 
+def test_no_sort_task_gets_more_than_its_rows(spark):
+    """However few partitions the session asks for, a task sorts about half a million rows."""
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        indexed = order.index_by_keys(spark.range(1_200_000).select((F.col("id") * 7 % 1_200_000).alias("k")), ["k"])
+        largest = indexed.df.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+        assert indexed.df.filter(f"k <> {ROW}").count() == 0 and largest < 800_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def test_a_table_without_order_is_known_by_its_first_rows(spark, monkeypatch):
     """No scan of the whole table is asked of Python; keys that are missing or fall later are still found."""
     path = staging_path(spark, "falling")
